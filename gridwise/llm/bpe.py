@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode White_Space, which the tokenizer's \s means (Python's also has U+001C to U+001F).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -271,7 +272,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     if "decoded" in encoded.columns:
         encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids_col)
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         bpe = tokenizer(path)
