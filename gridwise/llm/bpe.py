@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_WS}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-_KEEP = 150_000  # words in each of the two generations whose ids a worker keeps
+_KEEP = 80_000  # words in each of the two generations whose ids a worker keeps
 _NEVER = 1 << 60
 
 
@@ -48,7 +48,6 @@ class Automaton:
     """Tokenization automaton of a merge list, with arcs compiled on demand."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], base: list[str]):
-        self.labels = {i: s for s, i in vocab.items()}
         self.made, self.parts, self.rank = {}, {}, {}
         for s in base:
             self.made[vocab[s]] = 0
@@ -139,7 +138,6 @@ class WordBpe:
         self.symbols = byte_symbols()
         base = [*self.symbols, *(s + self.end for s in self.symbols)]
         self.auto = Automaton(vocab, [tuple(m) for m in model["merges"]], base)
-        self.labels = {**self.auto.labels, **{i: s for s, i in self.special.items()}}
         # trie over symbols; a last symbol with the word end is a symbol of its own
         self.trie: dict = {}
         for s, i in vocab.items():
@@ -224,13 +222,22 @@ class WordBpe:
                             seen = self.seen
                         seen[c] = ids
                 out += ids
-        if len(self.auto._memo) > 1_000_000:
+        if len(self.auto._memo) > 300_000:
             self.auto._memo.clear()
         return out
 
-    def decode(self, ids) -> str:
-        """Arc labels in order, one blank between two (the file names no decoder)."""
-        return " ".join(map(self.labels.__getitem__, ids))
+
+def decoder(path: str):
+    """ids -> arc labels in order, one blank between two (the file names no decoder)."""
+    label = _labels(path).__getitem__
+    return lambda ids: " ".join(map(label, ids))
+
+
+@lru_cache(maxsize=2)
+def _labels(path: str) -> dict[int, str]:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: s for s, i in [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]}
 
 
 @lru_cache(maxsize=2)
@@ -251,7 +258,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 one = np.array(bpe.encode(t.as_py()), dtype=np.int32)
                 flat.append(one)
                 ends.append(ends[-1] + len(one))
-                if ends[-1] > 4_000_000:  # hand on before the batch grows large
+                if ends[-1] > 1_000_000:  # hand on before the batch grows large
                     yield _ids_batch(batch.column(0).slice(len(ids), len(ends) - 1), flat, ends)
                     ids += [None] * (len(ends) - 1)
                     flat, ends = [], [0]
@@ -275,10 +282,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        bpe = tokenizer(path)
-        for batch in batches:
+        label = decoder(path)
+        for whole, i in ((b, i) for b in batches for i in range(0, max(1, b.num_rows), 256)):
+            batch = whole.slice(i, 256)
             column = batch.column(at)
-            texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in column]
+            texts = [label(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
