@@ -44,3 +44,12 @@ def words(text) -> "F.Column":
 def let(value, body):
     """body(value) with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Rows of a join side that may be broadcast; beyond it the join sorts and merges.
+BROADCAST_ROWS = 100_000
+
+
+def sized(side: DataFrame) -> DataFrame:
+    """side, which must be cheap to count (written out or tiny), hinted by its measured size."""
+    return side.hint("broadcast" if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "merge")
