@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.llm.components import components
@@ -212,3 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.hint("merge").join(least, "root").select("fp", "component")
     return prints.hint("merge").join(named, "fp").select(F.col(id_col), "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates (smallest id, then text hash), all columns as they are."""
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col), F.xxhash64(F.col(text_col))))
+    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col)
+    heads = found.filter("__key <=> component").select(F.col("__key").alias("__head")).distinct()
+    kept = keyed.hint("merge").join(heads, F.expr("__key <=> __head"), "left_semi")
+    first = kept.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).filter("__n = 1")
+    return first.select(*[f"`{c}`" for c in docs.columns])
