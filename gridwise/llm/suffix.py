@@ -136,31 +136,39 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first depth bytes at least, and the 8-byte words: Larsson-Sadakane refinement."""
-    n, words = len(data), _eights(data)
-    order = np.argsort(words, kind="stable")
-    first = np.concatenate([[True], words[order[1:]] != words[order[:-1]]])
-    heads = np.flatnonzero(first)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    sizes = np.diff(np.append(heads, n))
+def suffix_array(data: np.ndarray, depth: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes with depth bytes left, in the order of those bytes; which share their rank; the 8-byte words. Larsson-Sadakane refinement.
+
+    left has the bytes that each suffix has to the end of its own slice; one that has fewer than the depth
+    reached is not refined any more (no longer suffix asks for its rank).
+    """
+    words = _eights(data)
+    order = np.flatnonzero(left >= 8)
+    order = order[np.argsort(words[order])]
+    rank = np.zeros(len(data), dtype=np.uint32)
+    w = words[order]
+    heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    sizes = np.diff(np.append(heads, len(order)))
+    rank[order] = np.repeat(heads, sizes)
     todo = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places of the order in groups of two or more
     h = 8
     while h < depth and len(todo):
+        step = min(h, depth - h)
+        h += step
         at = order[todo]
-        nxt = at + h
-        key = (rank[at].astype(np.uint64) << np.uint64(32)) | np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0).astype(np.uint64)
+        deep = left[at] >= h
+        todo, at = todo[deep], at[deep]
+        key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + step]
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[todo] = at
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(heads, len(at)))
         rank[at] = np.repeat(todo[heads], sizes)
         todo = todo[np.repeat(sizes > 1, sizes)]
-        h *= 2
-    return order, words
+    shared = np.zeros(len(data), dtype=bool)
+    shared[order[todo]] = True
+    return order[left[order] >= depth], shared, words
 
 
 def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
@@ -187,8 +195,9 @@ def repeats(slices: list[bytes], windows: list[int], weights: np.ndarray, length
     order has the places (in flags) of all windows in suffix order. A slice of weight two or more stands for as many equal texts.
     """
     data = np.frombuffer(b"".join(slices), dtype=np.uint8)
-    order, words = suffix_array(data, length)
-    base = np.concatenate([[0], np.cumsum([len(s) for s in slices])])
+    sizes = np.array([len(s) for s in slices])
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    order, shared, words = suffix_array(data, length, np.repeat(base[1:], sizes) - np.arange(len(data)))
     counts = np.asarray(windows)
     offset = np.concatenate([[0], np.cumsum(counts)])
     flag_at = np.full(len(data), -1, dtype=np.int64)  # place in flags of a window's start
@@ -205,9 +214,12 @@ def repeats(slices: list[bytes], windows: list[int], weights: np.ndarray, length
     for t in range(int(counts.max(initial=0))):
         lanes = lanes[counts[lanes] > t]
         a = base[lanes] + t
+        alone = ~shared[a]  # of its rank, so that nothing is left to compare
+        known[lanes[alone]] = 0
+        own, a = lanes[~alone], a[~alone]
         p = place[a]
         b = order[np.maximum(p - 1, 0)]
-        l = np.where(p > 0, _common(words, a, b, np.where(p > 0, known[lanes], 0), length), 0)
+        l = np.where(p > 0, _common(words, a, b, np.where(p > 0, known[own], 0), length), 0)
         hit = l >= length
         flags[flag_at[a[hit]]] = True
         flags[flag_at[b[hit]]] = True
@@ -215,7 +227,7 @@ def repeats(slices: list[bytes], windows: list[int], weights: np.ndarray, length
         x, y = np.minimum(a + 1, len(data) - 1), np.minimum(b + 1, len(data) - 1)
         follows = (p > 0) & (flag_at[x] == flag_at[a] + 1) & (flag_at[y] == flag_at[b] + 1)
         follows &= np.where(follows, place[y], 1) < np.where(follows, place[x], 0)
-        known[lanes] = np.where(follows, np.maximum(l - 1, 0), 0)
+        known[own] = np.where(follows, np.clip(l - 1, 0, length), 0)
     return flags, offset, flag_at[order], starts, data
 
 
