@@ -7,7 +7,9 @@ matches of one document, item and alignment (difference of places) are held
 together: their slots must correspond one to one, so that a re-parameterised
 question matches and unrelated text of the same shape does not. A document
 leaks an item if its consistent matches cover half of the item's windows, or
-``MIN_RUN`` of them.
+``MIN_RUN`` of them. Only documents that share a seed with an item (some of the
+tokens of a window, looked up at every ``STRIDE``-th place, which no window can
+miss) are taken that far.
 
 Defined results: null texts match nothing; items under ``SHORTEST`` tokens are
 too short to tell and match nothing; empty tables give no rows; repeated rows of
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridwise.llm._common import checkpointed, sized
 
-WINDOW, SHORTEST, MIN_COVER, MIN_RUN = 8, 5, 0.5, 6
+WINDOW, SHORTEST, MIN_COVER, MIN_RUN, STRIDE = 8, 5, 0.5, 6, 4
 #: Slots of a window at most; the rest are words.
 MAX_SLOTS = 4
 UNITS = "km|cm|mm|kg|mg|ml|lb|lbs|oz|ft|mph|kmh|km/h|kW|MW|GB|MB|Hz|m|g|l|s|h|min|meters|metres|miles|inches|feet|pounds|grams|liters|litres|hours|minutes|seconds|days|weeks|months|years|dollars|euros|percent|degrees"
@@ -35,7 +37,7 @@ MARK = "ʘ"  # a letter that starts placeholders
 
 def marked(text: Column) -> Column:
     """text with its slots wrapped as \\x02 type value \\x03."""
-    text = F.translate(F.coalesce(text, F.lit("")), "\x02\x03", "")
+    text = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x02"), F.lit("")), F.lit("\x03"), F.lit(""))
     text = F.regexp_replace(text, NAME, "$1\x02n$2\x03")
     text = F.regexp_replace(text, NUMBER, "\x02z$1\x03")
     return F.when(F.contains(text, F.lit("\x02z")), F.regexp_replace(text, UNIT, "$1\x02u$2\x03$3")).otherwise(text)
@@ -43,7 +45,7 @@ def marked(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Template tokens of a marked text."""
-    flat = F.lower(F.regexp_replace(text, SLOT, f" {MARK}$1 "))
+    flat = F.lower(F.when(F.contains(text, F.lit("\x02")), F.regexp_replace(text, SLOT, f" {MARK}$1 ")).otherwise(text))
     return F.array_remove(F.split(flat, r"[^\p{L}\p{N}]+"), "")
 
 
@@ -93,7 +95,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     known = sized(index.select("hash").distinct())
 
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    tokens = own.select("doc", F.xxhash64("text").alias("rk"), F.transform(template(marked(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
+    # every window of n tokens holds a whole seed of n - STRIDE + 1 tokens at a place divisible by STRIDE
+    seed = min(sizes, default=WINDOW) - STRIDE + 1
+    item_at = F.explode(F.sequence(F.lit(0), F.size("tokens") - seed)).alias("i")
+    seeds = items.select("tokens", item_at).select(F.xxhash64(*[F.xxhash64(F.get("tokens", F.col("i") + k)) for k in range(seed)]).alias("seed")).distinct()
+    hashes = lambda df: df.select("doc", F.xxhash64("text").alias("rk"), F.transform(template(marked(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
+    places = lambda h: F.sequence(F.lit(0), F.size(h) - seed, F.lit(STRIDE))
+    aligned_seeds = F.transform(places(F.col("h")), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(seed)]))
+    sown = hashes(own).filter(F.size("h") >= seed).select("doc", "rk", F.explode(aligned_seeds).alias("seed"))
+    near = sown.join(sized(checkpointed(seeds)), "seed", "left_semi").select(F.col("doc").alias("sdoc"), F.col("rk").alias("srk")).distinct()
+    own = own.join(sized(checkpointed(near)), F.expr("xxhash64(text) = srk and doc <=> sdoc"), "left_semi")
+    tokens = hashes(own)
     found = None
     for n in sizes or [WINDOW]:
         one = tokens.filter(F.size("h") >= n).select("doc", "rk", F.posexplode(_windows(F.col("h"), n)).alias("d_at", "hash")).join(known, "hash", "left_semi")
