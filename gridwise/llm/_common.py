@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,13 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the shared checkpoint folder and read back: smaller than a checkpoint of rows."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a join side that may be broadcast; beyond it the join sorts and merges.
 BROADCAST_ROWS = 100_000
 
