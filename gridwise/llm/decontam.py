@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm._common import checkpointed, sized
+from gridwise.llm._common import checkpointed, let, sized
 
 WINDOW, SHORTEST, MIN_COVER, MIN_RUN, STRIDE = 8, 5, 0.5, 6, 4
 #: Slots of a window at most; the rest are words.
@@ -56,6 +56,12 @@ def _windows(hashes: Column, n: int) -> Column:
     return F.when(F.size(hashes) >= n, h)
 
 
+def _seeds(hashes: Column, n: int) -> Column:
+    """Hashes of the n tokens at every STRIDE-th place."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)), F.lit(STRIDE))
+    return F.when(F.size(hashes) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)])))
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, tokens, slots, n): the items that are long enough."""
     one = benchmark.groupBy(F.col(id_col).alias("item")).agg(F.min(text_col).alias("t"))
@@ -99,16 +105,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seed = min(sizes, default=WINDOW) - STRIDE + 1
     item_at = F.explode(F.sequence(F.lit(0), F.size("tokens") - seed)).alias("i")
     seeds = items.select("tokens", item_at).select(F.xxhash64(*[F.xxhash64(F.get("tokens", F.col("i") + k)) for k in range(seed)]).alias("seed")).distinct()
-    hashes = lambda df: df.select("doc", F.xxhash64("text").alias("rk"), F.transform(template(marked(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
-    places = lambda h: F.sequence(F.lit(0), F.size(h) - seed, F.lit(STRIDE))
-    aligned_seeds = F.transform(places(F.col("h")), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(seed)]))
-    sown = hashes(own).filter(F.size("h") >= seed).select("doc", "rk", F.explode(aligned_seeds).alias("seed"))
-    near = sown.join(sized(checkpointed(seeds)), "seed", "left_semi").select(F.col("doc").alias("sdoc"), F.col("rk").alias("srk")).distinct()
+    hashes = F.transform(template(marked(F.col("text"))), lambda x: F.xxhash64(x))
+    near = own.select("doc", F.xxhash64("text").alias("rk"), F.explode(let(hashes, lambda h: _seeds(h, seed))).alias("seed"))
+    near = near.join(sized(checkpointed(seeds)), "seed", "left_semi").select(F.col("doc").alias("sdoc"), F.col("rk").alias("srk")).distinct()
     own = own.join(sized(checkpointed(near)), F.expr("xxhash64(text) = srk and doc <=> sdoc"), "left_semi")
-    tokens = hashes(own)
     found = None
     for n in sizes or [WINDOW]:
-        one = tokens.filter(F.size("h") >= n).select("doc", "rk", F.posexplode(_windows(F.col("h"), n)).alias("d_at", "hash")).join(known, "hash", "left_semi")
+        windows_n = F.posexplode(let(hashes, lambda h, n=n: _windows(h, n))).alias("d_at", "hash")
+        one = own.select("doc", F.xxhash64("text").alias("rk"), windows_n).join(known, "hash", "left_semi")
         found = one if found is None else found.union(one)
     found = checkpointed(found.distinct())
     pairs = found.hint("merge").join(index, "hash")
