@@ -56,6 +56,10 @@ def _windows(hashes: Column, n: int) -> Column:
     return F.when(F.size(hashes) >= n, h)
 
 
+def _sized_windows(n: int):
+    return lambda hashes: _windows(hashes, n)
+
+
 def _seeds(hashes: Column, n: int) -> Column:
     """Hashes of the n tokens at every STRIDE-th place."""
     at = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)), F.lit(STRIDE))
@@ -111,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     own = own.join(sized(checkpointed(near)), F.expr("xxhash64(text) = srk and doc <=> sdoc"), "left_semi")
     found = None
     for n in sizes or [WINDOW]:
-        windows_n = F.posexplode(let(hashes, lambda h, n=n: _windows(h, n))).alias("d_at", "hash")
+        windows_n = F.posexplode(let(hashes, _sized_windows(n))).alias("d_at", "hash")
         one = own.select("doc", F.xxhash64("text").alias("rk"), windows_n).join(known, "hash", "left_semi")
         found = one if found is None else found.union(one)
     found = checkpointed(found.distinct())
