@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units after numbers
+Numbers, names (capitalised words inside a sentence; words in capitals are words) and units after numbers
 become typed placeholders, on both sides; the rest is lower-cased words. Windows
 of ``WINDOW`` template tokens (whole items, if shorter) are joined by hash, and
 matches of one document, item and alignment (difference of places) are held
@@ -28,7 +28,7 @@ WINDOW, SHORTEST, MIN_COVER, MIN_RUN, STRIDE = 8, 5, 0.5, 6, 4
 #: Slots of a window at most; the rest are words.
 MAX_SLOTS = 4
 UNITS = "km|cm|mm|kg|mg|ml|lb|lbs|oz|ft|mph|kmh|km/h|kW|MW|GB|MB|Hz|m|g|l|s|h|min|meters|metres|miles|inches|feet|pounds|grams|liters|litres|hours|minutes|seconds|days|weeks|months|years|dollars|euros|percent|degrees"
-NAME = r"([\p{Ll},;:] )(\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*)"
+NAME = r"([\p{Ll},;:] )(\p{Lu}\p{Ll}[\p{L}'’-]*(?: \p{Lu}\p{Ll}[\p{L}'’-]*)*)"
 NUMBER = r"([0-9]+(?:[.,:/-][0-9]+)*)"
 UNIT = rf"(\x02z[^\x03]*\x03 ?)({UNITS})([^\p{{L}}]|$)"
 SLOT = "\x02([a-z])([^\x03]*)\x03"

@@ -14,7 +14,7 @@ def op9_benchmark_leaks(spark, sf_dir):
 _UNITS = decontam.UNITS
 _TEMPLATE = rf"""
 m AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(t,
-      '([\p{{Ll}},;:] )(\p{{Lu}}[\p{{L}}''’-]*(?: \p{{Lu}}[\p{{L}}''’-]*)*)', '\1' || chr(2) || 'n\2' || chr(3), 'g'),
+      '([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}}[\p{{L}}''’-]*(?: \p{{Lu}}\p{{Ll}}[\p{{L}}''’-]*)*)', '\1' || chr(2) || 'n\2' || chr(3), 'g'),
       '([0-9]+(?:[.,:/-][0-9]+)*)', chr(2) || 'z\1' || chr(3), 'g'),
       '(\x02z[^\x03]*\x03 ?)({_UNITS})([^\p{{L}}]|$)', '\1' || chr(2) || 'u\2' || chr(3) || '\3', 'g') AS t FROM src),
 k AS (SELECT id, list_filter(string_split_regex(lower(regexp_replace(t, '\x02([a-z])([^\x03]*)\x03', ' ʘ\1 ', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS tok,
