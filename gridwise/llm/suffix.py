@@ -158,6 +158,8 @@ def suffix_array(data: np.ndarray, depth: int, left: np.ndarray) -> tuple[np.nda
         at = order[todo]
         deep = left[at] >= h
         todo, at = todo[deep], at[deep]
+        if not len(todo):
+            break
         key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + step]
         by = np.argsort(key)
         at, key = at[by], key[by]
