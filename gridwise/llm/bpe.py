@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_WS}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-_KEEP = 120_000  # words in each of the two generations whose ids a worker keeps
+_KEEP = 100_000  # words in each of the two generations whose ids a worker keeps
 _NEVER = 1 << 60
 
 
