@@ -138,3 +138,19 @@ def l6(spark, d):
 @query("l7_static_expand", "SELECT vec_id, frame FROM embeddings, range(5) t(frame)")
 def l7(spark, d):
     return L.static_expand(table(spark, d, "embeddings").select("vec_id"), 5)
+
+
+@query("j19_subject_weights", f"WITH {FEATURES} SELECT item, frame, layer, round((item % 5 - 2) / 4e0, 6) AS w FROM f")
+def j19(spark, d):
+    f = features(spark, d).select("item", "frame", "layer")
+    weights = f.select("item").distinct().withColumn("w", (F.pmod("item", F.lit(5)) - 2) / 4)
+    return f.join(weights, "item").withColumn("w", F.round("w", 6))
+
+
+@query("d4_prediction_modes", _HEAD.format(expr=f"sum(v * {_W.format(s=0)}) + o / 10e0").replace("SELECT item,", "SELECT 'group_only' AS mode, item,").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5") + " UNION ALL " + _HEAD.format(expr=f"sum(v * ({_W.format(s=0)} + {_W.format(s='item')})) + 2 * (o / 10e0)").removeprefix(f"WITH {FEATURES} ").replace("SELECT item,", "SELECT 'full' AS mode, item,").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5"))
+def d4(spark, d):
+    out = None
+    for mode in ("group_only", "full"):
+        one = _scored(L.group_residual(features(spark, d), *_weights(), {s: _weights(s) for s in range(10)}, mode, "item")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.union(one)
+    return out
