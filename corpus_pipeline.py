@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.llm import bpe, decontam, linetree, quality, simhash
+from gridwise.llm import bpe, decontam, linetree, nearcopies, quality, simhash
 from gridwise.llm._common import ensure_checkpoint_dir, table
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
+    return simhash.keep_one(docs, classes=nearcopies.near_copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,10 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.hint("merge").join(named, "fp").select(F.col(id_col), "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of near-duplicates (smallest id, then text hash), all columns as they are."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_duplicates) -> DataFrame:
+    """One row of each component of ``classes`` (smallest id, then text hash), all columns as they are."""
     keyed = docs.withColumn("__key", F.struct(F.col(id_col), F.xxhash64(F.col(text_col))))
-    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col)
+    found = classes(keyed.select("__key", text_col), "__key", text_col)
     heads = found.filter("__key <=> component").select(F.col("__key").alias("__head")).distinct()
     kept = keyed.hint("merge").join(heads, F.expr("__key <=> __head"), "left_semi")
     first = kept.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).filter("__n = 1")

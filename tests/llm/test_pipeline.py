@@ -79,6 +79,26 @@ def test_pipeline(spark):
     assert got == want and bad
 
 
+def one_of_each_near_copy(docs):
+    """The near-duplicate stage's own rule: components of pairs with a 5-word Jaccard similarity of 0.8 or more."""
+    sets, root = [], list(range(len(docs)))
+    for _, t in docs:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return [d for i, d in enumerate(docs) if root[i] == i]
+
+
+def test_pipeline_without_near_copies(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "one_of_each", one_of_each_near_copy)
+    test_pipeline(spark)
+
+
 def test_stages_keep_the_columns_and_take_empty_tables(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

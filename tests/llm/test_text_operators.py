@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwise.llm import bpe, catalog, chat, decontam, linetree, quality, rollup, simhash, suffix, warc
+from gridwise.llm import bpe, catalog, chat, decontam, linetree, nearcopies, quality, rollup, simhash, suffix, warc
 from gridwise.llm import license as scans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -226,6 +226,58 @@ def test_components_equal_brute_force(spark, monkeypatch, cap):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def word_edited_copies():
+    """Pairs of texts: a copy with a few words changed, far over two bits apart."""
+    rng, out = random.Random(21), []
+    for i in range(25):
+        w = sentence(rng, 150).split()
+        other = list(w)
+        for at in rng.sample(range(150), 3):
+            other[at] = f"edit{i}x{at}"
+        out += [" ".join(w), " ".join(other)]
+    return out
+
+
+def test_the_pipeline_removes_word_edited_copies(spark):
+    import corpus_pipeline
+
+    copies, rng = word_edited_copies(), random.Random(22)
+    texts = [*odd_texts(), *copies, *[sentence(rng, 80) for _ in range(5)]]
+    sets = [nearcopies.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if nearcopies.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    # the bound is on the words themselves: 3 changed words touch 15 of 146 shingles at most
+    words = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in copies]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(words[::2], words[1::2], strict=True))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), SF).collect())
+    assert got == [i for i in range(len(texts)) if root[i] == i] and len(got) <= len(texts) - 25
+    assert nearcopies.near_copies(documents(spark, [])).count() == 0
+
+
+def test_near_copies_link_through_a_middle_text(spark):
+    rng = random.Random(23)
+    base = sentence(rng, 200).split()
+    texts = [" ".join(base)]
+    for i in range(12):  # each close to the base, not to one another
+        w = list(base)
+        for at in rng.sample(range(200), 4):
+            w[at] = f"e{i}x{at}"
+        texts.append(" ".join(w))
+    assert {r.component for r in nearcopies.near_copies(documents(spark, texts[::-1])).collect()} == {0}
+
+
+def test_bands_find_nearly_every_pair_at_the_bound():
+    rng, met = np.random.default_rng(5), 0
+    for _ in range(2000):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (200, 25, 25))
+        met += bool((nearcopies.sketch(np.concatenate([both, a])) == nearcopies.sketch(np.concatenate([both, b]))).any())
+    assert met >= 1998
+
+
 # --- 9 decontamination ------------------------------------------------------------------------------------------------------------
 
 
