@@ -4,17 +4,17 @@ Each line with a word is split into tokens; tokens with a digit are variable
 fields. The tree has a fixed depth: token count, then the leading ``DEPTH``
 tokens. Inside a leaf, lines whose tokens agree in ``SIMILAR`` of all places are
 one template, with wildcards where they differ (leaves with over ``CROWDED``
-different lines go ``DEEP`` tokens down instead). A template that occurs in
-``MIN_DOCS`` documents or more recurs, and its lines are dropped everywhere.
-A document that would lose more than ``MAX_LOSS`` of its line characters is a
-copy of others, not a carrier of boilerplate: it is left to near-duplicate
-removal and keeps its lines.
+different lines go ``DEEP`` tokens down instead). Copies are told apart first:
+documents of equal or near-equal texts (``nearcopies``) count as one. A template
+that occurs in ``MIN_DOCS`` such documents or more, or in ``MIN_PASSAGE`` if it
+has over ``PASSAGE`` tokens, recurs, and its lines are dropped in every document,
+whatever share of it they are.
 
 Only hashes travel: lines whose leaf is found in one document only are left out
 by a count before anything else, and texts are joined once, at the end.
 
 Defined results: null text has no lines; blank lines are kept and never count;
-repeated rows are separate documents; null ids are allowed; an empty table
+repeated rows count as one document; null ids are allowed; an empty table
 gives no rows; long lines and texts are whole; other columns pass through.
 """
 
@@ -29,9 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm._common import checkpointed, let, stored
+from gridwise.llm._common import checkpointed, stored
+from gridwise.llm.nearcopies import near_copies
 
-DEPTH, DEEP, SIMILAR, MIN_DOCS, MAX_LOSS, CROWDED = 3, 8, 0.7, 3, 0.5, 2000
+DEPTH, DEEP, SIMILAR, CROWDED = 3, 8, 0.7, 2000
+MIN_DOCS, MIN_PASSAGE, PASSAGE = 3, 2, 50
+_OFTEN = f"n >= if(size > {PASSAGE}, {MIN_PASSAGE}, {MIN_DOCS})"
 _DIGIT = re.compile(rb"[0-9]")
 _WILD = b"<*>"
 
@@ -130,19 +133,18 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(did, rk, lines array<int>): the numbers of the lines of recurring templates, by document."""
     keyed = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     lines = stored(_lines(keyed))
-    # repeated rows are as many documents: their lines occur more than once with one number
-    counts = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {MIN_DOCS}").select("leaf")
+    counts = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("codes")).alias("size")).filter(_OFTEN).select("leaf")
     some = checkpointed(lines.hint("merge").join(counts, "leaf", "left_semi"))
     kinds = some.groupBy("leaf", "line").agg(F.min("codes").alias("codes"))
     crowd = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     leaves = kinds.hint("merge").join(crowd, "leaf").select(F.when(F.col("kinds") > CROWDED, F.xxhash64("leaf", F.substring("codes", 1, DEEP))).otherwise(F.col("leaf")).alias("leaf"), "line", "codes")
     merged = leaves.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_clusters, "leaf long, line long, template long")
     merged = checkpointed(merged.groupBy("line").agg(F.min("template").alias("template")))
-    named = some.select("did", "rk", "number", "line").hint("merge").join(merged, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    named = checkpointed(named.select("did", "rk", "number", "template"))
-    copies = named.groupBy("template", "did", "rk", "number").count()
-    docs_of = copies.groupBy("template", "did", "rk").agg(F.max("count").alias("n"))
-    often = docs_of.groupBy("template").agg(F.sum("n").alias("n")).filter(f"n >= {MIN_DOCS}").select("template")
+    named = some.select("did", "rk", "number", "line", F.length("codes").alias("size")).hint("merge").join(merged, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    named = checkpointed(named.select("did", "rk", "number", "size", "template"))
+    copies = near_copies(keyed.select("rk", "text"), "rk").distinct()  # equal texts have one key
+    docs_of = named.select("template", "size", "rk").distinct().hint("merge").join(copies, "rk").select("template", "size", "component").distinct()
+    often = docs_of.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("template")
     gone = named.hint("merge").join(often, "template", "left_semi")
     return gone.groupBy("did", "rk").agg(F.collect_set("number").alias("lines"))
 
@@ -154,10 +156,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.hint("merge").join(gone, ["__did", "__rk"], "left")
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     has_word = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""
-    chars = lambda ls: F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x))
-    total = chars(F.filter(all_lines, has_word))
-    lost = let(all_lines, lambda ls: chars(F.transform("__lines", lambda i: F.get(ls, i))))
-    drops = F.col("__lines").isNotNull() & (lost <= MAX_LOSS * total)
+    drops = F.col("__lines").isNotNull()
     kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
     decided = joined.withColumn("__drops", drops)
     return decided.select(

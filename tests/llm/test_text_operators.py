@@ -147,6 +147,18 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert linetree.drop_recurring(documents(spark, [])).count() == 0
 
 
+def test_recurring_passages_go_whatever_their_share(spark):
+    rng = random.Random(12)
+    passage, short = sentence(rng, 60), sentence(rng, 20)
+    own = [sentence(rng, 12) for _ in range(8)]
+    texts = [f"{own[0]}\n{passage}", f"{passage}\n{own[1]}", *[f"{own[i]}\n{short}\n{passage[:0]}" for i in (2, 3, 4)], f"{own[5]}\n{sentence(rng, 70)}"]
+    edited = sentence(rng, 90).split()
+    texts += [" ".join(edited), " ".join(edited), " ".join([*edited[:-1], "changed"])]  # copies of one text: nothing in them recurs
+    rows = {r.doc_id: r for r in linetree.drop_recurring(documents(spark, texts)).collect()}
+    assert [rows[i].text.strip("\n") for i in range(5)] == own[:5]
+    assert all(rows[i].text == texts[i] and rows[i].n_dropped == 0 for i in range(5, 9))
+
+
 def test_cluster_generalises_a_field():
     codes = np.array([[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 5, 6, 7, 9], [9, 8, 7, 6, 5, 4, 3, 2]], dtype=np.uint8)
     assert linetree.cluster(np.array([10, 20, 30]), codes).tolist() == [10, 10, 30]
