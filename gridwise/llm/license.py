@@ -1,9 +1,9 @@
-"""License scans: winnowed template fingerprints, then banded alignment.
+"""License scans: grams of whole license texts and of short notices, then banded alignment.
 
-The templates are short and few, so their inverted index (fingerprint -> template
-and place) travels with the tasks. A template's fingerprints are the winnowed
-hashes of its ``GRAM``-word grams; a document's grams are looked up in the index,
-which gives candidate templates and diagonals. Each candidate is aligned word by
+The templates are few, so their inverted index (gram -> template and place)
+travels with the tasks. A document's ``GRAM``-word grams are looked up in it;
+diagonals with as many grams as the coverage needs are candidates. Templates
+under ``SHORT`` words need no gram: enough of their words in one band do. Each candidate is aligned word by
 word in a band of ``BAND`` words about its diagonal; a template of which
 ``MIN_COVERAGE`` of the words match in order is reported with its character span.
 
@@ -14,16 +14,17 @@ rows; long texts are scanned whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINNOW, BAND, MIN_COVERAGE = 3, 2, 8, 0.8
+GRAM, BAND, MIN_COVERAGE, SHORT = 3, 8, 0.8, 16
 _WORD = re.compile(r"\w+")
 
 #: Notices and permission texts of public licenses.
@@ -42,7 +43,10 @@ TEMPLATES = {
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": (
@@ -55,35 +59,47 @@ TEMPLATES = {
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
+        "the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     "unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
         "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
 }
+_KINDS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES |= {f"cc-{k}-4.0-short": f"Licensed under CC {k.upper()} 4.0." for k in _KINDS}
+TEMPLATES |= {f"cc-{k}-4.0-notice": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _KINDS.items()}
+#: Whole texts of the longer licenses, one file each.
+TEMPLATES |= {p.stem.lower(): p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def winnow(words: list[str], k: int = GRAM, w: int = WINNOW) -> list[int]:
-    """Places of the winnowed k-grams: the least hash of every w consecutive ones (rightmost if equal)."""
-    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
-    if not h:
-        return []
-    picks = {min(range(i, min(i + w, len(h))), key=lambda j: (h[j], -j)) for i in range(max(1, len(h) - w + 1))}
-    return sorted(picks)
-
-
 class Index:
-    """Inverted index of the templates' winnowed grams, over the templates' own vocabulary."""
+    """Inverted index of the templates' grams, over the templates' own vocabulary."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -93,9 +109,10 @@ class Index:
         entries: dict[int, list[tuple[int, int]]] = {}
         for t, ws in enumerate(self.words):
             codes = [self.code[w] for w in ws]
-            for p in winnow(ws):
+            for p in range(len(ws) - GRAM + 1 if len(ws) >= SHORT else 0):
                 entries.setdefault(self.gram(codes[p : p + GRAM]), []).append((t, p))
         self.entries = entries
+        self.short = [(t, np.array(sorted({self.code[w] for w in ws})), math.ceil(MIN_COVERAGE * len(ws))) for t, ws in enumerate(self.words) if len(ws) < SHORT]
         self.grams = np.array(sorted(entries), dtype=np.int64)
 
     def gram(self, codes) -> int:
@@ -107,18 +124,11 @@ class Index:
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(template, words matched, words, start, stop) of every occurrence in text."""
         words = tokens(text)
-        n = len(words) - GRAM + 1
-        if n < 1:
-            return []
         get = self.code.get
         codes = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        if np.count_nonzero(codes) < GRAM:
+        found = sorted({*self._near_grams(codes), *self._near_words(codes)})
+        if not found:
             return []
-        grams = codes[:n].copy()
-        for i in range(1, GRAM):
-            grams = grams * self.base + codes[i : n + i]
-        hits = np.flatnonzero(np.isin(grams, self.grams))
-        found = sorted({(t, int(p) - q) for p in hits for t, q in self.entries[int(grams[p])]})
         out, spans = [], None
         for t in {t for t, _ in found}:
             past = -1  # last place of the occurrence before
@@ -132,7 +142,59 @@ class Index:
                             spans = [m.span() for m in _WORD.finditer(text.lower())]
                     past = best[2]
                     out.append((self.names[t], best[0], len(self.words[t]), spans[best[1]][0], spans[best[2]][1]))
-        return sorted(out, key=lambda x: (x[3], x[0]))
+        return sorted(self._best(out, spans), key=lambda x: (x[3], x[0]))
+
+    def _near_grams(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(template, diagonal) of long templates with enough grams about the diagonal.
+
+        A word missed or changed breaks GRAM grams, one put in GRAM - 1 and moves the diagonal, which the band bounds.
+        """
+        n = len(codes) - GRAM + 1
+        if n < 1 or np.count_nonzero(codes) < GRAM:
+            return []
+        grams = codes[:n].copy()
+        for i in range(1, GRAM):
+            grams = grams * self.base + codes[i : n + i]
+        at = np.searchsorted(self.grams, grams)
+        hits = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == grams) if len(self.grams) else at[:0]
+        places: dict[int, list[int]] = {}
+        for p in hits.tolist():
+            for t, q in self.entries[int(grams[p])]:
+                places.setdefault(t, []).append(p - q)
+        out = []
+        for t, d in places.items():
+            d = np.sort(np.array(d))
+            m = len(self.words[t])
+            least = m - GRAM + 1 - GRAM * (m - math.ceil(MIN_COVERAGE * m)) - (GRAM - 1) * 2 * BAND
+            kinds = np.unique(d)
+            near = np.searchsorted(d, kinds + BAND * 2, "right") - np.searchsorted(d, kinds - BAND * 2)
+            out += [(t, x) for x in kinds[near >= max(1, least)].tolist()]
+        return out
+
+    def _near_words(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(template, diagonal) of short templates that have enough of their words in one band; no gram is asked for."""
+        seen, out = set(codes.tolist()), []
+        for t, own, need in self.short:
+            if sum(c in seen for c in own.tolist()) < need - (len(self.words[t]) - len(own)):
+                continue
+            m = len(self.words[t])
+            at = np.flatnonzero(np.isin(codes, own))
+            width = m + 2 * BAND
+            for i, p in enumerate(at.tolist()):
+                if np.searchsorted(at, p + width) - i >= need:
+                    first = [q for q in range(m) if self.code[self.words[t][q]] == codes[p]]
+                    out += [(t, p - q) for q in first if q <= m - need]
+        return out
+
+    def _best(self, out: list, spans: list | None) -> list:
+        """Of short notices over the same words, those with the fewest words missed or put in: CC BY-NC is no CC BY."""
+        if len(out) < 2:
+            return out
+        starts, short = {s[0]: i for i, s in enumerate(spans)}, lambda x: x[2] < SHORT
+        ends = {s[1]: i for i, s in enumerate(spans)}
+        errors = lambda x: (x[2] - x[1]) + (ends[x[4]] - starts[x[3]] + 1 - x[1])
+        beaten = lambda x: any(short(y) and y[3] < x[4] and x[3] < y[4] and errors(y) < errors(x) for y in out)
+        return [x for x in out if not short(x) or not beaten(x)]
 
 
 def align(template: list[str], words: list[str], diagonal: int, low: int = 0, band: int = BAND) -> tuple[int, int, int] | None:

@@ -6,8 +6,8 @@ from gridwise.llm import license as scans
 from gridwise.llm._common import table
 
 
-def op1_license_scan(spark, sf_dir):
-    found = scans.scan(table(spark, sf_dir, "documents"))
+def op1_license_scan(spark, sf_dir, templates=None):
+    found = scans.scan(table(spark, sf_dir, "documents"), templates)
     return found.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_words"), 6))
 
 

@@ -66,6 +66,30 @@ def test_license_spans(spark):
     assert scans.scan(documents(spark, [])).count() == 0
 
 
+def test_short_notices_and_whole_licenses(spark):
+    gpl = scans.TEMPLATES["gpl-3"]
+    texts = ["x y. Licensed under CC BY-NC 4.0. z", "Licensed under CC BY 4.0.", "Released under an MIT License", "Released under the very MIT License", f"a {gpl} b", "distributed in the hope of the License", "This work is licensed under the GNU General Public License, version 3."]
+    rows = scans.scan(documents(spark, texts)).collect()
+    of = lambda i: {r.license for r in rows if r.doc_id == i}
+    assert of(0) == {"cc-by-nc-4.0-short"} and of(1) == {"cc-by-4.0-short"} and of(2) == of(3) == {"mit-notice"} and "gpl-3" in of(4) and not of(5)
+    assert of(6) == {"gpl-3.0-notice"}
+    assert scans.TEMPLATES["mit"].endswith("DEALINGS IN THE SOFTWARE.")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_license_lines_equal_brute_force_alignment():
+    index = scans._index(tuple(sorted(scans.TEMPLATES.items())))
+    lines = {x for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall() for x in (r[0] or "").split("\n") if "icense" in x and len(x) < 200}
+    assert lines
+    for line in lines:
+        words, best = scans.tokens(line), set()
+        for t, ws in enumerate(index.words):
+            if len(ws) < scans.SHORT and any((b := scans.align(ws, words, d)) and b[0] >= scans.MIN_COVERAGE * len(ws) for d in range(-len(ws), len(words))):
+                best.add(index.names[t])
+        got = {x[0] for x in index.scan(line)}
+        assert got <= best and bool(got) == bool(best)
+
+
 # --- 2 BPE ------------------------------------------------------------------------------------------------------------------------
 
 
