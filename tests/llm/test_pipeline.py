@@ -79,23 +79,55 @@ def test_pipeline(spark):
     assert got == want and bad
 
 
-def one_of_each_near_copy(docs):
-    """The near-duplicate stage's own rule: components of pairs with a 5-word Jaccard similarity of 0.8 or more."""
-    sets, root = [], list(range(len(docs)))
-    for _, t in docs:
+def near_copy_roots(texts):
+    """Components of the pairs with a 5-word Jaccard similarity of 0.8 or more: each text's first one."""
+    sets, root = [], list(range(len(texts)))
+    for t in texts:
         w = t.encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    for i in range(len(docs)):
+    for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
-    return [d for i, d in enumerate(docs) if root[i] == i]
+    return root
+
+
+def one_of_each_near_copy(docs):
+    return [d for i, (d, r) in enumerate(zip(docs, near_copy_roots([t for _, t in docs]), strict=True)) if r == i]
+
+
+def lines_kept_by_class(docs):
+    """Recurring lines go everywhere; near copies count as one document, and two are enough for over 50 tokens."""
+    rows, leaf_n, leaves = [], Counter(), defaultdict(dict)
+    codes, signed = linetree._Codes(), lambda u: int(np.uint64(u).view(np.int64))
+    least = lambda p: 2 if len(p[0]) > 50 else 3
+    for (i, t), cls in zip(docs, near_copy_roots([t for _, t in docs]), strict=True):
+        for n, line in enumerate(t.split("\n")):
+            if p := linetree.parse(line.encode()):
+                rows.append((i, n, cls, p))
+                leaf_n[p[1]] += 1
+    for *_, p in rows:
+        if leaf_n[p[1]] >= least(p):
+            leaves[p[1]][signed(p[2])] = [codes[x] for x in p[0]]
+    template = {}
+    for kinds in leaves.values():
+        order = sorted(kinds)
+        template.update(zip(order, linetree.cluster(np.array(order), np.array([kinds[k] for k in order], dtype=np.uint8)).tolist(), strict=True))
+    name = lambda p: template.get(signed(p[2]), signed(p[2]))
+    support, gone = defaultdict(set), defaultdict(set)
+    for _, _, cls, p in rows:
+        support[name(p)].add(cls)
+    for i, n, _, p in rows:
+        if len(support[name(p)]) >= least(p):
+            gone[i].add(n)
+    return [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in docs]
 
 
 def test_pipeline_without_near_copies(spark, monkeypatch):
     monkeypatch.setitem(globals(), "one_of_each", one_of_each_near_copy)
+    monkeypatch.setitem(globals(), "lines_kept", lines_kept_by_class)
     test_pipeline(spark)
 
 
