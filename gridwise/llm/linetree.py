@@ -2,8 +2,10 @@
 
 Each line with a word is split into tokens; tokens with a digit are variable
 fields. The tree has a fixed depth: token count, then the leading ``DEPTH``
-tokens. Inside a leaf, lines whose tokens agree in ``SIMILAR`` of all places are
-one template, with wildcards where they differ (leaves with over ``CROWDED``
+tokens. Inside a leaf, lines whose tokens agree in ``SIMILAR`` of the constant places
+beyond the leading ones are one template, with wildcards where they differ;
+wildcards are no agreement, and a template keeps ``SIMILAR`` of its first line's
+constant places, so it cannot drift (leaves with over ``CROWDED``
 different lines go ``DEEP`` tokens down instead). Copies are told apart first:
 documents of equal or near-equal texts (``nearcopies``) count as one. A template
 that occurs in ``MIN_DOCS`` such documents or more, or in ``MIN_PASSAGE`` if it
@@ -89,18 +91,22 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def cluster(lines: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Template of each line of one leaf (rows of codes, one column a token place): the first line of its template."""
-    template, first = [codes[0].copy()], [lines[0]]
-    known = np.array(template)
+    codes = codes[:, DEPTH:]  # the leading tokens are the leaf's own
+    first, known = [lines[0]], codes[:1].copy()
+    began = (known != 0).sum(axis=1)  # constant places of a template's first line; SIMILAR of them stay, whatever is merged
     out = np.empty(len(lines), dtype=lines.dtype)
     for i, row in enumerate(codes):
-        same = ((known == row) | (known == 0)).mean(axis=1)
+        same = ((known == row) & (known != 0)).sum(axis=1) / np.maximum(began, 1)
         best = int(same.argmax())
-        if same[best] >= SIMILAR:
+        if i == 0:
+            best = 0
+        elif same[best] >= SIMILAR:
             known[best][(known[best] != row)] = 0
         else:
             best = len(first)
             first.append(lines[i])
             known = np.vstack([known, row])
+            began = np.append(began, (row != 0).sum())
         out[i] = first[best]
     return out
 

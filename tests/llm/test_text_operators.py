@@ -188,6 +188,17 @@ def test_cluster_generalises_a_field():
     assert linetree.cluster(np.array([10, 20, 30]), codes).tolist() == [10, 10, 30]
 
 
+def test_unrelated_lines_of_a_leaf_stay_apart():
+    lines = np.arange(1, 41)
+    four = np.array([[1, 2, 3, 10 + i] for i in range(40)], dtype=np.uint8)
+    assert linetree.cluster(lines, four).tolist() == lines.tolist()
+    drift = np.full((9, 13), 7, dtype=np.uint8)  # one place more is changed in each: the last are unlike the first
+    for i in range(9):
+        drift[i, 3 : 3 + i] = 100 + i
+    got = linetree.cluster(lines[:9], drift)
+    assert (got[:4] == 1).all() and (got[4:] != 1).all()
+
+
 # --- 6 quality --------------------------------------------------------------------------------------------------------------------
 
 
