@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The shared folder for checkpoints: spark.checkpoint.dir; on one machine (tests), a temporary one where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return configured or held.get()
-    configured = configured or tempfile.mkdtemp(prefix="gridwise-")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="gridwise-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
@@ -69,10 +72,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a join side that may be broadcast; beyond it the join sorts and merges.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (of the values as text) of a join side that may be broadcast; beyond them the join sorts and merges.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24_000_000
 
 
 def sized(side: DataFrame) -> DataFrame:
-    """side, which must be cheap to count (written out or tiny), hinted by its measured size."""
-    return side.hint("broadcast" if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "merge")
+    """side, which must be cheap to read (written out or tiny), hinted by its measured size."""
+    width = F.sum(F.octet_length(F.struct("*").cast("string")).cast("long"))
+    rows, size = side.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), width).first()
+    return side.hint("broadcast" if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else "merge")

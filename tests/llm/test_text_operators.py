@@ -328,16 +328,54 @@ def test_bands_find_nearly_every_pair_at_the_bound():
 # --- 9 decontamination ------------------------------------------------------------------------------------------------------------
 
 
+def leaked(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc, r.item) for r in decontam.leaks(documents(spark, texts), bench).collect()}
+
+
 def test_leaks(spark):
     item = "A train leaves the old station with 120 passengers and Maria Lopez pays 45 euros for 3 tickets to the coast"
     again = item.replace("120", "80").replace("45", "99").replace("Maria Lopez", "Peter Klein").replace("3 tickets", "7 tickets")
     rng = random.Random(6)
-    texts = [f"{sentence(rng)} {item}. {sentence(rng)}", f"{sentence(rng)} {again}.", sentence(rng, 80), None, "", item.upper(), "too short"]
+    texts = [f"{sentence(rng)} {item}. {sentence(rng)}", f"{sentence(rng)} {again}.", sentence(rng, 80), None, "", item.upper(), "too short", item.lower()]
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "too short", "x"), (1, item, "x")], "item_id long, text string, doc_id string")
-    assert {(r.doc, r.item) for r in decontam.leaks(documents(spark, texts), bench).collect()} >= {(0, 1), (1, 1)}
+    assert {(r.doc, r.item) for r in decontam.leaks(documents(spark, texts), bench).collect()} == {(0, 1), (1, 1), (5, 1), (7, 1)}
     kept = {r.doc_id for r in decontam.remove_leaks(documents(spark, texts), bench).collect()}
-    assert kept >= {2, 3, 4, 6} and not kept & {0, 1}
+    assert kept == {2, 3, 4, 6}
     assert decontam.remove_leaks(documents(spark, texts), bench.limit(0)).count() == len(texts)
+    assert decontam.leaks(documents(spark, []), bench).count() == 0
+
+
+def test_leaks_with_names_at_starts_and_with_many_slots(spark):
+    items = [
+        "Alice has 5 apples. Bob gives her 7 more apples. How many apples does Alice have now?",
+        "Compute 12 + 34 * 56 - 78 / 90 + 11 - 22 * 33 exactly",
+        "A car drove 60 km in 2 hours and 30 km in 1 hours on the way home",
+    ]
+    texts = [
+        "x y z Carla has 9 apples. Dora gives her 3 more apples. How many apples does Carla have now?",  # other names and numbers
+        "Carla has 9 apples. Carla gives her 3 more apples. How many apples does Dora have now?",  # slots do not correspond
+        f"first words. {items[1]} and more",
+        "the table says 1 + 2 * 3 - 4 / 5 + 6 - 7 * 8 in a row",  # numbers of no item
+        items[2].replace("60", "70").replace("30", "45"),
+    ]
+    assert leaked(spark, texts, items) == {(0, 0), (2, 1), (4, 2)}
+
+
+def test_short_items_are_whole_windows(spark):
+    items = ["seven red boats sail west", "seven red boats sail far west", "which of the seven seas is warm", "too few words here"]
+    texts = [f"so {items[0]}, they said", f"{items[1]}.", f"and {items[2]}?", items[3], "seven red boats sail on"]
+    assert leaked(spark, texts, items) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_long_runs_of_names_and_numbers_and_repeated_rows(spark):
+    item = "Which of the four rivers runs through the old town and the new harbour"
+    texts = ["Name " * 20_000 + item, "1," * 20_000 + "1 " + item, "5 km " * 20_000, "Aé-" * 20_000, item, item]
+    docs = documents(spark, texts).union(documents(spark, texts)).withColumns({c: F.lit(1) for c in ("item", "hash", "seed", "n", "t", "w")})
+    bench = spark.createDataFrame([(0, item), (1, "1,1,1,1 " * 40), (0, item + " and on to the sea past the last of the lighthouses")], "item_id long, text string")
+    rows = decontam.leaks(docs, bench).collect()
+    assert Counter((r.doc, r.item) for r in rows if r.item == 0) == {(i, 0): 2 for i in (0, 1, 4, 5)}  # two texts of one item id
+    assert {r.doc_id for r in decontam.remove_leaks(docs, bench.filter("item_id = 0")).collect()} == {2, 3}
 
 
 # --- 10 chat ----------------------------------------------------------------------------------------------------------------------
