@@ -68,7 +68,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet under the shared checkpoint folder and read back: smaller than a checkpoint of rows."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,169 +2,130 @@
 
 Each line with a word is split into tokens; tokens with a digit are variable
 fields. The tree has a fixed depth: token count, then the leading ``DEPTH``
-tokens. Inside a leaf, lines whose tokens agree in ``SIMILAR`` of the constant places
-beyond the leading ones are one template, with wildcards where they differ;
-wildcards are no agreement, and a template keeps ``SIMILAR`` of its first line's
-constant places, so it cannot drift (leaves with over ``CROWDED``
-different lines go ``DEEP`` tokens down instead). Copies are told apart first:
-documents of equal or near-equal texts (``nearcopies``) count as one. A template
-that occurs in ``MIN_DOCS`` such documents or more, or in ``MIN_PASSAGE`` if it
-has over ``PASSAGE`` tokens, recurs, and its lines are dropped in every document,
-whatever share of it they are.
-
-Only hashes travel: lines whose leaf is found in one document only are left out
-by a count before anything else, and texts are joined once, at the end.
+tokens, whose hash is the leaf. Inside a leaf, variable fields are found by how
+many of its different lines have a token at its place: a token is a field of its
+line if at most half as many lines have it there as have the line's middle token
+(by that count) at its own. A line's template is its leaf and its other tokens
+with their places, if they are ``SIMILAR`` of its constant tokens beyond the
+leading ones, else the line itself. So two lines of one template agree in every
+constant place, a template does not drift, and no task holds a leaf: all is
+counted by (leaf, place, token), whatever the leaf's size.
+
+Copies are told apart first: documents of equal or near-equal texts
+(``nearcopies``) count as one. A template that occurs in ``MIN_DOCS`` such
+documents or more, or in ``MIN_PASSAGE`` if it has over ``PASSAGE`` tokens,
+recurs, and its lines are dropped in every document, whatever share of it they
+are.
+
+Only hashes travel; texts are joined once, at the end. Sides that were
+aggregated are written before they are joined, so that a hot leaf, line or text
+is split over tasks.
 
 Defined results: null text has no lines; blank lines are kept and never count;
 repeated rows count as one document; null ids are allowed; an empty table
-gives no rows; long lines and texts are whole; other columns pass through.
+gives no rows; long lines and texts are whole; other columns pass through, and
+columns named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm._common import checkpointed, stored
+from gridwise.llm import _vector as v
+from gridwise.llm._common import let, sized, stored
 from gridwise.llm.nearcopies import near_copies
 
-DEPTH, DEEP, SIMILAR, CROWDED = 3, 8, 0.7, 2000
+DEPTH, SIMILAR = 3, 0.7
 MIN_DOCS, MIN_PASSAGE, PASSAGE = 3, 2, 50
 _OFTEN = f"n >= if(size > {PASSAGE}, {MIN_PASSAGE}, {MIN_DOCS})"
-_DIGIT = re.compile(rb"[0-9]")
-_WILD = b"<*>"
-
-
-class _Codes(dict):
-    """Token -> code of one byte, above zero; zero is the wildcard. Lines are compared place by place, so that a chance match of two tokens (1 in 255) weighs little."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        code = self[token] = zlib.crc32(token) % 255 + 1 if token != _WILD else 0
-        return code
-
-
-def parse(line: bytes) -> tuple[list[bytes], int, int] | None:
-    """(tokens, leaf, line hash) of a line, or None if it is blank."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if _DIGIT.search(line):
-        tokens = [_WILD if _DIGIT.search(t) else t for t in tokens]
-    h, count = xxhash.xxh64_intdigest, str(len(tokens)).encode()
-    return tokens, h(b" ".join((count, *tokens[:DEPTH]))), h(b" ".join(tokens))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: its document's keys, number, leaf, hash and token codes."""
+    """One row for each line with a word: its document's keys, number, leaf, hash, size and token codes (zero: a field)."""
 
     def run(batches):
-        codes = _Codes()
-        for whole, i in ((b, i) for b in batches for i in range(0, max(1, b.num_rows), 1000)):
-            batch = whole.slice(i, 1000)
-            owner, number, leaf, own, packed = [], [], [], [], []
-            for r, text in enumerate(batch.column(2)):
-                for n, line in enumerate((text.as_py() or "").split("\n")):
-                    found = parse(line.encode("utf-8", "surrogatepass"))
-                    if found:
-                        owner.append(r)
-                        number.append(n)
-                        leaf.append(found[1])
-                        own.append(found[2])
-                        packed.append(bytes(map(codes.__getitem__, found[0])))
-            at = pa.array(owner, pa.int64())
-            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (leaf, own)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), *longs, pa.array(packed, pa.binary())],
-                ["did", "rk", "number", "leaf", "line", "codes"],
-            )
-
-    return docs.mapInArrow(run, "did long, rk long, number int, leaf long, line long, codes binary")
-
-
-def cluster(lines: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Template of each line of one leaf (rows of codes, one column a token place): the first line of its template."""
-    codes = codes[:, DEPTH:]  # the leading tokens are the leaf's own
-    first, known = [lines[0]], codes[:1].copy()
-    began = (known != 0).sum(axis=1)  # constant places of a template's first line; SIMILAR of them stay, whatever is merged
-    out = np.empty(len(lines), dtype=lines.dtype)
-    for i, row in enumerate(codes):
-        same = ((known == row) & (known != 0)).sum(axis=1) / np.maximum(began, 1)
-        best = int(same.argmax())
-        if i == 0:
-            best = 0
-        elif same[best] >= SIMILAR:
-            known[best][(known[best] != row)] = 0
-        else:
-            best = len(first)
-            first.append(lines[i])
-            known = np.vstack([known, row])
-            began = np.append(began, (row != 0).sum())
-        out[i] = first[best]
-    return out
-
-
-def _clusters(batches):
-    """(leaf, line, codes) rows sorted by leaf and line -> (leaf, line, template) of the lines whose template is another line's."""
-    held: list = []
-
-    def close():
-        if len(held) < 2:
-            return None
-        lines = np.array([x[1] for x in held])
-        codes = np.array([np.frombuffer(x[2], np.uint8) for x in held])
-        template = cluster(lines, codes)
-        x = np.flatnonzero(template != lines)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), held[0][0])), pa.array(lines[x]), pa.array(template[x])], ["leaf", "line", "template"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (row[0] != held[0][0] or len(row[2]) != len(held[0][2])):
-                if (out := close()) is not None:
-                    yield out
-                held.clear()
-            held.append(row)
-    if (out := close()) is not None:
-        yield out
+        for batch in batches:
+            for at, data, bounds in v.pieces(batch.column(2)):
+                yield _line_batch(batch.slice(at, len(bounds) - 1), data, bounds)
+
+    return docs.mapInArrow(run, "did long, rk long, number int, leaf long, line long, size int, codes array<int>")
+
+
+def _line_batch(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    h, at, digit, first = v.words(data, bounds)
+    h = np.where(digit, np.uint64(0), h | np.uint64(1))
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    breaks = np.flatnonzero(data == 10)
+    number = np.searchsorted(breaks, at) - np.searchsorted(breaks, bounds[:-1])[owner]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(h)) if len(starts) else starts
+    size = ends - starts
+    leaf = v.mix(size.astype(np.uint64) * v.P1)
+    for j in range(DEPTH):
+        leaf = v.mix(leaf * v.P1 + np.where(j < size, h[np.minimum(starts + j, max(0, len(h) - 1))] if len(h) else h, np.uint64(0)))
+    line = v.sequence_hashes(h, np.append(starts, len(h)))
+    who = pa.array(owner[starts])
+    # 31 bits and a one: zero is kept for fields
+    codes = ((h >> np.uint64(32)) | (h != 0)).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            rows.column(0).take(who), rows.column(1).take(who), pa.array(number[starts].astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)),
+            pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(codes)),
+        ],
+        ["did", "rk", "number", "leaf", "line", "size", "codes"],
+    )
+
+
+def templates(kinds: DataFrame) -> DataFrame:
+    """(leaf, line, template) of the different lines (leaf, line, codes) of some leaves; lines of fields only are left out."""
+    tokens = kinds.select("leaf", "line", F.posexplode("codes").alias("place", "code")).filter(f"place >= {DEPTH} and code <> 0")
+    counts = stored(tokens.groupBy("leaf", "place", "code").agg(F.count(F.lit(1)).alias("n")))
+    counted = tokens.hint("merge").join(counts, ["leaf", "place", "code"])
+    held = counted.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", "code", "n"))).alias("t"))  # of one line
+    middle = let(F.sort_array(F.transform("t", lambda x: x["n"])), lambda n: F.get(n, F.floor(F.size(n) / 2).cast("int")))
+    held = held.withColumn("middle", middle)
+    fixed = F.filter("t", lambda x: 2 * x["n"] > F.col("middle"))
+    held = held.withColumn("fixed", F.transform(fixed, lambda x: F.struct(x["place"], x["code"])))
+    enough = F.size("fixed") >= SIMILAR * F.size("t")
+    return held.select("leaf", "line", F.when(enough, F.xxhash64("leaf", "fixed")).otherwise(F.col("line")).alias("template"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, rk, lines array<int>): the numbers of the lines of recurring templates, by document."""
     keyed = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     lines = stored(_lines(keyed))
-    counts = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("codes")).alias("size")).filter(_OFTEN).select("leaf")
-    some = checkpointed(lines.hint("merge").join(counts, "leaf", "left_semi"))
-    kinds = some.groupBy("leaf", "line").agg(F.min("codes").alias("codes"))
-    crowd = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    leaves = kinds.hint("merge").join(crowd, "leaf").select(F.when(F.col("kinds") > CROWDED, F.xxhash64("leaf", F.substring("codes", 1, DEEP))).otherwise(F.col("leaf")).alias("leaf"), "line", "codes")
-    merged = leaves.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_clusters, "leaf long, line long, template long")
-    merged = checkpointed(merged.groupBy("line").agg(F.min("template").alias("template")))
-    named = some.select("did", "rk", "number", "line", F.length("codes").alias("size")).hint("merge").join(merged, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    named = checkpointed(named.select("did", "rk", "number", "size", "template"))
-    copies = near_copies(keyed.select("rk", "text"), "rk").distinct()  # equal texts have one key
-    docs_of = named.select("template", "size", "rk").distinct().hint("merge").join(copies, "rk").select("template", "size", "component").distinct()
-    often = docs_of.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("template")
-    gone = named.hint("merge").join(often, "template", "left_semi")
+    counts = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("leaf"))
+    some = lines.drop("codes").hint("merge").join(counts, "leaf", "left_semi")
+    copies = stored(near_copies(keyed.select("rk", "text"), "rk").distinct())  # equal texts have one key
+    some = stored(some.hint("merge").join(copies, "rk"))
+    by_class = some.groupBy("leaf", "component").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("size").alias("size"))
+    leaves = by_class.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"))
+    leaves = stored(leaves.filter(_OFTEN).select("leaf", (F.col("low") < F.col("high")).alias("many")))
+    kinds = lines.select("leaf", "line", "codes").join(sized(leaves.filter("many").select("leaf")), "leaf", "left_semi")
+    made = stored(templates(stored(kinds.groupBy("leaf", "line").agg(F.first("codes").alias("codes")))))
+    named = some.hint("merge").join(leaves.select("leaf"), "leaf", "left_semi").hint("merge").join(made, ["leaf", "line"], "left")
+    named = stored(named.select("did", "rk", "number", "size", "component", F.coalesce("template", "line").alias("template")))
+    seen = named.groupBy("template", "component").agg(F.max("size").alias("size"))
+    often = stored(seen.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("template"))
+    gone = named.select("did", "rk", "number", "template").hint("merge").join(often, "template", "left_semi")
     return gone.groupBy("did", "rk").agg(F.collect_set("number").alias("lines"))
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without their recurring lines, and two columns more: n_lines (lines with a word) and n_dropped."""
-    gone = dropped(docs, id_col, text_col).select(F.col("did").alias("__did"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
+    docs = docs.drop("n_lines", "n_dropped")
+    gone = stored(dropped(docs, id_col, text_col).select(F.col("did").alias("__did"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines")))
     keyed = docs.withColumns({"__did": F.xxhash64(F.col(id_col)), "__rk": F.xxhash64(F.col(text_col))})
     joined = keyed.hint("merge").join(gone, ["__did", "__rk"], "left")
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     has_word = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""
-    drops = F.col("__lines").isNotNull()
     kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    decided = joined.withColumn("__drops", drops)
+    decided = joined.withColumn("__drops", F.col("__lines").isNotNull())
     return decided.select(
         *[F.when(F.col("__drops"), kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.size(F.filter(all_lines, has_word)).cast("long").alias("n_lines"),

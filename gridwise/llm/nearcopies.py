@@ -1,78 +1,70 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through MinHash bands.
+"""Near copies by exact Jaccard similarity of word shingles, found through SimHash and MinHash keys.
 
 A text's shingles are its runs of ``K`` words (the whole text, if shorter); two
 texts are near copies if their shingle sets have a Jaccard similarity of
-``SIMILAR`` or more. ``BANDS`` bands of ``ROWS`` MinHash values each give the
-candidates: a pair at similarity s shares a band with probability
-1 - (1 - s^ROWS)^BANDS, which is 0.99999 at 0.8 and more above. Every candidate
+``SIMILAR`` or more. Candidates come from two searches: SimHash fingerprints of
+the shingles that the Golay keys of ``simhash`` bring within two bits, and
+``BANDS`` bands of ``ROWS`` MinHash values. At a similarity of 0.8 fingerprints
+lie some ten bits apart, which no choice of a few Golay keys reaches, so the
+bands find the farther pairs: a pair at similarity s shares one with probability
+1 - (1 - s^ROWS)^BANDS, which is 0.99997 at 0.8 and more above. Every candidate
 is verified on the texts themselves, so no link is false.
 
-Equal shingle sets are one class before any of this. Candidates are verified in
-two rounds: each class of a band against the least class of the band, then, in
-bands whose classes are not all connected yet, every pair of different
+Texts of equal words are one class before any of this. Candidates are verified in
+two rounds: each class of a key against the least class of the key, then, for
+keys whose classes are not all connected yet, the pairs of different
 components. A large group of close copies is settled in the first round.
 
 Defined results: null text is the empty text; texts without words are one class;
-repeated rows give repeated results; an empty table gives no rows.
+repeated rows give repeated results; an empty table gives no rows; texts of any
+length are taken whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm._common import checkpointed
+from gridwise.llm import _vector as v
+from gridwise.llm import simhash
+from gridwise.llm._common import checkpointed, sized, stored
 from gridwise.llm.components import components
 
-K, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 5
+K, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
 _RNG = np.random.default_rng(42)
-_XOR, _TIMES = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
-_POWERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _POWERS[1]
-    return x ^ (x >> _POWERS[2])
-
-
-class _Words(dict):
-    """Word -> XXH64 value."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return value
-
-
-def shingles(text: str | None, k: int = K, known: dict | None = None) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; words as in simhash.fingerprint."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = _Words() if known is None else known
-    h = np.fromiter((known[x] for x in w), np.uint64, len(w))
-    if not len(h):
-        return h
-    n = min(k, len(h))
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = _mix(out * _POWERS[0] + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
-
-
-def sketch(hashes: np.ndarray, block: int = 512) -> np.ndarray:
-    """Keys of the bands of a shingle set that is not empty."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), block):
-        values = (hashes[None, at : at + block] ^ _XOR[:, None]) * _TIMES[:, None]
-        least = np.minimum(least, values.min(axis=1))
-    rows, out = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+_XOR, _TIMES = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+_TIMES |= np.uint32(1)
+
+
+def shingles(text: str | None, k: int = K) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a text; A-Z are lower-cased."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    h, _, _, first = v.words(data, np.array([0, len(data)]), lower=True)
+    return np.unique(v.shingles(h, first, k)[0])
+
+
+def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Keys of the bands (rows x BANDS) of the shingle sets hashes[bounds[i]:bounds[i + 1]], none of them empty."""
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((BANDS, ROWS, len(bounds) - 1), dtype=np.uint32)
+    for p in range(BANDS * ROWS):
+        x = (h ^ _XOR[p]) * _TIMES[p]
+        least[p // ROWS, p % ROWS] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), bounds[:-1])
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(bounds) - 1, axis=1)
     for j in range(ROWS):
-        out = _mix(out * _POWERS[0] + rows[:, j])
-    return out
+        out = v.mix(out * v.P1 + least[:, j])
+    return out.T
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of the shingle sets hashes[bounds[i]:bounds[i + 1]], none of them empty."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)  # eight counters of a byte each in a number
+    cuts = np.union1d(bounds[:-1], np.arange(0, bounds[-1], 255))  # few enough rows that no counter overflows
+    some = np.add.reduceat(bits, cuts, axis=0).view(np.uint8)
+    ones = np.add.reduceat(some, np.searchsorted(cuts, bounds[:-1]), axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -81,68 +73,90 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(k, cls, bands): class (hash of the shingle set) and band keys of each row of docs."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, golay: bool) -> DataFrame:
+    """(k, cls, bands, fp): class (hash of the word sequence), band keys and fingerprint of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known = _Words()
         for batch in batches:
-            cls, bands = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k, known)
-                cls.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
-                bands.append(sketch(s).view(np.int64) if len(s) else [])
-            cls = pa.array(np.array(cls, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), cls, pa.array(bands, pa.list_(pa.int64()))], ["k", "cls", "bands"])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"k {kind}, cls long, bands array<long>")
+            for at, data, bounds in v.pieces(batch.column(1)):
+                h, _, _, first = v.words(data, bounds, lower=True)
+                cls = v.sequence_hashes(h, first)
+                s, ends = v.shingles(h, first, k)
+                some = np.flatnonzero(np.diff(ends))
+                filled = np.append(ends[:-1][some], ends[-1])
+                bands, fp = np.empty((0, BANDS), np.uint64), np.zeros(len(cls), dtype=np.uint64)
+                if len(some):
+                    bands = sketch(s, filled)
+                    if golay:
+                        fp[some] = majority(s, filled)
+                size = np.concatenate([[0], np.cumsum(np.where(np.diff(ends) > 0, BANDS, 0))]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(size), pa.array(np.ascontiguousarray(bands).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(cls)), pa.array(cls.view(np.int64)), held, pa.array(fp.view(np.int64))], ["k", "cls", "bands", "fp"]
+                )
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"k {kind}, cls long, bands array<long>, fp long")
+
+
+def _sets(column: pa.Array, k: int):
+    for _, data, bounds in v.pieces(column):
+        h, _, _, first = v.words(data, bounds, lower=True)
+        s, ends = v.shingles(h, first, k)
+        yield from (np.unique(s[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float, k: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts are similar enough; texts has one text for each class."""
 
     def run(batches):
-        known, held, mine = _Words(), None, None
         for batch in batches:
-            keep = []
-            b_of = batch.column(1).to_pylist()
-            for i, b in enumerate(b_of):  # sorted by b: its set is made once
-                if b != held:
-                    held, mine = b, shingles(batch.column(3)[i].as_py(), k, known)
-                keep.append(jaccard(shingles(batch.column(2)[i].as_py(), k, known), mine) >= similar)
+            keep = [jaccard(a, b) >= similar for a, b in zip(_sets(batch.column(2), k), _sets(batch.column(3), k), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep, pa.bool_())) for j in (0, 1)], ["a", "b"])
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text"))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "a_text", "b_text")
-    return checkpointed(both.sortWithinPartitions("b").mapInArrow(run, "a long, b long"))
+    return checkpointed(both.mapInArrow(run, "a long, b long"))
+
+
+def _golay_links(classes: DataFrame) -> DataFrame:
+    """(key, cls): classes under a common key whose fingerprints link by the Golay keys of op8."""
+    prints = checkpointed(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    found = checkpointed(simhash.components_of(prints))  # (fp, root)
+    rooted = classes.select("cls", "fp").hint("merge").join(found, "fp", "left")
+    return rooted.select(F.xxhash64(F.lit("golay"), F.coalesce("root", "fp")).alias("band"), "cls")
+
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, similar: float = SIMILAR, golay: bool = False) -> DataFrame:
+    """(id_col, component): component is the smallest id reachable through links of similarity ``similar`` or more.
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, similar: float = SIMILAR) -> DataFrame:
-    """(id_col, component): component is the smallest id reachable through links of similarity ``similar`` or more."""
-    made = checkpointed(_sketches(docs, id_col, text_col, k))
-    classes = checkpointed(made.groupBy("cls").agg(F.min("k").alias("least"), F.first("bands").alias("bands")))
-    bands = classes.select("cls", F.explode("bands").alias("band"))
-    least = bands.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    met = checkpointed(bands.hint("merge").join(least, "band").select("band", "cls", "b"))
+    With golay, the SimHash search serves beside the bands.
+    """
+    made = stored(_sketches(docs, id_col, text_col, k, golay))
+    classes = stored(made.groupBy("cls").agg(F.min("k").alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
+    bands = classes.select("cls", F.explode("bands").alias("band")).select("band", "cls")
+    if golay:
+        bands = bands.union(_golay_links(classes.filter("size(bands) > 0")))
+    least = stored(bands.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b"))
+    met = stored(bands.hint("merge").join(least, "band").select("band", "cls", "b"))
     first = checkpointed(met.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct())
-    wanted = met.select("cls").distinct()
-    owners = classes.hint("merge").join(wanted, "cls").select("cls", "least")
+    owners = checkpointed(classes.hint("merge").join(met.select("cls").distinct(), "cls").select("cls", F.col("least").alias("of")))
     text = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-    texts = text.hint("merge").join(owners, text["least"].eqNullSafe(owners["least"])).select("cls", "text").dropDuplicates(["cls"])
+    texts = stored(text.join(sized(owners), F.col("least").eqNullSafe(F.col("of"))).select("cls", "text").dropDuplicates(["cls"]))
     linked = _verified(first, texts, similar, k)
     for last in (False, True):
         roots = checkpointed(components(linked).select(F.col("node").alias("cls"), "root"))
         if last:
             break
-        named = checkpointed(met.select("band", "cls").hint("merge").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-        mixed = named.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("band")
+        named = met.select("band", "cls").hint("merge").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        named = checkpointed(named)
+        mixed = checkpointed(named.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("band"))
         open_ = checkpointed(named.hint("merge").join(mixed, "band", "left_semi"))
         other = open_.select("band", F.col("cls").alias("b"), F.col("root").alias("b_root"))
         more = open_.withColumnRenamed("cls", "a").hint("merge").join(other, "band").filter("root <> b_root and a > b").select("a", "b").distinct()
         linked = linked.union(_verified(more.hint("merge").join(first, ["a", "b"], "left_anti"), texts, similar, k))
     rooted = classes.select("cls", "least").hint("merge").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    whole = rooted.hint("merge").join(heads, "root").select("cls", "component")
-    return made.hint("merge").join(whole, "cls").select(F.col("k").alias(id_col), "component")
+    whole = checkpointed(rooted.hint("merge").join(heads, "root").select("cls", "component"))
+    return made.select("cls", F.col("k").alias(id_col)).hint("merge").join(whole, "cls").select(id_col, "component")

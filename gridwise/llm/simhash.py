@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.llm._common import checkpointed
 from gridwise.llm.components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -199,17 +200,19 @@ def _through_neighbours(crowded: DataFrame, max_bits: int) -> DataFrame:
     return near.hint("merge").join(least, "near").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def components_of(prints: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints fp that link to others, at most two bits away."""
+    found = checkpointed(links(prints))
+    crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    pairs = found.filter("b is not null").union(_through_neighbours(crowded, 2))
+    return components(pairs).select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id_col, fp long, component): component is the smallest id reachable through links of at most two bits."""
-    from gridwise.llm._common import checkpointed
-
     prints = checkpointed(fingerprints(docs, id_col, text_col, k))
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = checkpointed(links(classes))
-    crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    pairs = found.filter("b is not null").union(_through_neighbours(crowded, 2))
-    roots = components(pairs).select(F.col("node").alias("fp"), "root")
-    rooted = classes.hint("merge").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.hint("merge").join(components_of(classes), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.hint("merge").join(least, "root").select("fp", "component")
     return prints.hint("merge").join(named, "fp").select(F.col(id_col), "fp", "component")
