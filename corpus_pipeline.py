@@ -8,6 +8,7 @@ back, so a lost executor costs one stage at most.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
-    return simhash.keep_one(docs, classes=nearcopies.near_copies)
+    return simhash.keep_one(docs, classes=partial(nearcopies.near_copies, golay=True))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
