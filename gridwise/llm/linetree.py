@@ -88,8 +88,7 @@ def templates(kinds: DataFrame) -> DataFrame:
     counted = tokens.hint("merge").join(counts, ["leaf", "place", "code"])
     held = counted.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", "code", "n"))).alias("t"))  # of one line
     middle = let(F.sort_array(F.transform("t", lambda x: x["n"])), lambda n: F.get(n, F.floor(F.size(n) / 2).cast("int")))
-    held = held.withColumn("middle", middle)
-    fixed = F.filter("t", lambda x: 2 * x["n"] > F.col("middle"))
+    fixed = let(middle, lambda m: F.filter("t", lambda x: 2 * x["n"] > m))
     held = held.withColumn("fixed", F.transform(fixed, lambda x: F.struct(x["place"], x["code"])))
     enough = F.size("fixed") >= SIMILAR * F.size("t")
     return held.select("leaf", "line", F.when(enough, F.xxhash64("leaf", "fixed")).otherwise(F.col("line")).alias("template"))

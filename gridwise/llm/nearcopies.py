@@ -11,9 +11,13 @@ bands find the farther pairs: a pair at similarity s shares one with probability
 is verified on the texts themselves, so no link is false.
 
 Texts of equal words are one class before any of this. Candidates are verified in
-two rounds: each class of a key against the least class of the key, then, for
-keys whose classes are not all connected yet, the pairs of different
-components. A large group of close copies is settled in the first round.
+two rounds: each class of a key against the least class of the key, which settles
+a large group of close copies; then, for keys of three classes or more that it
+did not settle, all classes of the key with one another. There no pair is a row:
+the classes of a key are dealt to blocks of some ``BLOCK``, two blocks meet in a
+task, their overlaps are a product of matrices, and only a spanning forest of
+the links leaves it. So every pair of every key is verified, and a task holds
+two blocks, however large the group.
 
 Defined results: null text is the empty text; texts without words are one class;
 repeated rows give repeated results; an empty table gives no rows; texts of any
@@ -22,6 +26,8 @@ length are taken whole.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +39,7 @@ from gridwise.llm._common import checkpointed, sized, stored
 from gridwise.llm.components import components
 
 K, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
+BLOCK = 256  # classes of a key that are dealt to one block
 _RNG = np.random.default_rng(42)
 _XOR, _TIMES = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
@@ -67,12 +74,6 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two shingle sets; two empty ones are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, golay: bool) -> DataFrame:
     """(k, cls, bands, fp): class (hash of the word sequence), band keys and fingerprint of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -99,25 +100,96 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, golay: bool)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"k {kind}, cls long, bands array<long>, fp long")
 
 
-def _sets(column: pa.Array, k: int):
-    for _, data, bounds in v.pieces(column):
-        h, _, _, first = v.words(data, bounds, lower=True)
-        s, ends = v.shingles(h, first, k)
-        yield from (np.unique(s[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, s array<long>): the sorted distinct shingle hashes of (cls, text)."""
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, k: int) -> DataFrame:
-    """The pairs (a, b) of classes whose texts are similar enough; texts has one text for each class."""
+    def run(batches):
+        for batch in batches:
+            for at, data, bounds in v.pieces(batch.column(1)):
+                h, _, _, first = v.words(data, bounds, lower=True)
+                s, ends = v.shingles(h, first, k)
+                sets = [np.unique(s[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                size = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), held], ["cls", "s"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, s array<long>")
+
+
+def _bound(similar: float) -> tuple[int, int]:
+    """(p, q): sets of m and n elements with i in common are similar enough if p * i >= q * (m + n)."""
+    f = Fraction(similar).limit_denominator(10_000)
+    return f.numerator + f.denominator, f.numerator
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough."""
+    p, q = _bound(similar)
+    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    return both.filter(p * F.size(F.array_intersect("x", "y")) >= q * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def forest(sets: list[np.ndarray], similar: float, width: int = 2048) -> np.ndarray:
+    """Root of each set: the first that it reaches by links of similarity ``similar``."""
+    p, q = _bound(similar)
+    n = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = count[column] > 1  # the others overlap with none
+    number = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], number[column[shared]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    overlap = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        held = np.zeros((len(sets), width), dtype=np.float32)
+        held[owner[part], column[part] - at] = 1
+        overlap += held @ held.T
+    a, b = np.nonzero(np.triu(p * overlap >= q * (n[:, None] + n[None, :]), 1))
+    root = np.arange(len(sets))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) of a spanning forest of each key's classes; members are (band, cls, n), n the classes of the key."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: (j != mine) | (blocks == 1))
+    dealt = members.withColumn("other", F.explode(others)).select("band", F.least(mine, "other").alias("i"), F.greatest(mine, "other").alias("j"), "cls")
+    dealt = dealt.hint("merge").join(sets, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "cls").select("band", "i", "j", "cls", "s")
 
     def run(batches):
+        key, cls, held = None, [], []
+
+        def links():
+            root = forest(held, similar) if len(held) > 1 else np.zeros(len(held), dtype=int)
+            own = np.array(cls, dtype=np.int64)
+            x = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[root[x]])], ["a", "b"])
+
         for batch in batches:
-            keep = [jaccard(a, b) >= similar for a, b in zip(_sets(batch.column(2), k), _sets(batch.column(3), k), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(keep, pa.bool_())) for j in (0, 1)], ["a", "b"])
+            for *at, c, s in zip(*(x.to_pylist() for x in batch.columns[:4]), batch.column(4), strict=True):
+                if at != key:
+                    if held:
+                        yield links()
+                    key, cls, held = at, [], []
+                cls.append(c)
+                held.append(s.values.to_numpy())
+        if held:
+            yield links()
 
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "a_text", "b_text")
-    return checkpointed(both.mapInArrow(run, "a long, b long"))
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _golay_links(classes: DataFrame) -> DataFrame:
@@ -138,24 +210,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = classes.select("cls", F.explode("bands").alias("band")).select("band", "cls")
     if golay:
         bands = bands.union(_golay_links(classes.filter("size(bands) > 0")))
-    least = stored(bands.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b"))
-    met = stored(bands.hint("merge").join(least, "band").select("band", "cls", "b"))
-    first = checkpointed(met.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct())
+    counts = stored(bands.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = stored(bands.hint("merge").join(counts, "band").select("band", "cls", "b", "n"))
     owners = checkpointed(classes.hint("merge").join(met.select("cls").distinct(), "cls").select("cls", F.col("least").alias("of")))
     text = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-    texts = stored(text.join(sized(owners), F.col("least").eqNullSafe(F.col("of"))).select("cls", "text").dropDuplicates(["cls"]))
-    linked = _verified(first, texts, similar, k)
-    for last in (False, True):
-        roots = checkpointed(components(linked).select(F.col("node").alias("cls"), "root"))
-        if last:
-            break
-        named = met.select("band", "cls").hint("merge").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        named = checkpointed(named)
-        mixed = checkpointed(named.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("band"))
-        open_ = checkpointed(named.hint("merge").join(mixed, "band", "left_semi"))
-        other = open_.select("band", F.col("cls").alias("b"), F.col("root").alias("b_root"))
-        more = open_.withColumnRenamed("cls", "a").hint("merge").join(other, "band").filter("root <> b_root and a > b").select("a", "b").distinct()
-        linked = linked.union(_verified(more.hint("merge").join(first, ["a", "b"], "left_anti"), texts, similar, k))
+    sets = stored(_sets(text.join(sized(owners), F.col("least").eqNullSafe(F.col("of"))).select("cls", "text").dropDuplicates(["cls"]), k))
+    linked = checkpointed(_similar(met.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), sets, similar))
+    settled = linked.select(F.col("a").alias("cls"), "b")
+    left = checkpointed(met.filter("n > 2 and cls <> b").hint("merge").join(settled, ["cls", "b"], "left_anti").select("band").distinct())
+    more = checkpointed(_in_blocks(met.select("band", "cls", "n").hint("merge").join(left, "band", "left_semi"), sets, similar))
+    roots = checkpointed(components(linked.union(more)).select(F.col("node").alias("cls"), "root"))
     rooted = classes.select("cls", "least").hint("merge").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
     whole = checkpointed(rooted.hint("merge").join(heads, "root").select("cls", "component"))

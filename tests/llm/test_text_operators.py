@@ -353,6 +353,38 @@ def test_the_pipeline_removes_word_edited_copies(spark):
     assert nearcopies.near_copies(documents(spark, [])).count() == 0
 
 
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    """Blocks of two and keys that the least class does not settle: the classes are those of all pairs."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 2)
+    rng = random.Random(24)
+    texts = []
+    for _ in range(3):
+        base = sentence(rng, 120).split()
+        for i in range(14):
+            w = list(base)
+            for at in rng.sample(range(120), rng.randint(0, 5)):
+                w[at] = f"e{i}x{at}"
+            texts.append(" ".join(w))
+    sets, root = [word_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    for golay in (False, True):
+        got = {r.doc_id: r.component for r in nearcopies.near_copies(documents(spark, texts), golay=golay).collect()}
+        assert [got[i] for i in range(len(texts))] == root
+    rng = np.random.default_rng(3)
+    many = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)]
+    plain = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(set(many[i]) & set(many[j])) * 10 >= 6 * len(set(many[i]) | set(many[j])):
+                a, b = sorted((plain[i], plain[j]))
+                plain = [a if r == b else r for r in plain]
+    assert nearcopies.forest(many, 0.6, width=7).tolist() == plain
+
+
 def test_near_copies_link_through_a_middle_text(spark):
     rng = random.Random(23)
     base = sentence(rng, 200).split()
