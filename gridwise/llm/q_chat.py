@@ -24,21 +24,20 @@ def op10_chat_windows(spark, sf_dir):
     )
 
 
-SQL = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(turn // {chat.BLOCK}, -1) AS block FROM (
+SQL = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
     SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{ODD}'), (-7, 1, 'assistant', '{ODD}'))),
 t AS (SELECT *, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) + {chat.OVERHEAD} AS tok,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
     length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + 14 AS chars FROM c),
-p AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id, block ORDER BY n) AS stop FROM t),
-q AS (SELECT *, stop - tok AS start, n = 1 AND role = 'system' AS sys,
-    CASE WHEN (stop - tok) // {chat.BUDGET} = (stop - 1) // {chat.BUDGET} THEN 2 * ((stop - tok) // {chat.BUDGET}) ELSE 2 * ((stop - tok) // {chat.BUDGET}) + 1 END AS k FROM p),
-w AS (SELECT conv_id, block, k, min(start) AS s, sum(chars) AS chars, bool_or(sys) AS has_sys FROM q GROUP BY 1, 2, 3),
-h AS (SELECT w.conv_id, sum(q.chars) AS chars FROM w JOIN q ON w.conv_id = q.conv_id AND w.block = q.block AND q.k < w.k AND q.start >= w.s - {chat.HISTORY} AND NOT q.sys GROUP BY 1),
-y AS (SELECT w.conv_id, sum(q.chars) AS chars FROM w JOIN q ON w.conv_id = q.conv_id AND q.sys AND NOT w.has_sys GROUP BY 1),
+p AS (SELECT *, sum(tok) OVER w AS stop, count(*) FILTER (tok > {chat.STRETCH}) OVER w AS longs, role = 'system' AND count(*) FILTER (role = 'system') OVER w = 1 AS sys
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+q AS (SELECT *, stop - tok AS start, min(stop - tok) OVER (PARTITION BY conv_id, longs, tok > {chat.STRETCH}, CASE WHEN tok > {chat.STRETCH} THEN -1 ELSE (stop - 1) // {chat.STRETCH} END) AS ws FROM p),
+w AS (SELECT DISTINCT conv_id, ws FROM q),
+h AS (SELECT w.conv_id, sum(q.chars) AS chars FROM w JOIN q ON w.conv_id = q.conv_id AND q.start < w.ws AND (q.sys OR q.start >= w.ws - {chat.HISTORY}) GROUP BY 1),
 z AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns,
     coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss FROM q GROUP BY 1)
 SELECT z.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-    CAST(z.chars + coalesce(h.chars, 0) + coalesce(y.chars, 0) AS BIGINT) AS formatted_chars FROM z LEFT JOIN h USING (conv_id) LEFT JOIN y USING (conv_id)"""
+    CAST(z.chars + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars FROM z LEFT JOIN h USING (conv_id)"""
 
 
 def queries():

@@ -485,6 +485,46 @@ def test_long_runs_of_names_and_numbers_and_repeated_rows(spark):
 # --- 10 chat ----------------------------------------------------------------------------------------------------------------------
 
 
+def chat_brute_force(rows, stretch, history):
+    """Windows of one conversation's turns (role, text) in order: (own turns, repeats)."""
+    tokens = [len((t or "").split()) + 4 for _, t in rows]
+    start = [sum(tokens[:i]) for i in range(len(rows))]
+    first = next((i for i, r in enumerate(rows) if r[0] == "system"), None)
+    keys = []
+    for i in range(len(rows)):
+        long = tokens[i] > stretch
+        keys.append((sum(t > stretch for t in tokens[: i + 1]), long, 0 if long else (start[i] + tokens[i] - 1) // stretch))
+    out = []
+    for key in dict.fromkeys(keys):
+        own = [i for i, k in enumerate(keys) if k == key]
+        repeats = [i for i in range(own[0]) if i == first] + [i for i in range(own[0]) if i != first and start[i] >= start[own[0]] - history]
+        out.append((own, repeats))
+    return out
+
+
+def test_chat_windows_equal_brute_force(spark):
+    """Turn 257 has its history, a late system turn is kept, an edge turn starts the next window and a long turn has its own."""
+    rng = random.Random(18)
+    convs = {
+        1: [("system", "be kind")] + [("user" if i % 2 else "assistant", sentence(rng, 10)) for i in range(1, 700)],
+        2: [("user", "hello"), ("system", "be late"), *[("assistant", sentence(rng, rng.choice((1, 5, 40, 130, 400)))) for _ in range(60)], ("system", "again")],
+        3: [("assistant", "w " * 5000), ("user", ""), ("assistant", "w " * 300)],
+    }
+    rows = [(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    rng.shuffle(rows)
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c, turns in convs.items():
+        want = chat_brute_force(turns, chat.STRETCH, chat.HISTORY)
+        got = sorted((r for r in made if r.conv_id == c), key=lambda r: r.window)
+        write = lambda i: f"### {turns[i][0]}: {turns[i][1]}</turn>\n"  # noqa: E731,B023
+        assert [(r.formatted, r.n_repeated) for r in got] == [("".join(map(write, repeats + own)), len(repeats)) for own, repeats in want]
+        assert [[r.formatted[s.start : s.start + s.length] for s in r.loss] for r in got] == [[turns[i][1] for i in own if turns[i][0] == "assistant"] for own, _ in want]
+        sizes = [sum(len(turns[i][1].split()) + 4 for i in own) for own, _ in want]
+        assert all(len(own) == 1 or n <= 2 * chat.STRETCH for n, (own, _) in zip(sizes, want, strict=True))
+    one = chat_brute_force(convs[1], chat.STRETCH, chat.HISTORY)
+    assert all(len(repeats) > 5 for _, repeats in one[1:]) and all(len(own) > 10 for own, _ in one[:-1])
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", sentence(rng, 40) + "</turn>\n### \\h:") for i in range(1, 600)], (2, 0, "assistant", None), (None, None, None, None), (3, 5, "user", ""), (3, 5, "user", "")]
@@ -494,6 +534,6 @@ def test_chat_round_trip(spark):
     mine = [r for r in rows if r[0] == 1]
     assert back[1].turns == "".join(f"{r[2]}\n{r[3]}\n" for r in mine) and back[1].loss == "".join(r[3] for r in mine if r[2] == "assistant")
     assert back[2].n_turns == 1 and back[2].loss == "" and back[None].n_turns == 1 and back[3].n_turns == 2
-    later = made.filter("conv_id = 1 and (window > 0 or block > 0)").collect()
+    later = made.filter("conv_id = 1 and window > 0").collect()
     assert later and all(r.formatted.startswith("### system: be kind</turn>\n") and r.n_repeated >= 1 for r in later)
     assert chat.read_back(chat.windows(turns.limit(0))).count() == 0
