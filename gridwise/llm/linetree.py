@@ -44,14 +44,14 @@ _OFTEN = f"n >= if(size > {PASSAGE}, {MIN_PASSAGE}, {MIN_DOCS})"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: its document's keys, number, leaf, hash, size and token codes (zero: a field)."""
+    """One row for each line with a word: its text's key, number, leaf, hash, size and token codes (zero: a field)."""
 
     def run(batches):
         for batch in batches:
-            for at, data, bounds in v.pieces(batch.column(2)):
+            for at, data, bounds in v.pieces(batch.column(1)):
                 yield _line_batch(batch.slice(at, len(bounds) - 1), data, bounds)
 
-    return docs.mapInArrow(run, "did long, rk long, number int, leaf long, line long, size int, codes array<int>")
+    return docs.mapInArrow(run, "rk long, number int, leaf long, line long, size int, codes array<int>")
 
 
 def _line_batch(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -74,10 +74,10 @@ def _line_batch(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> p
     codes = ((h >> np.uint64(32)) | (h != 0)).astype(np.uint32).view(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            rows.column(0).take(who), rows.column(1).take(who), pa.array(number[starts].astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)),
+            rows.column(0).take(who), pa.array(number[starts].astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)),
             pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(codes)),
         ],
-        ["did", "rk", "number", "leaf", "line", "size", "codes"],
+        ["rk", "number", "leaf", "line", "size", "codes"],
     )
 
 
@@ -94,33 +94,32 @@ def templates(kinds: DataFrame) -> DataFrame:
     return held.select("leaf", "line", F.when(enough, F.xxhash64("leaf", "fixed")).otherwise(F.col("line")).alias("template"))
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, rk, lines array<int>): the numbers of the lines of recurring templates, by document."""
-    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+def dropped(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(rk, lines array<int>): the numbers of the lines of recurring templates, by the hash of the text (equal texts lose equal lines)."""
+    keyed = docs.select(F.xxhash64(F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     lines = stored(_lines(keyed))
     counts = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("leaf"))
-    some = lines.drop("codes").hint("merge").join(counts, "leaf", "left_semi")
-    copies = stored(near_copies(keyed.select("rk", "text"), "rk").distinct())  # equal texts have one key
+    some = lines.drop("codes").join(sized(counts), "leaf", "left_semi")
+    copies = stored(near_copies(keyed, "rk").distinct())
     some = stored(some.hint("merge").join(copies, "rk"))
     by_class = some.groupBy("leaf", "component").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("size").alias("size"))
     leaves = by_class.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"))
     leaves = stored(leaves.filter(_OFTEN).select("leaf", (F.col("low") < F.col("high")).alias("many")))
     kinds = lines.select("leaf", "line", "codes").join(sized(leaves.filter("many").select("leaf")), "leaf", "left_semi")
     made = stored(templates(stored(kinds.groupBy("leaf", "line").agg(F.first("codes").alias("codes")))))
-    named = some.hint("merge").join(leaves.select("leaf"), "leaf", "left_semi").hint("merge").join(made, ["leaf", "line"], "left")
-    named = stored(named.select("did", "rk", "number", "size", "component", F.coalesce("template", "line").alias("template")))
+    named = some.join(sized(leaves.select("leaf")), "leaf", "left_semi").hint("merge").join(made, ["leaf", "line"], "left")
+    named = stored(named.select("rk", "number", "size", "component", F.coalesce("template", "line").alias("template")))
     seen = named.groupBy("template", "component").agg(F.max("size").alias("size"))
     often = stored(seen.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(_OFTEN).select("template"))
-    gone = named.select("did", "rk", "number", "template").hint("merge").join(often, "template", "left_semi")
-    return gone.groupBy("did", "rk").agg(F.collect_set("number").alias("lines"))
+    gone = named.select("rk", "number", "template").join(sized(often), "template", "left_semi")
+    return gone.groupBy("rk").agg(F.collect_set("number").alias("lines"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without their recurring lines, and two columns more: n_lines (lines with a word) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = stored(dropped(docs, id_col, text_col).select(F.col("did").alias("__did"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines")))
-    keyed = docs.withColumns({"__did": F.xxhash64(F.col(id_col)), "__rk": F.xxhash64(F.col(text_col))})
-    joined = keyed.hint("merge").join(gone, ["__did", "__rk"], "left")
+    gone = stored(dropped(docs, text_col).select(F.col("rk").alias("__rk"), F.col("lines").alias("__lines")))
+    joined = docs.withColumn("__rk", F.xxhash64(F.col(text_col))).hint("merge").join(gone, "__rk", "left")
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     has_word = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""
     kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")

@@ -8,7 +8,9 @@ the shingles that the Golay keys of ``simhash`` bring within two bits, and
 lie some ten bits apart, which no choice of a few Golay keys reaches, so the
 bands find the farther pairs: a pair at similarity s shares one with probability
 1 - (1 - s^ROWS)^BANDS, which is 0.99997 at 0.8 and more above. Every candidate
-is verified on the texts themselves, so no link is false.
+is verified on its whole shingle sets, as 32-bit hashes (two different shingles
+of texts with m and n of them agree by chance once in 2^32 / mn pairs, which
+moves the similarity by some 1 / (m + n)), so no link is false.
 
 Texts of equal words are one class before any of this. Candidates are verified in
 two rounds: each class of a key against the least class of the key, which settles
@@ -101,19 +103,20 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, golay: bool)
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(cls, s array<long>): the sorted distinct shingle hashes of (cls, text)."""
+    """(cls, s array<int>): the distinct 32-bit shingle hashes of (cls, text)."""
 
     def run(batches):
         for batch in batches:
             for at, data, bounds in v.pieces(batch.column(1)):
                 h, _, _, first = v.words(data, bounds, lower=True)
                 s, ends = v.shingles(h, first, k)
-                sets = [np.unique(s[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                s = (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                sets = [np.unique(s[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 size = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), held], ["cls", "s"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long, s array<long>")
+    return texts.select("cls", "text").mapInArrow(run, "cls long, s array<int>")
 
 
 def _bound(similar: float) -> tuple[int, int]:
@@ -211,7 +214,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if golay:
         bands = bands.union(_golay_links(classes.filter("size(bands) > 0")))
     counts = stored(bands.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = stored(bands.hint("merge").join(counts, "band").select("band", "cls", "b", "n"))
+    met = stored(bands.join(sized(counts), "band").select("band", "cls", "b", "n"))
     owners = checkpointed(classes.hint("merge").join(met.select("cls").distinct(), "cls").select("cls", F.col("least").alias("of")))
     text = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
     sets = stored(_sets(text.join(sized(owners), F.col("least").eqNullSafe(F.col("of"))).select("cls", "text").dropDuplicates(["cls"]), k))
