@@ -14,6 +14,7 @@ def op4_suffix_dedup(spark, sf_dir):
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeats"),
     )
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm._common import partitions, stored
+from gridwise.llm._common import partitions, sized, stored
 
 LENGTH = 400  # bytes of a string that counts as a repeat
 GRAM = 96  # bytes whose hash places the anchor
@@ -351,11 +351,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a row's key: a hash of its id and one of its text; rows that share both are equal texts and share their result
     keyed = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(F.col(text_col)).alias("rk"), data.alias("data"), F.col(id_col).alias("id"))
     anchors = stored(_anchors(keyed.select("did", "rk", "data"), length))
-    often = anchors.groupBy("fp").count().filter("count > 1").select("fp")
-    found = stored(anchors.hint("merge").join(often, "fp", "left_semi"))
-    classes = found.groupBy("fp", "sd").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("did", "rk", "at", "n")).alias("r"))
-    salts = classes.groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / CLASSES_PER_SHARD).cast("int").alias("salts"))
-    classes = classes.hint("merge").join(salts, "fp").select("fp", F.pmod("sd", "salts").cast("int").alias("salt"), "salts", "sd", "weight", "r.*")
+    # sides that were aggregated are written first, so that a hot anchor hash is broadcast against or split over tasks
+    often = stored(anchors.groupBy("fp").count().filter("count > 1").select("fp"))
+    found = stored(anchors.join(sized(often), "fp", "left_semi"))
+    classes = stored(found.groupBy("fp", "sd").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("did", "rk", "at", "n")).alias("r")))
+    salts = stored(classes.groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / CLASSES_PER_SHARD).cast("int").alias("salts")))
+    classes = classes.join(sized(salts), "fp").select("fp", F.pmod("sd", "salts").cast("int").alias("salt"), "salts", "sd", "weight", "r.*")
     texts = keyed.select("did", "rk", "data").join(classes.select("did", "rk").distinct().hint("shuffle_hash"), ["did", "rk"], "left_semi")
     texts = texts.dropDuplicates(["did", "rk"])
     slices = classes.hint("merge").join(texts, ["did", "rk"]).select("fp", "salt", "salts", "sd", "weight", "n", F.expr(f"substring(data, at + 1, n + {length - 1})").alias("slice"))
@@ -363,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     searched = stored(dealt.mapInArrow(_search(length), "fp long, sd long, lo long, hi long, digests binary, places binary"))
     crossed = searched.filter("digests is not null").groupBy("fp", F.col("lo").alias("range")).applyInPandas(_merge, "fp long, sd long, lo long, hi long")
     spans = searched.filter("digests is null").select("fp", "sd", "lo", "hi").union(crossed)
-    spans = spans.groupBy("fp", "sd").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most one for each window of a slice
+    spans = stored(spans.groupBy("fp", "sd").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # at most one for each window of a slice
     hits = found.hint("merge").join(spans, ["fp", "sd"]).select("did", "rk", F.expr("transform(spans, s -> struct(int(s.lo + at) as lo, int(s.hi + at) as hi))").alias("r"))
     hits = hits.groupBy("did", "rk").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
     done = keyed.hint("merge").join(hits, ["did", "rk"], "left").select("id", "data", "r")
