@@ -95,7 +95,7 @@ TEMPLATES |= {p.stem.lower(): p.read_text(encoding="utf-8") for p in sorted((Pat
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]  # word by word: lower case may lengthen a text, which must not move its words
 
 
 class Index:
@@ -136,10 +136,7 @@ class Index:
                 best = align(self.words[t], words, d, past + 1)
                 if best and best[0] >= MIN_COVERAGE * len(self.words[t]):
                     if spans is None:
-                        # lower case may lengthen a text; places are those of the words in the text itself
                         spans = [m.span() for m in _WORD.finditer(text)]
-                        if len(spans) != len(words):
-                            spans = [m.span() for m in _WORD.finditer(text.lower())]
                     past = best[2]
                     out.append((self.names[t], best[0], len(self.words[t]), spans[best[1]][0], spans[best[2]][1]))
         return sorted(self._best(out, spans), key=lambda x: (x[3], x[0]))
