@@ -119,10 +119,11 @@ def rate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The kept documents with their failing lines removed; the columns stay as they are (n_chars follows the text)."""
-    if "quality" in docs.columns:
-        docs = docs.drop("quality")
     names = docs.columns
-    kept = rate(docs, text_col).filter("quality.kept").withColumn(text_col, F.array_join("quality.kept_lines", "\n"))
+    whole = docs.select(F.col(text_col), F.struct("*").alias("__row"))  # so that a column of any name stays
+    kept = rate(whole, text_col).filter("quality.kept").withColumn(text_col, F.array_join("quality.kept_lines", "\n"))
+    own = lambda c: F.col("__row").getField(c)
+    out = {text_col: F.col(text_col)}
     if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[f"`{c}`" for c in names])
+        out["n_chars"] = F.length(text_col).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[out.get(c, own(c)).alias(c) for c in names])

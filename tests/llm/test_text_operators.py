@@ -94,6 +94,42 @@ def test_license_lines_equal_brute_force_alignment():
         assert got <= best and bool(got) == bool(best)
 
 
+def test_scan_equals_full_alignment(spark):
+    """Every template is aligned at every place of every text; the scan finds what that finds, where it finds it."""
+    rng = random.Random(33)
+    templates = {f"t{i}": sentence(rng, n) for i, n in enumerate((6, 9, 14, 20, 30, 45))}
+    texts = ["aİb aİb İ " + templates["t0"]]
+    for name in templates:
+        for share in (0.0, 0.05, 0.12, 0.3, 0.6):
+            w = templates[name].split()
+            for at in rng.sample(range(len(w)), int(share * len(w))):
+                w[at] = rng.choice(("", "changed", w[at] + " more"))
+            texts.append(f"{sentence(rng, rng.randrange(30))} {' '.join(w)} {sentence(rng, rng.randrange(30))}")
+    docs = documents(spark, texts).withColumns({"license": F.lit(1), "start": F.lit("x")})
+    rows = scans.scan(docs, templates).collect()
+    assert {r.license for r in rows} == set(templates)
+    for i, text in enumerate(texts):
+        words = scans.tokens(text)
+        for name, template in templates.items():
+            ws = scans.tokens(template)
+            most = max((b for d in range(-len(ws), len(words)) if (b := scans.align(ws, words, d))), default=None)
+            got = [r for r in rows if r.doc_id == i and r.license == name]
+            assert bool(got) == bool(most and most[0] >= scans.MIN_COVERAGE * len(ws)), (i, name)
+            assert not got or got[0].n_matched == most[0]
+    one = next(r for r in rows if r.doc_id == 0)
+    assert texts[0][one.start : one.stop] == templates["t0"].rstrip(".")
+
+
+@pytest.mark.parametrize("text", ["of the license " * 3000, "licensed " * 20_000, "İ" * 5000 + " License"])
+def test_long_texts_of_license_words_are_scanned_in_time(text):
+    import time
+
+    index = scans._index(tuple(sorted(scans.TEMPLATES.items())))
+    began = time.time()
+    assert index.scan(text) == []
+    assert time.time() - began < 20
+
+
 # --- 2 BPE ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -211,7 +247,7 @@ def test_quality_counts(spark):
     assert q[4].n_repeat_words == 5 or q[4].n_repeat_words == 0  # 'a b c d e' and 'a b c d e.' differ
     assert q[3].n_dup_lines == 1 and q[3].base_failed and q[2].kept and not q[5].kept and not q[0].kept and q[7].base_failed
     kept = quality.clean(documents(spark, texts).withColumn("quality", F.lit("clash"))).collect()
-    assert {r.doc_id: r.text for r in kept}[6] == good
+    assert {r.doc_id: r.text for r in kept}[6] == good and all(r.quality == "clash" for r in kept)
 
 
 # --- 7 rollups --------------------------------------------------------------------------------------------------------------------
