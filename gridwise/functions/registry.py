@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +34,7 @@ def get_extractor(name: str) -> Callable:
 def _hashing(dim: int):
     def run(frames: Iterator[pd.DataFrame]):
         for pdf in frames:
-            h = np.array([zlib.crc32(w.encode()) for w in pdf["word"]], dtype=np.int64)
+            h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in pdf["word"]], dtype=np.int64)
             vec = np.zeros((len(h), dim))
             vec[np.arange(len(h)), h % dim] = 1.0
             yield pd.DataFrame({"item": pdf["item"], "word_idx": pdf["word_idx"], "vec": list(vec)})

@@ -95,8 +95,29 @@ def a27(spark, d):
     return P.cka_rbf(rows(spark, d)).withColumn("cka", F.round("cka", 5))
 
 
-@query("a28_subject_representation_metrics")
-def a28(spark, d):
+def _batches(spark, d):
+    """Uneven batches of a subject; the last ones are too small to score."""
     half = lambda a: F.transform(F.slice("embedding", a, 32), lambda x: x.cast("double"))
-    r = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(3)).alias("batch_id"), F.col("label").alias("subject"), F.col("vec_id").alias("order_id"), half(1).alias("x"), half(33).alias("y"))
-    return P.subject_representation(r, lambda m: P.cka_linear(m).withColumnRenamed("cka", "value")).withColumn("value", F.round("value", 6))
+    batch = F.when(F.col("vec_id") % 50 == 0, F.col("vec_id")).otherwise(F.pmod("vec_id", F.lit(3)))
+    return table(spark, d, "embeddings").select(batch.alias("batch_id"), F.col("label").alias("subject"), F.col("vec_id").alias("order_id"), half(1).alias("x"), half(33).alias("y"))
+
+
+_BATCH = "label * 1000000 + CASE WHEN vec_id % 50 = 0 THEN vec_id ELSE vec_id % 3 END"
+_BY_BATCH = lambda sql: sql.replace("label AS g", f"{_BATCH} AS g").replace("PARTITION BY label ORDER", f"PARTITION BY {_BATCH} ORDER")
+_WEIGHTED = "SELECT s.\"group\" // 1000000 AS subject, round(sum({v} * n) / sum(n), 5) AS value FROM ({sql}) s JOIN (SELECT {b} AS g, count(*) AS n FROM embeddings GROUP BY 1) c ON c.g = s.\"group\" WHERE n >= {least} GROUP BY 1"
+
+
+@query("a28_subject_representation_metrics", _WEIGHTED.format(v="cka", sql=_BY_BATCH(_CKA).replace("round(", "(").replace(", 6) AS cka", ") AS cka"), b=_BATCH, least=2))
+def a28(spark, d):
+    return P.subject_representation(_batches(spark, d), lambda m: P.cka_linear(m).withColumnRenamed("cka", "value")).withColumn("value", F.round("value", 5))
+
+
+_RSA = _CORR.removeprefix("round(").removesuffix(", 5)")
+
+
+@query(
+    "a28_subject_representation_rsa",
+    _WEIGHTED.format(v="rsa", sql=_BY_BATCH(_sql("correlation")) + f", m AS (SELECT *, avg(a) OVER (PARTITION BY g) AS ma, avg(b) OVER (PARTITION BY g) AS mb FROM p) SELECT g AS \"group\", {_RSA} AS rsa FROM m GROUP BY 1", b=_BATCH, least=3),
+)
+def a28_rsa(spark, d):
+    return P.subject_representation(_batches(spark, d), lambda m: P.rsa(m).select("group", F.col("rsa").alias("value")), least=3).withColumn("value", F.round("value", 5))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.functions import registry
+from gridwise.functions.session import shared_folder
 from gridwise.operators import layers as L
 from gridwise.plans.catalog import query, table
 from gridwise.plans.q_interval import TALK, talk
@@ -21,10 +21,7 @@ from gridwise.sources import manifests as M
 
 
 def folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridwise-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def listing(spark, d):
@@ -225,10 +222,10 @@ def a34(spark, d):
     return S.cache_inventory(expected, held)
 
 
-@query("d1_extractor_registry", f"WITH {TALK} SELECT item, count(*)::DOUBLE AS total FROM t GROUP BY 1")
+@query("d1_extractor_registry", f"WITH {TALK} SELECT item, ('0x' || md5(word)[1:8])::BIGINT % 8 AS k, count(*)::DOUBLE AS total FROM t GROUP BY 1, 2")
 def d1(spark, d):
     vecs = registry.extract(talk(spark, d), "hashing")
-    return vecs.groupBy("item").agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return vecs.select("item", F.posexplode("vec").alias("k", "v")).groupBy("item", F.col("k").cast("long").alias("k")).agg(F.sum("v").alias("total")).filter("total <> 0")
 
 
 @query("d2_metric_registry", f"WITH {ROWS}, s AS (SELECT subject, {SUMS} FROM l GROUP BY 1) SELECT subject, round({R}, 6) AS pearson, round({EV}, 3) AS ev FROM s")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwise.functions.session import checkpointed
+
 
 class FeatureStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
@@ -53,23 +55,23 @@ class FeatureStore:
         items = df.select("item").distinct()
         if not self.exists():
             status = items.withColumn("status", F.lit("ok"))
-            counts = status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+            counts = checkpointed(status.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
             self._save(new, "append")
             return counts
         known = self.list_keys().withColumn("known", F.lit(True))
         status = items.join(known, "item", "left").select("item", F.when(F.col("known") & F.lit(not overwrite), "skip").otherwise("ok").alias("status"))
-        counts = status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        counts = checkpointed(status.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
         if not overwrite:
             self._save(new.join(known, "item", "left_anti"), "append")
             return counts
         touched = self._bucketed(items).select("bucket").distinct()
         kept = self.read().join(F.broadcast(touched), "bucket", "left_semi").join(items, "item", "left_anti").select(*new.columns)
-        whole = kept.unionByName(new).checkpoint()  # read before its folders are replaced
+        whole = checkpointed(kept.unionByName(new))  # read before its folders are replaced
         self._save(whole, "overwrite")
         return counts
 
     def _save(self, df: DataFrame, mode: str) -> None:
-        ordered = df.repartition("bucket").sortWithinPartitions("bucket", "item", "layer", "frame")
+        ordered = df.repartition("bucket", "item").sortWithinPartitions("bucket", "item", "layer", "frame")  # as many tasks as items ask for, not one a bucket
         ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
