@@ -1,7 +1,8 @@
 """Words of whole Arrow batches in numpy: no Python object for a word, a line or a text.
 
 Words are the maximal runs of bytes other than ASCII white space. A word's hash
-is a polynomial of its bytes modulo 2^64, mixed at the end.
+is a polynomial of its bytes modulo 2^64, mixed at the end: a difference of
+running sums over the piece, taken back to the word's start by an inverse power.
 """
 
 from __future__ import annotations
@@ -12,10 +13,6 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 18  # bytes of text that are worked on at once (more only for a longer text)
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
 _BYTE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
@@ -27,20 +24,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of one odd number, as many as were asked for."""
+    """Powers of one odd number, as many as were asked for; those of four pieces are kept for the next call."""
 
     def __init__(self, base: np.uint64):
         self.base, self.held = base, np.ones(1, dtype=np.uint64)
 
     def __call__(self, n: int) -> np.ndarray:
-        if n > len(self.held):
-            out = np.full(max(n, 2 * len(self.held), 1024), self.base, dtype=np.uint64)
-            out[0] = 1
-            self.held = np.multiply.accumulate(out)
-        return self.held
+        if n <= len(self.held):
+            return self.held
+        out = np.full(max(n, min(2 * len(self.held), 4 * PIECE)), self.base, dtype=np.uint64)
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        if len(out) <= 4 * PIECE:
+            self.held = out
+        return out
 
 
-_in_word, _in_text = _Powers(P1), _Powers(P2)
+_in_word, _back, _in_text = _Powers(P1), _Powers(np.uint64(pow(int(P1), -1, 1 << 64))), _Powers(P2)
 
 
 def pieces(column: pa.Array):
@@ -58,20 +58,22 @@ def pieces(column: pa.Array):
 
 def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False):
     """(hash, place, has a digit) of each word, and the number of words before each row bound."""
-    inside = ~_SPACE[data]
-    head = inside.copy()
+    inside = ~((data == 32) | (data - np.uint8(9) < 5))
+    head, tail = inside.copy(), inside.copy()
     head[1:] &= ~inside[:-1]
-    first = bounds[:-1][bounds[:-1] < len(data)]
-    head[first] = inside[first]  # a word ends where its text ends
-    at = np.flatnonzero(head)
+    tail[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]  # a word ends where its text ends
+    head[edges], tail[edges - 1] = inside[edges], inside[edges - 1]
+    at, last = np.flatnonzero(head), np.flatnonzero(tail)
     if not len(at):
         return np.empty(0, np.uint64), at, np.empty(0, bool), np.zeros(len(bounds), dtype=np.int64)
-    place = np.flatnonzero(inside)
-    letters = data[place]
-    starts = np.searchsorted(place, at)
-    local = place - np.repeat(at, np.diff(np.append(starts, len(place))))
-    values = (_LOWER if lower else _BYTE)[letters] * _in_word(int(local.max()) + 1)[local]
-    return mix(np.add.reduceat(values, starts)), at, np.logical_or.reduceat(_DIGIT[letters], starts), np.searchsorted(at, bounds)
+    sums = (_LOWER if lower else _BYTE)[data]
+    sums *= _in_word(len(data))[: len(data)]
+    np.cumsum(sums, out=sums)
+    before = np.where(at > 0, sums[at - 1], np.uint64(0))
+    digit = np.zeros(len(at), dtype=bool)
+    digit[np.searchsorted(at, np.flatnonzero(data - np.uint8(48) < 10), side="right") - 1] = True
+    return mix((sums[last] - before) * _back(int(at[-1]) + 1)[at]), at, digit, np.searchsorted(at, bounds)
 
 
 def sequence_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:

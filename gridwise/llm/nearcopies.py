@@ -58,9 +58,11 @@ def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Keys of the bands (rows x BANDS) of the shingle sets hashes[bounds[i]:bounds[i + 1]], none of them empty."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.empty((BANDS, ROWS, len(bounds) - 1), dtype=np.uint32)
+    x, y = np.empty_like(h), np.empty_like(h)
     for p in range(BANDS * ROWS):
-        x = (h ^ _XOR[p]) * _TIMES[p]
-        least[p // ROWS, p % ROWS] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), bounds[:-1])
+        np.multiply(np.bitwise_xor(h, _XOR[p], out=x), _TIMES[p], out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint32(15), out=y), out=x)
+        np.minimum.reduceat(x, bounds[:-1], out=least[p // ROWS, p % ROWS])
     out = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(bounds) - 1, axis=1)
     for j in range(ROWS):
         out = v.mix(out * v.P1 + least[:, j])
