@@ -18,8 +18,9 @@ TEMPERATURE = 0.3
 def member_scores(rows: DataFrame) -> DataFrame:
     """(member, subject, parcel, score) over the full grid: NULL with fewer than two rows or a constant side."""
     found = M.sums(rows, ["member", "subject", "parcel"]).select("member", "subject", "parcel", F.when(F.col("n") >= 2, M.strict_pearson_of_sums()).alias("score"))
-    keys = rows.select("member").distinct().crossJoin(rows.select("subject").distinct()).crossJoin(rows.select("parcel").distinct())  # three short key lists
-    return keys.join(found, ["member", "subject", "parcel"], "left")
+    members, subjects = (F.broadcast(rows.select(c).distinct()) for c in ("member", "subject"))  # two short lists
+    keys = rows.select("parcel").distinct().crossJoin(members).crossJoin(subjects)
+    return keys.hint("merge").join(found, ["member", "subject", "parcel"], "left")
 
 
 def softmax_weights(scores: DataFrame, keys: list[str], temperature: float = TEMPERATURE, score: str = "score") -> DataFrame:
@@ -40,7 +41,7 @@ def misaligned(rows: DataFrame, reference) -> DataFrame:
     members = F.broadcast(rows.filter(F.col("member") != reference).select("member").distinct())  # a short list
     want = ref.crossJoin(members)
     got = rows.filter(F.col("member") != reference).select("member", *keys, F.col("target").alias("got"), F.lit(True).alias("seen"))
-    both = want.join(got, ["member", *keys], "full")
+    both = want.hint("merge").join(got, ["member", *keys], "full")
     close = F.col("want").eqNullSafe(F.col("got")) | (F.abs(F.col("got") - F.col("want")) <= 1e-8 + 1e-5 * F.abs("want"))
     return both.filter(F.col("known").isNull() | F.col("seen").isNull() | ~F.coalesce(close, F.lit(False))).select("member", *keys)
 
@@ -50,12 +51,12 @@ def missing_chunks(submissions: DataFrame, reference) -> DataFrame:
     count = submissions.groupBy("member", "subject", "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
     ref = count.filter(F.col("member") == reference).select("subject", "chunk", F.col("n_rows").alias("n_expected"))
     want = ref.crossJoin(F.broadcast(count.select("member").distinct()))
-    return want.join(count, ["member", "subject", "chunk"], "left").filter("not (n_rows <=> n_expected)").select("member", "subject", "chunk", "n_rows", "n_expected")
+    return want.hint("merge").join(count, ["member", "subject", "chunk"], "left").filter("not (n_rows <=> n_expected)").select("member", "subject", "chunk", "n_rows", "n_expected")
 
 
 def blend(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(row_id, subject, parcel, pred, target): predictions summed with the weights of (member, keys...)."""
-    both = rows.join(weights.select("member", *keys, "weight"), ["member", *keys])
+    both = rows.hint("merge").join(weights.select("member", *keys, "weight"), ["member", *keys])
     return both.groupBy("row_id", "subject", "parcel").agg(F.sum(F.col("weight") * F.col("pred")).alias("pred"), F.min("target").alias("target"))
 
 

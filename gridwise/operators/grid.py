@@ -67,7 +67,7 @@ def resample_nearest(features: DataFrame, n_out: int | Column, keys: Sequence[st
     n_out = F.lit(n_out) if isinstance(n_out, int) else n_out
     out = _lengths(features, keys).withColumn("__m", n_out).select(*keys, "__n", "__m", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)).alias("__i"))
     out = out.withColumn("frame", F.floor(F.col("__i") * F.col("__n") / F.col("__m")).cast("int"))
-    return out.join(features, [*keys, "frame"]).select(*keys, F.col("__i").alias("frame"), "value")
+    return out.hint("merge").join(features, [*keys, "frame"]).select(*keys, F.col("__i").alias("frame"), "value")
 
 
 def adaptive_average(features: DataFrame, n_out: int, keys: Sequence[str] = ("item",)) -> DataFrame:
@@ -146,7 +146,7 @@ def window_frames(segments: DataFrame, features: DataFrame, item: str = "item",
     n = F.greatest(F.lit(1), F.rint(F.col("segment_duration_s") * hz)).cast("int")
     grid = segments.select(item, "segment_idx", F.rint(F.col("segment_start_s") * hz).cast("int").alias("__i0"), F.explode(F.sequence(F.lit(0), n - 1)).alias("dst"))
     grid = grid.withColumn("frame", F.col("__i0") + F.col("dst"))
-    return grid.join(features.select(item, "frame", value), [item, "frame"], "left").select(item, "segment_idx", "dst", F.coalesce(value, F.lit(0.0)).alias(value))
+    return grid.hint("merge").join(features.select(item, "frame", value), [item, "frame"], "left").select(item, "segment_idx", "dst", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def window_bold(segments: DataFrame, bold: DataFrame, item: str = "item", tr: float = TR, delay: float = DELAY, value: str = "value") -> DataFrame:
@@ -154,7 +154,7 @@ def window_bold(segments: DataFrame, bold: DataFrame, item: str = "item", tr: fl
     n = F.greatest(F.lit(1), F.rint(F.col("segment_duration_s") / tr)).cast("int")
     grid = segments.select(item, "segment_idx", F.rint((F.col("segment_start_s") + delay) / tr).cast("int").alias("__i0"), F.explode(F.sequence(F.lit(0), n - 1)).alias("dst"))
     grid = grid.withColumn("tr", F.col("__i0") + F.col("dst"))
-    return grid.join(bold.select(item, "tr", value), [item, "tr"], "left").select(item, "segment_idx", "dst", F.coalesce(value, F.lit(0.0)).alias(value))
+    return grid.hint("merge").join(bold.select(item, "tr", value), [item, "tr"], "left").select(item, "segment_idx", "dst", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def align_modalities(segments: DataFrame, streams: dict[str, DataFrame], bold: DataFrame, item: str = "item") -> DataFrame:
@@ -164,7 +164,7 @@ def align_modalities(segments: DataFrame, streams: dict[str, DataFrame], bold: D
     out = window_bold(segments, bold, item).withColumnRenamed("value", "bold")
     for name, s in streams.items():
         frames = window_frames(segments, s, item).select(item, "segment_idx", F.col("dst").alias("__f"), F.col("value").alias(name))
-        out = out.withColumn("__f", F.floor(F.col("dst") * TR * HZ).cast("int")).join(frames, [item, "segment_idx", "__f"], "left").drop("__f")
+        out = out.withColumn("__f", F.floor(F.col("dst") * TR * HZ).cast("int")).hint("merge").join(frames, [item, "segment_idx", "__f"], "left").drop("__f")
     return out
 
 

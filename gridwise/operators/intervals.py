@@ -26,7 +26,7 @@ def interval_frames(onset: Column, duration: Column, n_frames: Column, hz: float
 def interval_to_frames(words: DataFrame, frames: DataFrame, hz: float) -> DataFrame:
     """words (a row for each overlapped frame); frames: (item, n_frames)."""
     spans = interval_frames(F.col("onset_s"), F.col("duration_s"), F.col("n_frames").cast("int"), hz)
-    return words.join(frames, "item").select("item", "word_idx", F.explode(spans).alias("frame"))
+    return words.hint("merge").join(frames, "item").select("item", "word_idx", F.explode(spans).alias("frame"))
 
 
 def asof_prefix(words: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -59,8 +59,8 @@ def lookback_capped(frames: DataFrame, cutoffs: DataFrame, source_fps: float, sa
     low = F.greatest(F.lit(0.0), F.col("cutoff_s") - span_s)
     n = F.greatest(F.lit(1.0), F.ceil((F.col("cutoff_s") - low) * sample_fps)).cast("int")
     picks = cutoffs.withColumns({"__low": low, "__n": n}).select("item", "cutoff_s", "__low", F.explode(F.sequence(F.greatest(F.lit(0), F.col("__n") - keep), F.col("__n") - 1)).alias("pick"))
-    at = picks.join(last, "item").withColumn("frame", F.least(F.floor((F.col("__low") + F.col("pick") / sample_fps) * source_fps).cast("int"), F.col("__last").cast("int")))
-    return at.join(frames, ["item", "frame"]).select("item", "cutoff_s", "pick", "frame", "value")
+    at = picks.hint("merge").join(last, "item").withColumn("frame", F.least(F.floor((F.col("__low") + F.col("pick") / sample_fps) * source_fps).cast("int"), F.col("__last").cast("int")))
+    return at.hint("merge").join(frames, ["item", "frame"]).select("item", "cutoff_s", "pick", "frame", "value")
 
 
 def lookback_subtimes(steps: DataFrame, frames: DataFrame, fps: float, n: int = 8, span_s: float = 4.0) -> DataFrame:
@@ -69,7 +69,7 @@ def lookback_subtimes(steps: DataFrame, frames: DataFrame, fps: float, n: int =
     k = steps.join(last, "item").select("item", "step", "cutoff_s", "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     t = F.greatest(F.lit(0.0), F.col("cutoff_s") - (n - 1 - F.col("k")) * (span_s / n))
     at = k.withColumn("frame", F.least(F.greatest(F.rint(t * fps).cast("int"), F.lit(0)), F.col("__last").cast("int")))
-    return at.join(frames, ["item", "frame"]).select("item", "step", "k", "frame", "value")
+    return at.hint("merge").join(frames, ["item", "frame"]).select("item", "step", "k", "frame", "value")
 
 
 def word_spans(words: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
@@ -93,7 +93,7 @@ def span_overlap(tokens: DataFrame, words: DataFrame, bucket: int = 64, keys: Se
     cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))).alias("cell")
     t = tokens.filter("stop > start").select(*keys, "token_idx", F.col("start").alias("t0"), F.col("stop").alias("t1"), cells())
     w = words.filter("stop > start").select(*keys, "word_idx", F.col("start").alias("w0"), F.col("stop").alias("w1"), cells())
-    both = t.join(w, [*keys, "cell"]).filter("t0 < w1 and t1 > w0")
+    both = t.hint("merge").join(w, [*keys, "cell"]).filter("t0 < w1 and t1 > w0")
     return both.filter(F.col("cell") == F.floor(F.greatest("t0", "w0") / bucket)).select(*keys, "token_idx", "word_idx")
 
 
@@ -125,7 +125,7 @@ def last_n_words(words: DataFrame, cutoffs: DataFrame, n: int) -> DataFrame:
     prefix = asof_prefix(words, cutoffs).distinct()
     by = W.partitionBy("item").orderBy("word_idx")
     texts = words.withColumn("n_words", F.row_number().over(by).cast("long")).withColumn("text", F.array_join(F.collect_list("word").over(by.rowsBetween(-(n - 1), 0)), " "))
-    out = prefix.join(texts.select("item", "n_words", "text"), ["item", "n_words"], "left")
+    out = prefix.hint("merge").join(texts.select("item", "n_words", "text"), ["item", "n_words"], "left")
     return out.select("item", "cutoff_s", "n_words", F.greatest(F.col("n_words") - n, F.lit(0)).alias("window_start"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -144,10 +144,10 @@ def sentence_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("ite
 
 def sum_to_frames(words: DataFrame, frames: DataFrame, hz: float, value: str = "value") -> DataFrame:
     """(item, frame, value): the sum of the values of all words that overlap a frame; 0 where none does. frames: (item, n_frames)."""
-    hits = interval_to_frames(words, frames, hz).join(words.select("item", "word_idx", value), ["item", "word_idx"])
+    hits = interval_to_frames(words, frames, hz).hint("merge").join(words.select("item", "word_idx", value), ["item", "word_idx"])
     sums = hits.groupBy("item", "frame").agg(F.sum(value).alias(value))
     grid = frames.select("item", F.explode(F.sequence(F.lit(0), F.col("n_frames").cast("int") - 1)).alias("frame"))
-    return grid.join(sums, ["item", "frame"], "left").select("item", "frame", F.coalesce(value, F.lit(0.0)).alias(value))
+    return grid.hint("merge").join(sums, ["item", "frame"], "left").select("item", "frame", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def merge_streams_mean(streams: Sequence[DataFrame]) -> DataFrame:
@@ -159,12 +159,12 @@ def merge_streams_mean(streams: Sequence[DataFrame]) -> DataFrame:
     most = n.groupBy("item").agg(F.max("n").alias("m"))
     grid = n.join(most, "item").select("item", "stream", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
     grid = grid.withColumn("frame", F.floor(F.col("i") * F.col("n") / F.col("m")))
-    return grid.join(rows, ["item", "stream", "frame"]).groupBy("item", "i").agg(F.avg("value").alias("value")).withColumnRenamed("i", "frame")
+    return grid.hint("merge").join(rows, ["item", "stream", "frame"]).groupBy("item", "i").agg(F.avg("value").alias("value")).withColumnRenamed("i", "frame")
 
 
 def token_mean(overlaps: DataFrame, tokens: DataFrame, value: str = "value", keys: Sequence[str] = ("item",)) -> DataFrame:
     """(keys..., word_idx, value): mean over the tokens of each word."""
-    return overlaps.join(tokens.select(*keys, "token_idx", value), [*keys, "token_idx"]).groupBy(*keys, "word_idx").agg(F.avg(value).alias(value))
+    return overlaps.hint("merge").join(tokens.select(*keys, "token_idx", value), [*keys, "token_idx"]).groupBy(*keys, "word_idx").agg(F.avg(value).alias(value))
 
 
 def patch_mean(tokens: DataFrame, n_steps: int) -> DataFrame:

@@ -163,7 +163,7 @@ def group_residual(df: DataFrame, weight: np.ndarray, bias: np.ndarray, weights:
 def subject_linear_long(df: DataFrame, weights: DataFrame, keys: Sequence[str], subject: str = "subject") -> DataFrame:
     """The same in long form: weights (subject, ch, out, w), joined and summed. For weights that are a table."""
     x = df.select(*keys, subject, F.posexplode("vec").alias("ch", "x"))
-    return x.join(weights, [subject, "ch"]).groupBy(*keys, subject, "out").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("pred"))
+    return x.hint("merge").join(weights, [subject, "ch"]).groupBy(*keys, subject, "out").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("pred"))
 
 
 def project(df: DataFrame, weight: np.ndarray, bias: np.ndarray, layer_norm: bool = False, gelu: bool = False) -> DataFrame:

@@ -273,7 +273,7 @@ def match_unique_key(df: DataFrame, keys: DataFrame, token: str, key: str = "key
     """
     parts = keys.select(key, F.explode(F.array_distinct(F.split(key, "[-_/]"))).alias(token))
     one = parts.groupBy(token).agg(F.min(key).alias("__k"), F.count_distinct(key).alias("__n")).filter("__n = 1")
-    return df.join(one.select(token, "__k"), token, "left").withColumn(key, F.coalesce("__k", F.lit(""))).drop("__k")
+    return df.hint("merge").join(one.select(token, "__k"), token, "left").withColumn(key, F.coalesce("__k", F.lit(""))).drop("__k")
 
 
 def missing_features(df: DataFrame, features: DataFrame) -> DataFrame:

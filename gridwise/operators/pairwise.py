@@ -31,32 +31,41 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return 1 - (a / na[:, None]) @ (b / nb[:, None]).T
 
 
-def pairs(rows: DataFrame, vectors: dict[str, str], diagonal: bool = False, block: int = BLOCK) -> DataFrame:
-    """(group, i, j, name...) for i < j (i <= j with diagonal): vectors is column -> kind of dissimilarity.
-
-    Rows are packed into blocks; each block goes to every pair of blocks that it is part of.
-    """
-    columns = list(vectors)
+def _blocks(rows: DataFrame, columns: list[str], task, schema: str, block: int = BLOCK) -> DataFrame:
+    """task(frame, low, high) for every pair of blocks of a group; the frame holds the rows of both, low and high the rows of each in order."""
     at = rows.withColumn("__b", F.floor(F.col("i") / block).cast("int"))
     top = at.groupBy("group").agg(F.max("__b").alias("__top"))
-    spread = at.join(top, "group").select("group", "i", *columns, "__b", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("__o"))
+    spread = at.hint("merge").join(top, "group").select("group", "i", *columns, "__b", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("__o"))
     spread = spread.withColumns({"__x": F.least("__b", "__o"), "__y": F.greatest("__b", "__o")})
-    kind = rows.schema["group"].dataType.simpleString()
-    schema = f"group {kind}, i long, j long, " + ", ".join(f"`{c}` double" for c in columns)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf[pdf["__b"] == pdf["__x"].iloc[0]].sort_values("i")
-        high = pdf[pdf["__b"] == pdf["__y"].iloc[0]].sort_values("i")
-        i, j = np.meshgrid(low["i"].to_numpy(), high["i"].to_numpy(), indexing="ij")
-        keep = i <= j if diagonal else i < j
-        out = {"group": pdf["group"].iloc[0], "i": i[keep], "j": j[keep]}
-        for c in columns:
-            out[c] = _distances(np.stack(low[c]).astype(float), np.stack(high[c]).astype(float), vectors[c])[keep]
-        return pd.DataFrame(out)
+        low, high = (pdf[pdf["__b"] == pdf[c].iloc[0]].sort_values("i") for c in ("__x", "__y"))
+        return task(pdf, low, high)
 
     return spread.groupBy("group", "__x", "__y").applyInPandas(one, schema)
 
 
+def _met(low: pd.DataFrame, high: pd.DataFrame, vectors: dict[str, str], diagonal: bool = False):
+    """(i, j, dissimilarities by column) of the pairs of two blocks, each pair once."""
+    i, j = np.meshgrid(low["i"].to_numpy(), high["i"].to_numpy(), indexing="ij")
+    keep = i <= j if diagonal else i < j
+    return i[keep], j[keep], {c: _distances(np.stack(low[c]).astype(float), np.stack(high[c]).astype(float), kind)[keep] for c, kind in vectors.items()}
+
+
+def pairs(rows: DataFrame, vectors: dict[str, str], diagonal: bool = False, block: int = BLOCK) -> DataFrame:
+    """(group, i, j, name...) for i < j (i <= j with diagonal): vectors is column -> kind of dissimilarity.
+
+    Rows are packed into blocks; each block goes to every pair of blocks that it is part of.
+    """
+
+    def task(pdf, low, high):
+        i, j, d = _met(low, high, vectors, diagonal)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "i": i, "j": j, **d})
+
+    kind = rows.schema["group"].dataType.simpleString()
+    return _blocks(rows, list(vectors), task, f"group {kind}, i long, j long, " + ", ".join(f"`{c}` double" for c in vectors), block)
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """df with 0-based ranks, ties averaged."""
     by = W.partitionBy(*keys)
@@ -65,22 +74,36 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
 
 def rsa(rows: DataFrame, x: str = "x", y: str = "y", dissimilarity: str = "correlation", similarity: str = "pearson") -> DataFrame:
     """(group, rsa, loss): agreement of the two dissimilarity matrices' upper triangles, and 1 - rsa."""
-    d = pairs(rows, {x: dissimilarity, y: dissimilarity}).withColumnsRenamed({x: "a", y: "b"})
-    if similarity == "spearman":
-        d = average_ranks(average_ranks(d, ["group"], "a", "ra"), ["group"], "b", "rb").select("group", F.col("ra").alias("a"), F.col("rb").alias("b"))
-    elif similarity != "pearson":
+    kind = rows.schema["group"].dataType.simpleString()
+    if similarity == "spearman":  # ranks need the single pairs
+        d = pairs(rows, {x: dissimilarity, y: dissimilarity}).withColumnsRenamed({x: "a", y: "b"})
+        d = average_ranks(average_ranks(d, ["group"], "a", "ra"), ["group"], "b", "rb")
+        part = d.select("group", F.lit(1).alias("n"), F.col("ra").alias("ma"), F.col("rb").alias("mb"), *[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+    elif similarity == "pearson":  # only the moments of a pair of blocks leave its task
+
+        def task(pdf, low, high):
+            _, _, d = _met(low, high, {x: dissimilarity, y: dissimilarity})
+            a, b = d[x], d[y]
+            if not len(a):
+                return pd.DataFrame({c: [] for c in ("group", "n", "ma", "mb", "ab", "aa", "bb")})
+            ma, mb = a.mean(), b.mean()
+            return pd.DataFrame({"group": pdf["group"].iloc[:1].tolist(), "n": len(a), "ma": ma, "mb": mb, "ab": (a - ma) @ (b - mb), "aa": (a - ma) @ (a - ma), "bb": (b - mb) @ (b - mb)})
+
+        part = _blocks(rows, [x, y], task, f"group {kind}, n long, ma double, mb double, ab double, aa double, bb double")
+    else:
         raise ValueError(f"unknown similarity {similarity!r}")
-    means = d.groupBy("group").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-    c = d.join(F.broadcast(means), "group").select("group", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"))  # one row a group
-    s = c.groupBy("group").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    n = F.col("n")
+    means = part.groupBy("group").agg(*[(F.sum(n * F.col(f"m{c}")) / F.sum(n)).alias(f"t{c}") for c in "ab"])
+    c = part.hint("merge").join(means, "group").withColumns({"a": F.col("ma") - F.col("ta"), "b": F.col("mb") - F.col("tb")})
+    s = c.groupBy("group").agg(*[F.sum(F.col(p + q) + n * F.col(p) * F.col(q)).alias(p + q) for p, q in ("ab", "aa", "bb")])
     r = F.col("ab") / F.greatest(F.sqrt("aa") * F.sqrt("bb"), F.lit(EPS))
     return s.select("group", r.alias("rsa"), (1 - r).alias("loss"))
 
 
-def cka_linear(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(group, cka): linear kernel alignment from cross products of centred columns, summed in Arrow batches.
+def _products(rows: DataFrame, x: str, y: str, finish) -> DataFrame:
+    """(group, cka): finish(products) of z'z summed over a group's rows, z = (1, |x|^2, |y|^2, x, y), with the width of x.
 
-    Each task adds up the products of its rows (a fixed d by d state), so the rows are never paired.
+    Each task adds up the products of its rows in Arrow batches (a fixed state), so the rows are never paired.
     """
     kind = rows.schema["group"].dataType.simpleString()
 
@@ -88,57 +111,76 @@ def cka_linear(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         for pdf in frames:
             for g, p in pdf.groupby("group", sort=False):
                 a, b = np.stack(p[x]).astype(float), np.stack(p[y]).astype(float)
-                z = np.hstack([np.ones((len(a), 1)), a, b])
+                z = np.hstack([np.ones((len(a), 1)), (a * a).sum(1)[:, None], (b * b).sum(1)[:, None], a, b])
                 yield pd.DataFrame({"group": [g], "dx": [a.shape[1]], "state": [(z.T @ z).ravel()]})
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum(np.stack(pdf["state"]), axis=0)
-        s, dx = s.reshape(int(np.sqrt(s.size)), -1), int(pdf["dx"].iloc[0])
-        c = s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0]
-        xx, xy, yy = c[:dx, :dx], c[:dx, dx:], c[dx:, dx:]
-        denom = np.linalg.norm(xx) * np.linalg.norm(yy)
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "cka": [(xy**2).sum() / denom if denom > EPS else 0.0]})
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.asarray(pdf["state"].iloc[0], dtype=float)
+        value = finish(s.reshape(int(np.sqrt(s.size)), -1), int(pdf["dx"].iloc[0]))
+        return pd.DataFrame({"group": pdf["group"].iloc[:1].tolist() if value is not None else [], "cka": [value] if value is not None else []})
 
     states = rows.select("group", x, y).mapInPandas(partial, f"group {kind}, dx int, state array<double>")
     summed = states.select("group", "dx", F.posexplode("state").alias("p", "v")).groupBy("group", "dx", "p").agg(F.sum("v").alias("v"))
-    packed = summed.groupBy("group", "dx").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda q: q["v"]).alias("state"))
-    return packed.groupBy("group").applyInPandas(finish, f"group {kind}, cka double")
+    packed = summed.groupBy("group", "dx").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda q: q["v"]).alias("state"))  # a fixed number
+    return packed.groupBy("group").applyInPandas(whole, f"group {kind}, cka double")
 
 
-def _row_sums(k: DataFrame, names: list[str]) -> DataFrame:
-    """(group, i, name...): sums over all j of a table of i <= j pairs."""
-    back = k.filter("i <> j").select("group", F.col("j").alias("i"), *names)
-    return k.select("group", "i", *names).union(back).groupBy("group", "i").agg(*[F.sum(c).alias(c) for c in names])
+def _linear(s: np.ndarray, dx: int) -> float:
+    c = s[3:, 3:] - np.outer(s[0, 3:], s[0, 3:]) / s[0, 0]
+    xx, xy, yy = c[:dx, :dx], c[:dx, dx:], c[dx:, dx:]
+    denom = np.linalg.norm(xx) * np.linalg.norm(yy)
+    return (xy**2).sum() / denom if denom > EPS else 0.0
 
 
-def cka_unbiased(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(group, cka): unbiased linear kernel alignment; groups under four rows have none; 0 where the product of norms is not positive."""
-    k = pairs(rows, {x: "dot", y: "dot"}).withColumnsRenamed({x: "a", y: "b"})
-    both = k.groupBy("group").agg(*[F.sum(F.col(p) * F.col(q)).alias(f"p{p}{q}") for p, q in ("ab", "aa", "bb")], *[F.sum(c).alias(f"s{c}") for c in "ab"])
-    r = _row_sums(k, ["a", "b"])
-    cross = r.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(f"r{p}{q}") for p, q in ("ab", "aa", "bb")])
-    s = both.join(cross, "group").filter("n >= 4")
-    n = F.col("n")
+def _unbiased(s: np.ndarray, dx: int) -> float | None:
+    n = s[0, 0]
+    if n < 4:
+        return None
+    at = {"a": slice(3, 3 + dx), "b": slice(3 + dx, None)}
+    norm = {"a": 1, "b": 2}  # kernels have no diagonal: the squared lengths are taken off
 
-    def hsic(p, q):
-        total = 2 * F.col(f"p{p}{q}") + 4 * F.col(f"s{p}") * F.col(f"s{q}") / ((n - 1) * (n - 2)) - 2 * F.col(f"r{p}{q}") / (n - 2)
-        return total / (n * (n - 3))
+    def hsic(p: str, q: str) -> float:
+        u, v, c = s[0, at[p]], s[0, at[q]], s[at[p], at[q]]
+        own = s[norm[p], norm[q]]
+        whole = (c**2).sum() - own
+        rows = u @ c @ v - s[norm[p], at[q]] @ v - s[norm[q], at[p]] @ u + own
+        totals = (u @ u - s[0, norm[p]]) * (v @ v - s[0, norm[q]])
+        return (whole + totals / ((n - 1) * (n - 2)) - 2 * rows / (n - 2)) / (n * (n - 3))
 
-    s = s.select("group", hsic("a", "b").alias("xy"), hsic("a", "a").alias("xx"), hsic("b", "b").alias("yy"))
-    prod = F.col("xx") * F.col("yy")
-    return s.select("group", F.when(prod <= 0, 0.0).otherwise(F.col("xy") / (F.sqrt(prod) + EPS)).alias("cka"))
+    product = hsic("a", "a") * hsic("b", "b")
+    return hsic("a", "b") / (np.sqrt(product) + EPS) if product > 0 else 0.0
+
+
+def cka_linear(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(group, cka): linear kernel alignment from cross products of centred columns."""
+    return _products(rows, x, y, _linear)
+
+
+def cka_unbiased(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(group, cka): unbiased linear kernel alignment; groups under four rows have none; 0 where the product of norms is not positive."""
+    return _products(rows, x, y, _unbiased)
 
 
 def cka_rbf(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(group, cka): alignment of centred Gaussian kernels; sigma is the median pairwise distance of x, for both sides."""
-    d = pairs(rows, {x: "euclidean", y: "euclidean"}, diagonal=True).withColumnsRenamed({x: "a", y: "b"})
-    sigma = d.filter("i <> j").groupBy("group").agg(F.median("a").alias("sigma"))
-    gauss = lambda c: F.exp(-F.col(c) * F.col(c) / (2 * F.col("sigma") * F.col("sigma")))
-    k = d.join(F.broadcast(sigma), "group").select("group", "i", "j", gauss("a").alias("a"), gauss("b").alias("b"))  # one row a group
-    r = _row_sums(k, ["a", "b"])
-    n = r.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("ta"), F.sum("b").alias("tb"), *[F.sum(F.col(p) * F.col(q)).alias(f"r{p}{q}") for p, q in ("ab", "aa", "bb")])
-    w = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    s = k.groupBy("group").agg(*[F.sum(w * F.col(p) * F.col(q)).alias(f"p{p}{q}") for p, q in ("ab", "aa", "bb")]).join(n, "group")
+    kind = rows.schema["group"].dataType.simpleString()
+    sigma = pairs(rows, {x: "euclidean"}).groupBy("group").agg(F.median(x).alias("sigma"))  # the single distances of x leave the blocks for this alone
+    names = ("a", "b", "ab", "aa", "bb")
+
+    def task(pdf, low, high):
+        i, j, d = _met(low, high, {x: "euclidean", y: "euclidean"}, diagonal=True)
+        a, b = (np.exp(-(d[c] ** 2) / (2 * pdf["sigma"].iloc[0] ** 2)) for c in (x, y))
+        values = np.stack([a, b, a * b, a * a, b * b])
+        out = pd.DataFrame(np.hstack([values, values[:, i != j]]).T, columns=names)
+        out["i"] = np.concatenate([i, j[i != j]])
+        return out.groupby("i", as_index=False).sum().assign(group=pdf["group"].iloc[0])[["group", "i", *names]]
+
+    part = _blocks(rows.hint("merge").join(sigma, "group"), [x, y, "sigma"], task, f"group {kind}, i long, " + ", ".join(f"{c} double" for c in names))
+    r = part.groupBy("group", "i").agg(*[F.sum(c).alias(c) for c in names])
+    s = r.groupBy("group").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("ta"), F.sum("b").alias("tb"),
+        *[F.sum(F.col(p) * F.col(q)).alias(f"r{p}{q}") for p, q in ("ab", "aa", "bb")], *[F.sum(p + q).alias(f"p{p}{q}") for p, q in ("ab", "aa", "bb")],
+    )
     # sum of products of doubly centred kernels, from row sums and totals
     hsic = lambda p, q: F.col(f"p{p}{q}") - 2 * F.col(f"r{p}{q}") / F.col("n") + F.col(f"t{p}") * F.col(f"t{q}") / (F.col("n") * F.col("n"))
     denom = F.sqrt(hsic("a", "a") * hsic("b", "b"))
@@ -154,6 +196,6 @@ def subject_representation(rows: DataFrame, metric, least: int = 2) -> DataFrame
     keyed = rows.withColumns({"group": F.struct("batch_id", "subject"), "i": (F.row_number().over(by) - 1).cast("long")})
     keyed = keyed.withColumn("group", F.concat_ws("|", F.col("group.batch_id").cast("string"), F.col("group.subject").cast("string")))
     n = keyed.groupBy("group", "subject").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    scored = metric(keyed.join(n.select("group"), "group", "left_semi").select("group", "i", "x", "y")).join(n, "group")
+    scored = metric(keyed.join(n.select("group"), "group", "left_semi").select("group", "i", "x", "y")).hint("merge").join(n, "group")
     v = F.when(~F.isnan("value"), F.col("value"))
     return scored.groupBy("subject").agg((F.sum(v * F.col("n")) / F.sum(F.when(v.isNotNull(), F.col("n")))).alias("value"))

@@ -97,8 +97,8 @@ def s7(spark, d):
 @query("s8_read_transcript_json", "SELECT user_id::VARCHAR AS item, event_type AS word, value AS onset_s, 0e0 AS duration_s FROM events")
 def s8(spark, d):
     path = folder(spark)
-    rows = table(spark, d, "events").select(F.struct(F.col("user_id").cast("string").alias("item"), F.col("event_type").alias("word"), F.col("value").alias("onset")).alias("x"), F.pmod("user_id", F.lit(16)).alias("f"))
-    rows.groupBy("f").agg(F.to_json(F.collect_list("x")).alias("value")).repartition("f").write.partitionBy("f").text(path)  # one list a file
+    rows = table(spark, d, "events").select(F.struct(F.col("user_id").cast("string").alias("item"), F.col("event_type").alias("word"), F.col("value").alias("onset")).alias("x"), F.floor(F.col("event_id") / 10_000).alias("f"))
+    rows.groupBy("f").agg(F.to_json(F.collect_list("x")).alias("value")).repartition("f").write.partitionBy("f").text(path)  # one list of at most 10,000 events a file
     return M.read_transcript_json(spark, path)
 
 

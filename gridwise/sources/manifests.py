@@ -27,7 +27,7 @@ def scan_run_manifest(listing: DataFrame, subjects: DataFrame, keys: DataFrame,
     runs = runs.crossJoin(F.broadcast(subjects.select("subject").distinct()))  # a short list
     tokens = keys.select("subject", "key", F.explode(F.array_distinct(F.split("key", "[-_/]"))).alias("chunk"))
     one = tokens.groupBy("subject", "chunk").agg(F.min("key").alias("fmri_h5_key"), F.count_distinct("key").alias("n")).filter("n = 1").drop("n")
-    out = runs.join(one, ["subject", "chunk"], "left").withColumn("fmri_h5_key", F.coalesce("fmri_h5_key", F.lit("")))
+    out = runs.hint("merge").join(one, ["subject", "chunk"], "left").withColumn("fmri_h5_key", F.coalesce("fmri_h5_key", F.lit("")))
     return out.select("subject", "task", "chunk", F.concat_ws("/", "task", "chunk").alias("stimulus_id"), F.col("path").alias("transcript_relpath"), "fmri_h5_key")
 
 

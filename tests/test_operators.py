@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,34 @@ def test_pairs_by_blocks(spark):
     assert got == {(i, j): float(i * j) for i in range(7) for j in range(i + 1, 7)}
 
 
+def test_scores_over_blocks_equal_whole_matrices(spark):
+    """Two groups, one of three blocks and one of three rows, against matrices in numpy."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(1100, 4)), rng.normal(size=(1100, 3))
+    y[:, :2] += x[:, :2]
+    made = [(1, i, x[i].tolist(), y[i].tolist()) for i in range(1100)] + [(2, i, x[i].tolist(), y[i].tolist()) for i in range(3)]
+    df = spark.createDataFrame(made, "group int, i long, x array<double>, y array<double>").repartition(5)
+    value = lambda scored, c: {r["group"]: r[c] for r in scored.collect()}
+
+    upper = np.triu_indices(1100, 1)
+    far = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    dx, dy = far(x), far(y)
+    got = value(P.rsa(df, dissimilarity="euclidean"), "rsa")
+    assert got.keys() == {1, 2} and math.isclose(got[1], np.corrcoef(dx[upper], dy[upper])[0, 1], abs_tol=1e-9)
+
+    n, k, l = 1100, x @ x.T, y @ y.T  # noqa: E741
+    np.fill_diagonal(k, 0)
+    np.fill_diagonal(l, 0)
+    hsic = lambda a, b: ((a * b).sum() + a.sum() * b.sum() / ((n - 1) * (n - 2)) - 2 * a.sum(0) @ b.sum(0) / (n - 2)) / (n * (n - 3))
+    got = value(P.cka_unbiased(df), "cka")
+    assert got.keys() == {1} and math.isclose(got[1], hsic(k, l) / (np.sqrt(hsic(k, k) * hsic(l, l)) + 1e-8), abs_tol=1e-9)
+
+    sigma, centre = np.median(dx[upper]), np.eye(n) - 1 / n
+    k, l = (centre @ np.exp(-(d**2) / (2 * sigma**2)) @ centre for d in (dx, dy))  # noqa: E741
+    got = value(P.cka_rbf(df), "cka")
+    assert math.isclose(got[1], (k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum()), abs_tol=1e-9)
+
+
 def test_split_compat_scores(spark):
     df = spark.createDataFrame([("chunk:e01a",), ("chunk:1",)], "chunk string")
     s = {x.chunk: round(x.s, 10) for x in df.select("chunk", M.compat_score(F.col("chunk"), 33).alias("s")).collect()}
