@@ -44,16 +44,16 @@ def align(features: DataFrame, times: DataFrame, hz: float, linear: bool = True,
     """
     keys = list(keys)
     last = features.groupBy(*keys).agg(F.max("frame").alias("__last"))
-    at = times.join(last, keys).withColumn("__x", F.col("t") * hz)
+    at = times.hint("merge").join(last, keys).withColumn("__x", F.col("t") * hz)
     if not linear:
         near = at.withColumn("frame", F.least(F.greatest(F.rint("__x").cast("int"), F.lit(0)), F.col("__last")))
-        return near.join(features, [*keys, "frame"]).select(*keys, "t", "value")
+        return near.hint("merge").join(features, [*keys, "frame"]).select(*keys, "t", "value")
     low = F.when(F.col("__x").cast("int") < 0, 0).otherwise(F.least(F.col("__x").cast("int"), F.col("__last")))
     flat = (F.col("__x").cast("int") < 0) | (F.col("__x").cast("int") >= F.col("__last"))
     at = at.withColumns({"__lo": low, "__w": F.when(flat, 0.0).otherwise(F.col("__x") - low)}).withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__last")))
     a = features.select(*keys, F.col("frame").alias("__lo"), F.col("value").alias("__a"))
     b = features.select(*keys, F.col("frame").alias("__hi"), F.col("value").alias("__b"))
-    both = at.join(a, [*keys, "__lo"]).join(b, [*keys, "__hi"])
+    both = at.hint("merge").join(a, [*keys, "__lo"]).hint("merge").join(b, [*keys, "__hi"])
     return both.select(*keys, "t", (F.col("__a") * (1 - F.col("__w")) + F.col("__b") * F.col("__w")).alias("value"))
 
 
@@ -160,7 +160,7 @@ def window_bold(segments: DataFrame, bold: DataFrame, item: str = "item", tr: fl
 def align_modalities(segments: DataFrame, streams: dict[str, DataFrame], bold: DataFrame, item: str = "item") -> DataFrame:
     """Per window and volume: each stream's frame at the volume's time, and the recorded value; items without a stream are left out."""
     for s in streams.values():
-        segments = segments.join(s.select(item).distinct(), item, "left_semi")
+        segments = segments.hint("merge").join(s.select(item).distinct(), item, "left_semi")
     out = window_bold(segments, bold, item).withColumnRenamed("value", "bold")
     for name, s in streams.items():
         frames = window_frames(segments, s, item).select(item, "segment_idx", F.col("dst").alias("__f"), F.col("value").alias(name))

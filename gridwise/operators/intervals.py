@@ -66,7 +66,7 @@ def lookback_capped(frames: DataFrame, cutoffs: DataFrame, source_fps: float, sa
 def lookback_subtimes(steps: DataFrame, frames: DataFrame, fps: float, n: int = 8, span_s: float = 4.0) -> DataFrame:
     """(item, step, k, frame, value): n frames nearest to the times max(0, t - j span / n), oldest first, of each step's end t."""
     last = frames.groupBy("item").agg(F.max("frame").alias("__last"))
-    k = steps.join(last, "item").select("item", "step", "cutoff_s", "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    k = steps.hint("merge").join(last, "item").select("item", "step", "cutoff_s", "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     t = F.greatest(F.lit(0.0), F.col("cutoff_s") - (n - 1 - F.col("k")) * (span_s / n))
     at = k.withColumn("frame", F.least(F.greatest(F.rint(t * fps).cast("int"), F.lit(0)), F.col("__last").cast("int")))
     return at.hint("merge").join(frames, ["item", "frame"]).select("item", "step", "k", "frame", "value")
@@ -111,7 +111,7 @@ def transcript_duration(words: DataFrame, rows: DataFrame | None = None, tr: flo
     ends = words.groupBy("item").agg(F.max(F.col("onset_s") + F.greatest("duration_s", F.lit(0.0))).alias("__e"))
     if rows is None:
         return ends.select("item", F.coalesce("__e", F.lit(0.0)).alias("duration_s"))
-    return rows.join(ends, "item", "left").select("item", F.greatest(F.col("n_rows") * tr, F.coalesce("__e", F.lit(0.0))).alias("duration_s"))
+    return rows.hint("merge").join(ends, "item", "left").select("item", F.greatest(F.col("n_rows") * tr, F.coalesce("__e", F.lit(0.0))).alias("duration_s"))
 
 
 def running_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("item",)) -> DataFrame:
@@ -157,7 +157,7 @@ def merge_streams_mean(streams: Sequence[DataFrame]) -> DataFrame:
         rows = rows.union(s.withColumn("stream", F.lit(i)))
     n = rows.groupBy("item", "stream").agg((F.max("frame") + 1).alias("n"))
     most = n.groupBy("item").agg(F.max("n").alias("m"))
-    grid = n.join(most, "item").select("item", "stream", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
+    grid = n.hint("merge").join(most, "item").select("item", "stream", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
     grid = grid.withColumn("frame", F.floor(F.col("i") * F.col("n") / F.col("m")))
     return grid.hint("merge").join(rows, ["item", "stream", "frame"]).groupBy("item", "i").agg(F.avg("value").alias("value")).withColumnRenamed("i", "frame")
 
@@ -172,7 +172,7 @@ def patch_mean(tokens: DataFrame, n_steps: int) -> DataFrame:
     count = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("__n"))
     bad = F.raise_error(F.concat(F.lit("tokens not divisible by steps in "), F.col("item").cast("string"))).cast("long")
     spatial = F.when(F.col("__n") % n_steps == 0, F.floor(F.col("__n") / n_steps)).otherwise(bad)
-    return tokens.join(count, "item").groupBy("item", F.floor(F.col("token") / spatial).alias("step")).agg(F.avg("value").alias("value"))
+    return tokens.hint("merge").join(count, "item").groupBy("item", F.floor(F.col("token") / spatial).alias("step")).agg(F.avg("value").alias("value"))
 
 
 def strategy_counts(rows: DataFrame, strategy: str) -> DataFrame:
