@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.operators.ordered import blocks, medians
+
 TR, DELAY, WINDOW, STRIDE, HZ = 1.49, 4.47, 149.0, 149.0, 2.0
 
 
@@ -84,12 +86,12 @@ def fir_filter(features: DataFrame, kernel: Sequence[float], keys: Sequence[str]
     """Cross-correlation with an odd kernel, zeros outside, same length."""
     if len(kernel) % 2 == 0:
         raise ValueError("the kernel must have an odd length")
-    by, half = W.partitionBy(*keys).orderBy("frame"), len(kernel) // 2
+    by, half = W.partitionBy(*keys, "__block").orderBy("__n"), len(kernel) // 2
     terms = [F.lit(float(k)) * F.coalesce(F.lag("value", half - i).over(by) if half >= i else F.lead("value", i - half).over(by), F.lit(0.0)) for i, k in enumerate(kernel)]
     out = terms[0]
     for t in terms[1:]:
         out = out + t
-    return features.withColumn("value", out)
+    return blocks(features, keys, ["frame"], half, half).withColumn("value", out).filter("__own").select(*features.columns)
 
 
 def frame_grid(df: DataFrame, duration: str = "duration_s", hz: float = HZ) -> DataFrame:
@@ -122,8 +124,9 @@ def zero_features(df: DataFrame, n_layers: int, dim: int) -> DataFrame:
 
 def infer_rate(times: DataFrame, keys: Sequence[str] = ("item",), t: str = "t_s", default: float = HZ) -> DataFrame:
     """(keys..., hz): 1 / median step; the default with fewer than two times or a step that is not positive."""
-    by = W.partitionBy(*keys).orderBy(t)
-    step = times.select(*keys, (F.col(t) - F.lag(t).over(by)).alias("__d")).groupBy(*keys).agg(F.median("__d").alias("__m"))
+    by = W.partitionBy(*keys, "__block").orderBy("__n")
+    steps = blocks(times.select(*keys, t), keys, [t], back=1).withColumn("__d", F.col(t) - F.lag(t).over(by)).filter("__own")
+    step = medians(steps.select(*keys, "__d"), keys, "__d", "__m")
     return step.select(*keys, F.when(F.col("__m") > 0, 1 / F.col("__m")).otherwise(default).alias("hz"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.operators.ordered import blocks, running
+
 
 def interval_frames(onset: Column, duration: Column, n_frames: Column, hz: float, out_start: float = 0.0, out_duration: Column | None = None) -> Column:
     """Frame numbers that an interval overlaps; NULL where it lies outside; a zero-length interval marks one frame."""
@@ -33,8 +35,7 @@ def asof_prefix(words: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """cutoffs (item, cutoff_s) with n_words: words that end at or before the cutoff (as-of join by one ordered union)."""
     ends = words.select("item", (F.col("onset_s") + F.col("duration_s")).alias("t"), F.lit(0).alias("kind"))
     both = ends.union(cutoffs.select("item", F.col("cutoff_s").alias("t"), F.lit(1).alias("kind")))
-    by = W.partitionBy("item").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    counted = both.withColumn("n_words", F.sum(1 - F.col("kind")).over(by))
+    counted = running(both, ["item"], ["t", "kind"], {"n_words": (1 - F.col("kind")).cast("long")})
     return counted.filter("kind = 1").select("item", F.col("t").alias("cutoff_s"), "n_words")
 
 
@@ -48,8 +49,7 @@ def lookback_range(samples: DataFrame, cutoffs: DataFrame, rate: float, span_s:
     bounds = cutoffs.select("item", "cutoff_s", F.explode(F.array(F.struct(low.alias("s"), F.lit(-1).alias("sign")), F.struct(high.alias("s"), F.lit(1).alias("sign")))).alias("b"))
     points = samples.select("item", F.col("sample").cast("long").alias("s"), F.lit(1).alias("kind"), F.col("value"), F.lit(None).cast("double").alias("cutoff_s"), F.lit(0).alias("sign"))
     asks = bounds.select("item", "b.s", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("value"), "cutoff_s", "b.sign")
-    by = W.partitionBy("item").orderBy("s", "kind").rowsBetween(W.unboundedPreceding, 0)  # samples below the bound
-    run = points.union(asks).withColumns({"__n": F.sum(F.col("kind")).over(by), "__v": F.coalesce(F.sum("value").over(by), F.lit(0.0))}).filter("sign <> 0")
+    run = running(points.union(asks), ["item"], ["s", "kind"], {"__n": F.col("kind"), "__v": F.col("value")}).filter("sign <> 0")  # samples below the bound
     return run.groupBy("item", "cutoff_s").agg(F.sum(F.col("sign") * F.col("__n")).alias("n"), F.sum(F.col("sign") * F.col("__v")).alias("total"))
 
 
@@ -74,9 +74,9 @@ def lookback_subtimes(steps: DataFrame, frames: DataFrame, fps: float, n: int =
 
 def word_spans(words: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
     """words with start and stop: character span of each word in the words joined by blanks."""
-    by = W.partitionBy(*keys).orderBy("word_idx").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word") + 1).over(by), F.lit(0))
-    return words.withColumn("start", start).withColumn("stop", F.col("start") + F.length("word"))
+    upto = running(words, keys, ["word_idx"], {"stop": (F.length("word") + 1).cast("long")})
+    start = F.col("stop") - F.coalesce(F.length("word") + 1, F.lit(0))
+    return upto.withColumn("start", start).withColumn("stop", F.col("start") + F.length("word"))
 
 
 def joined_text(words: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
@@ -116,15 +116,16 @@ def transcript_duration(words: DataFrame, rows: DataFrame | None = None, tr: flo
 
 def running_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("item",)) -> DataFrame:
     """words with context: the last max_len + 1 words up to the current one."""
-    by = W.partitionBy(*keys).orderBy("word_idx").rowsBetween(-max_len, 0)
-    return words.withColumn("context", F.array_join(F.collect_list("word").over(by), " "))
+    by = W.partitionBy(*keys, "__block").orderBy("__n").rowsBetween(-max_len, 0)
+    context = F.array_join(F.collect_list("word").over(by), " ")
+    return blocks(words, keys, ["word_idx"], back=max_len).withColumn("context", context).filter("__own").select(*words.columns, "context")
 
 
 def last_n_words(words: DataFrame, cutoffs: DataFrame, n: int) -> DataFrame:
     """(item, cutoff_s, n_words, window_start, text): the last n words that end at or before each cutoff. Ends must not decrease with word_idx."""
     prefix = asof_prefix(words, cutoffs).distinct()
-    by = W.partitionBy("item").orderBy("word_idx")
-    texts = words.withColumn("n_words", F.row_number().over(by).cast("long")).withColumn("text", F.array_join(F.collect_list("word").over(by.rowsBetween(-(n - 1), 0)), " "))
+    by = W.partitionBy("item", "__block").orderBy("__n").rowsBetween(-(n - 1), 0)
+    texts = blocks(words, ["item"], ["word_idx"], back=n - 1).withColumn("text", F.array_join(F.collect_list("word").over(by), " ")).filter("__own").withColumn("n_words", F.col("__n") + 1)
     out = prefix.hint("merge").join(texts.select("item", "n_words", "text"), ["item", "n_words"], "left")
     return out.select("item", "cutoff_s", "n_words", F.greatest(F.col("n_words") - n, F.lit(0)).alias("window_start"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -134,12 +135,11 @@ def sentence_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("ite
 
     An unmatched word has the context '' and starts the context anew.
     """
-    by = W.partitionBy(*keys).orderBy("word_idx").rowsBetween(W.unboundedPreceding, 0)
-    runs = words.withColumn("__run", F.sum(F.when(F.col("sentence_idx").isNull(), 1).otherwise(0)).over(by))
-    inner = W.partitionBy(*keys, "__run").orderBy("word_idx").rowsBetween(-max_len, 0)
+    runs = running(words, keys, ["word_idx"], {"__run": F.col("sentence_idx").isNull().cast("long")})
+    inner = W.partitionBy(*keys, "__run", "__block").orderBy("__n").rowsBetween(-max_len, 0)
     known = F.when(F.col("sentence_idx").isNotNull(), F.col("word"))
     context = F.when(F.col("sentence_idx").isNull(), "").otherwise(F.array_join(F.collect_list(known).over(inner), " "))
-    return runs.withColumn("context", context).drop("__run")
+    return blocks(runs, [*keys, "__run"], ["word_idx"], back=max_len).withColumn("context", context).filter("__own").select(*words.columns, "context")
 
 
 def sum_to_frames(words: DataFrame, frames: DataFrame, hz: float, value: str = "value") -> DataFrame:

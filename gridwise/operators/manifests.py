@@ -151,7 +151,7 @@ def hash_split(df: DataFrame, ratio: float = 0.1, seed: int = 33, key: str = "ch
     keys = df.groupBy(key).agg(F.min(order).alias("__first"))
     score = compat_score(F.col(key), seed) if compat else native_score(F.col(key), seed)
     keys = keys.withColumn("__val", score >= 1 - ratio)
-    last = keys.agg(F.max_by(key, "__first").alias("__last"), F.coalesce(F.bool_or("__val"), F.lit(False)).alias("__any"))
+    last = keys.agg(F.max(F.struct("__first", key))[key].alias("__last"), F.coalesce(F.bool_or("__val"), F.lit(False)).alias("__any"))
     splits = keys.crossJoin(F.broadcast(last))  # one row
     val = F.col("__val") | (~F.col("__any") & (F.col(key) == F.col("__last")))
     return df.join(splits.select(key, F.when(val, "val").otherwise("train").alias("split")), key)
@@ -266,12 +266,19 @@ def apply_split_map(df: DataFrame, splits: DataFrame, key: str = "chunk") -> Dat
     return df.join(splits, key)
 
 
-def match_unique_key(df: DataFrame, keys: DataFrame, token: str, key: str = "key") -> DataFrame:
-    """df with key: the one key that holds the row's token between its separators, '' if none or several do.
+def match_unique_key(df: DataFrame, keys: DataFrame, token: str, key: str = "key", contains: bool = False) -> DataFrame:
+    """df with key: the one key that holds the row's token, '' if none or several do.
 
-    Keys are cut into their tokens, so that the join is by equality.
+    A token is held between a key's separators, or with ``contains`` anywhere in it. Keys are cut into their tokens, or into their
+    substrings of the lengths that tokens have, so that the join is by equality.
     """
-    parts = keys.select(key, F.explode(F.array_distinct(F.split(key, "[-_/]"))).alias(token))
+    if contains:
+        lengths = df.select(F.length(token).alias("__l")).filter("__l > 0").distinct()  # a short list
+        cut = keys.select(key).distinct().crossJoin(F.broadcast(lengths)).filter(F.length(key) >= F.col("__l"))
+        starts = F.sequence(F.lit(1), F.length(key) - F.col("__l") + 1)
+        parts = cut.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(key, i, F.col("__l"))))).alias(token))
+    else:
+        parts = keys.select(key, F.explode(F.array_distinct(F.split(key, "[-_/]"))).alias(token))
     one = parts.groupBy(token).agg(F.min(key).alias("__k"), F.count_distinct(key).alias("__n")).filter("__n = 1")
     return df.hint("merge").join(one.select(token, "__k"), token, "left").withColumn(key, F.coalesce("__k", F.lit(""))).drop("__k")
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.operators.ordered import average_ranks, medians
+
 BLOCK = 512
 EPS = 1e-8
 
@@ -66,12 +68,6 @@ def pairs(rows: DataFrame, vectors: dict[str, str], diagonal: bool = False, bloc
     return _blocks(rows, list(vectors), task, f"group {kind}, i long, j long, " + ", ".join(f"`{c}` double" for c in vectors), block)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with 0-based ranks, ties averaged."""
-    by = W.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(by.orderBy(value)) - 1 + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2.0)
-
-
 def rsa(rows: DataFrame, x: str = "x", y: str = "y", dissimilarity: str = "correlation", similarity: str = "pearson") -> DataFrame:
     """(group, rsa, loss): agreement of the two dissimilarity matrices' upper triangles, and 1 - rsa."""
     kind = rows.schema["group"].dataType.simpleString()
@@ -164,7 +160,7 @@ def cka_unbiased(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def cka_rbf(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(group, cka): alignment of centred Gaussian kernels; sigma is the median pairwise distance of x, for both sides."""
     kind = rows.schema["group"].dataType.simpleString()
-    sigma = pairs(rows, {x: "euclidean"}).groupBy("group").agg(F.median(x).alias("sigma"))  # the single distances of x leave the blocks for this alone
+    sigma = medians(pairs(rows, {x: "euclidean"}), ["group"], x, "sigma")  # the single distances of x leave the blocks for this alone
     names = ("a", "b", "ab", "aa", "bb")
 
     def task(pdf, low, high):

@@ -176,11 +176,24 @@ def j4(spark, d):
     return M.apply_split_map(docs, splits).select("doc_id", "split")
 
 
-@query("j5_match_unique_key", "WITH k AS (SELECT source AS t, min(source || '-' || doc_id) AS k, count(DISTINCT source || '-' || doc_id) AS n FROM documents WHERE doc_id % 30 = 4 GROUP BY 1) SELECT doc_id, coalesce(CASE WHEN n = 1 THEN k END, '') AS key FROM documents LEFT JOIN k ON source = t")
+_KEYS = "k AS (SELECT doc_id, concat_ws('-', source, doc_id) AS k FROM documents UNION ALL SELECT doc_id, concat_ws('-', 'q' || quality, doc_id) FROM labels)"
+
+
+def _match(spark, d, contains):
+    """Every document's number among the keys of documents and of labels; both have it where a document has a label."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    keys = docs.select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("key")).union(labels.select(F.concat_ws("-", F.concat(F.lit("q"), F.col("quality").cast("string")), F.col("doc_id").cast("string"))))
+    return M.match_unique_key(docs.select("doc_id", F.col("doc_id").cast("string").alias("token")), keys, "token", contains=contains).select("doc_id", "key")
+
+
+@query("j5_match_unique_key", f"WITH {_KEYS}, g AS (SELECT doc_id, min(k) AS k, count(DISTINCT k) AS n FROM k GROUP BY 1) SELECT d.doc_id, CASE WHEN n = 1 THEN k ELSE '' END AS key FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id")
 def j5(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    keys = docs.filter("doc_id % 30 = 4").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("key"))
-    return M.match_unique_key(docs.withColumnRenamed("source", "token"), keys, "token").select("doc_id", "key")
+    return _match(spark, d, contains=False)
+
+
+@query("j5_match_containing_key", f"WITH {_KEYS} SELECT doc_id, CASE WHEN n = 1 THEN key ELSE '' END AS key FROM (SELECT d.doc_id, min(k) AS key, count(DISTINCT k) AS n FROM documents d LEFT JOIN k ON contains(k, d.doc_id::VARCHAR) GROUP BY 1)")
+def j5_containing(spark, d):
+    return _match(spark, d, contains=True)
 
 
 @query("j7_missing_features", f"WITH {RUNS} SELECT DISTINCT stimulus_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -240,6 +253,12 @@ def x1(spark, d):
     return M.hash_split(runs(spark, d)).select("stimulus_id", "split")
 
 
+@query("x1_hash_split_fallback", f"WITH {RUNS}, k AS (SELECT chunk, min(doc_id) AS f FROM r GROUP BY 1) SELECT stimulus_id, CASE WHEN chunk = (SELECT arg_max(chunk, f) FROM k) THEN 'val' ELSE 'train' END AS split FROM r")
+def x1_fallback(spark, d):
+    """No chunk scores that high a number, so the chunk that appears last is val."""
+    return M.hash_split(runs(spark, d), ratio=1e-12, order="doc_id").select("stimulus_id", "split")
+
+
 @query("x1_hash_split_compat")
 def x1_compat(spark, d):
     return M.hash_split(runs(spark, d), compat=True).select("stimulus_id", "split")
