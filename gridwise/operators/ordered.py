@@ -1,7 +1,8 @@
-"""Running sums, ranks, medians and neighbouring rows within keys, where no task holds a whole key.
+"""Running sums, ranks, medians and neighbouring rows within keys, where no task holds a large key.
 
-Rows are dealt by ranges of key and order, so a key of any size is spread over many
-tasks; what a range adds to the next ones is one row for each range and key.
+Where the largest key has more than TASK_ROWS rows, rows are dealt by ranges of key
+and order, so a key of any size is spread over many tasks; what a range adds to the
+next ones is one row for each range and key. Below that, plain windows give the same.
 """
 
 from __future__ import annotations
@@ -15,12 +16,25 @@ from pyspark.sql import functions as F
 from gridwise.functions.session import checkpointed
 
 
+#: Rows of one key that a task may hold in order (its window spills beyond memory).
+TASK_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every key has at most TASK_ROWS rows, by counting them."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0) <= TASK_ROWS
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
     """df with the sums of columns over a key's rows so far, the row itself included; nulls add nothing, and null keys are a key.
 
     totals (name of a sum -> name of a column) adds the sum over the whole key.
     """
     new = [*sums, *(totals or {}).values()]
+    if fits(df, keys):
+        whole, by = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        values = {n: F.coalesce(F.sum(c).over(by), F.lit(0)) for n, c in sums.items()}
+        return df.withColumns({**values, **{out: F.coalesce(F.sum(sums[n]).over(whole), F.lit(0)) for n, out in (totals or {}).items()}})
     parts = {n: (f"__s{i}", f"__t{i}", f"__o{i}") for i, n in enumerate(sums)}
     rows = df.withColumns({"__k": F.struct(*keys), **{parts[n][0]: c for n, c in sums.items()}})
     rows = checkpointed(rows.repartitionByRange("__k", *order)).withColumn("__p", F.spark_partition_id())  # its partitions stay as they are
@@ -39,6 +53,9 @@ def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int =
     Rows at the edges are also given to the next or the last block, so that a window over (keys, __block) by __n sees ``back`` rows
     before and ``ahead`` rows after each row of its own; keep the rows with __own afterwards.
     """
+    if fits(df, keys):
+        number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1
+        return df.withColumns({"__n": number, "__block": F.lit(0).cast("long"), "__own": F.lit(True)})
     size = max(size, back, ahead)
     rows = running(df, keys, order, {"__n": F.lit(1).cast("long")}).withColumn("__n", F.col("__n") - 1)
     at = F.col("__n") % size
@@ -53,15 +70,20 @@ def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return running(counts, keys, [value], {"__upto": F.col("__c")}, {"__upto": "__all"})
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """df with 0-based ranks, ties averaged; nulls come first and are ties."""
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
+    """df with 0-based ranks, ties averaged; nulls come first and are ties. small: what fits(df, keys) gives, where that is known."""
+    if fits(df, keys) if small is None else small:
+        by = W.partitionBy(*keys)
+        return df.withColumn(out, F.rank().over(by.orderBy(value)) - 1 + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2.0)
     at = F.struct(*keys, value)
     ranks = counted_values(df, keys, value).select(at.alias("__at"), (F.col("__upto") - F.col("__c") + (F.col("__c") - 1) / 2.0).alias(out))
     return df.withColumn("__at", at).hint("merge").join(ranks, "__at").drop("__at")
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
     """(keys..., out): median of each key's values that are not null, the mean of the two middle ones of an even number; NULL where all are null."""
+    if fits(df, keys) if small is None else small:
+        return df.groupBy(*keys).agg(F.median(value).alias(out))
     known = counted_values(df.filter(F.col(value).isNotNull()), keys, value)
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1  # places of the middle values, from 1
     holds = lambda place: (F.col("__upto") - F.col("__c") < place) & (place <= F.col("__upto"))

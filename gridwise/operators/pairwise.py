@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwise.operators.ordered import average_ranks, medians
+from gridwise.functions.session import checkpointed
+from gridwise.operators.ordered import TASK_ROWS, average_ranks, medians
 
 BLOCK = 512
 EPS = 1e-8
@@ -68,12 +69,20 @@ def pairs(rows: DataFrame, vectors: dict[str, str], diagonal: bool = False, bloc
     return _blocks(rows, list(vectors), task, f"group {kind}, i long, j long, " + ", ".join(f"`{c}` double" for c in vectors), block)
 
 
+def _few_pairs(rows: DataFrame) -> bool:
+    """Whether every group's pairs may be put in order in one task; pairs are counted from the rows, without making them."""
+    n = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return n * (n - 1) // 2 <= TASK_ROWS
+
+
 def rsa(rows: DataFrame, x: str = "x", y: str = "y", dissimilarity: str = "correlation", similarity: str = "pearson") -> DataFrame:
     """(group, rsa, loss): agreement of the two dissimilarity matrices' upper triangles, and 1 - rsa."""
     kind = rows.schema["group"].dataType.simpleString()
     if similarity == "spearman":  # ranks need the single pairs
         d = pairs(rows, {x: dissimilarity, y: dissimilarity}).withColumnsRenamed({x: "a", y: "b"})
-        d = average_ranks(average_ranks(d, ["group"], "a", "ra"), ["group"], "b", "rb")
+        small = _few_pairs(rows)
+        d = d if small else checkpointed(d)  # ranks of large groups read it more than once
+        d = average_ranks(average_ranks(d, ["group"], "a", "ra", small), ["group"], "b", "rb", small)
         part = d.select("group", F.lit(1).alias("n"), F.col("ra").alias("ma"), F.col("rb").alias("mb"), *[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
     elif similarity == "pearson":  # only the moments of a pair of blocks leave its task
 
@@ -160,7 +169,9 @@ def cka_unbiased(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def cka_rbf(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(group, cka): alignment of centred Gaussian kernels; sigma is the median pairwise distance of x, for both sides."""
     kind = rows.schema["group"].dataType.simpleString()
-    sigma = medians(pairs(rows, {x: "euclidean"}), ["group"], x, "sigma")  # the single distances of x leave the blocks for this alone
+    small = _few_pairs(rows)
+    apart = pairs(rows, {x: "euclidean"})
+    sigma = medians(apart if small else checkpointed(apart), ["group"], x, "sigma", small)  # the single distances of x leave the blocks for this alone
     names = ("a", "b", "ab", "aa", "bb")
 
     def task(pdf, low, high):

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,13 @@ from gridwise.operators import grid as G
 from gridwise.operators import intervals as I
 from gridwise.operators import manifests as M
 from gridwise.operators import ordered as O
+from gridwise.operators import pairwise as P
+
+
+@pytest.fixture(params=[0, 1_000_000], ids=["spread", "windows"], autouse=True)
+def task_rows(request, monkeypatch):
+    """Every test runs in both forms, keys spread over ranges and keys in plain windows."""
+    monkeypatch.setattr(O, "TASK_ROWS", request.param)
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +83,21 @@ def test_filters_and_contexts_cross_blocks(spark, monkeypatch):
     assert (sentence[5], sentence[6], sentence[7], sentence[10]) == ("w3 w4 w5", "", "w7", "w8 w9 w10")
 
 
+def test_kernels_and_ranks_of_pairs(spark, task_rows, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", O.TASK_ROWS)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(0, i, x[i].tolist(), y[i].tolist()) for i in range(40)], "group int, i long, x array<double>, y array<double>")
+    far = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    dx, dy, upper = far(x), far(y), np.triu_indices(40, 1)
+    places = lambda v: np.argsort(np.argsort(v))  # no ties
+    got = P.rsa(df, dissimilarity="euclidean", similarity="spearman").first().rsa
+    assert abs(got - np.corrcoef(places(dx[upper]), places(dy[upper]))[0, 1]) < 1e-9
+    sigma, centre = np.median(dx[upper]), np.eye(40) - 1 / 40
+    k, l = (centre @ np.exp(-(d**2) / (2 * sigma**2)) @ centre for d in (dx, dy))  # noqa: E741
+    assert abs(P.cka_rbf(df).first().cka - (k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum())) < 1e-9
+
+
 def test_keys_that_contain_a_token(spark):
     docs = spark.createDataFrame([("s1",), ("e02",), ("none",), ("",), (None,)], "token string")
     keys = spark.createDataFrame([("ses-1_s1e02",), ("ses-2_s2e02",), ("e02",)], "key string")
