@@ -2,7 +2,8 @@
 
 Alternates the large-star and small-star steps until the links no longer
 change. Each step is a minimum by node and an equi-join; nothing is gathered
-per node, so one node may have any number of links. Each round is written to
+per node, and links of nodes with many of them are joined where they lie, so one
+node may have any number of links. Each round is written to
 the shared checkpoint folder, which cuts lineage and survives lost executors.
 """
 
@@ -14,17 +15,24 @@ from pyspark.sql import functions as F
 from gridwise.llm._common import checkpointed
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """links (a, b) with m, the least node of a; least is (a, m, n). Links of nodes with over ``many`` of them meet a broadcast row, so none fills a task."""
+    hot = F.broadcast(least.filter(F.col("n") > many).select("a", F.col("m").alias("h")))  # 20,000 rows at most, see components
+    at = links.join(hot, "a", "left")
+    rest = at.filter("h is null").select("a", "b").hint("merge").join(least.filter(F.col("n") <= many).select("a", "m"), "a")
+    return at.filter("h is not null").select("a", "b", F.col("h").alias("m")).union(rest)
+
+
+def _large_star(links: DataFrame, many: int) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, many: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.hint("merge").join(least, "a")
-    kept = moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    kept = _with_least(down, least, many).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return kept.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -35,13 +43,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     now = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    sign, rows = None, now.count()
     while True:
-        now = checkpointed(_small_star(_large_star(now)))
+        many = max(100, rows // 10_000)  # a step sees each link twice at most, so no more than 20,000 nodes have more
+        now = checkpointed(_small_star(_large_star(now, many), many))
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == sign:
             break
-        sign = new
+        sign, rows = new, new[0]
     found = now.groupBy("a").agg(F.min("b").alias("root"))
     roots = found.select(F.col("root").alias("a")).distinct().withColumn("root", F.col("a"))
     return found.union(roots).select(F.col("a").alias("node"), "root")

@@ -573,3 +573,15 @@ def test_chat_round_trip(spark):
     later = made.filter("conv_id = 1 and window > 0").collect()
     assert later and all(r.formatted.startswith("### system: be kind</turn>\n") and r.n_repeated >= 1 for r in later)
     assert chat.read_back(chat.windows(turns.limit(0))).count() == 0
+
+
+def test_components_of_hot_nodes(spark):
+    """Stars of more links than one task takes, chained to each other, beside small components, repeats, self-links and null ends."""
+    from gridwise.llm.components import components
+
+    star = [(1000, i) for i in range(300)] + [(5000 + i, 2000) for i in range(300)] + [(299, 5000), (9001, 9000), (9000, 9001), (9002, 9002), (None, 4), (4, None)]
+    links = spark.createDataFrame(star, "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    near = [*range(300), 1000, 2000, *range(5000, 5300)]
+    assert got == {**dict.fromkeys(near, 0), 9000: 9000, 9001: 9000}
+    assert components(links.limit(0)).collect() == []
