@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with ``queries()`` and ``oracle_sql()``, in the order of their numbers.
-MODULES = ("q_license", "q_bpe", "q_warc", "q_suffix", "q_lines", "q_quality", "q_counts", "q_simhash", "q_decontam", "q_chat")
+MODULES = ("q_license", "q_bpe", "q_warc", "q_suffix", "q_lines", "q_quality", "q_counts", "q_simhash", "q_decontam", "q_chat", "q_align", "q_filters", "q_language")
 
 
 def _present():
