@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from gridwise.operators import metrics
+from gridwise.operators import losses, metrics
 
 EXTRACTORS: dict[str, Callable] = {}
 
@@ -52,6 +52,11 @@ def extract(words: DataFrame, name: str, dim: int = 8) -> DataFrame:
 METRICS = {"pearson": metrics.pearson_of_sums, "ev": metrics.explained_variance_of_sums, "pearson_strict": metrics.strict_pearson_of_sums}
 
 
+def score_samples(rows: DataFrame, names: list[str], dissimilarity: str = "correlation") -> DataFrame:
+    """All named scores of losses.SCORES by group, similarity and kernel alignment included, in one aggregation; rows are (group, i, x, y)."""
+    return losses.evaluate(rows, names, dissimilarity)
+
+
 def score(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """All named metrics by keys, in one aggregation."""
     if unknown := [n for n in names if n not in METRICS]:

@@ -6,12 +6,14 @@ rows with a null pred or target are left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.functions.num import clamp, finite, ratio
+from gridwise.operators import losses
 
 EPS = 1e-8
 
@@ -135,37 +137,25 @@ def signal_stats(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.stddev_samp(y - x).alias("residual_sd"), F.stddev_samp(x).alias("pred_sd"), F.stddev_samp(y).alias("target_sd"), F.sqrt(F.avg(x * x)).alias("pred_rms"))
 
 
-#: Loss terms by name; each takes rows (parcel, pred, target) and gives one row with one column.
+#: Terms that flat sums over (parcel, pred, target) give; the others need samples of vectors (losses.py).
 LOSSES = {
     "mse": lambda df: mse(df).withColumnRenamed("mse", "v"),
     "pearson": lambda df: pearson_loss(df).withColumnRenamed("loss", "v"),
-    "ev": lambda df: explained_variance(df).agg((1 - F.avg("ev")).alias("v")),
 }
-#: Weights of two-term composites; other composites weigh every term 1.
-DEFAULT_WEIGHTS = {("mse", "pearson"): (1.0, 0.03), ("pearson", "mse"): (0.03, 1.0)}
-
-
-def composite_names(name: str) -> list[str]:
-    names = name.split("_")
-    unknown = [x for x in names if x not in LOSSES]
-    if unknown:
-        raise ValueError(f"unknown loss terms: {unknown}")
-    if len(set(names)) != len(names):
-        raise ValueError(f"repeated loss terms in {name}")
-    return names
-
-
-def composite_loss(df: DataFrame, name: str, weights: Sequence[float] | None = None) -> DataFrame:
-    """One row (loss): the weighted sum of the named terms."""
-    names = composite_names(name)
-    weights = list(weights or DEFAULT_WEIGHTS.get(tuple(names), [1.0] * len(names)))
-    if len(weights) != len(names) or not any(weights):
-        raise ValueError("one weight a term, not all zero")
-    terms = None
-    for n, w in zip(names, weights, strict=True):
-        one = LOSSES[n](df).select((F.col("v") * w).alias("v"))
-        terms = one if terms is None else terms.union(one)
-    return terms.agg(F.sum("v").alias("loss"))
+
+
+def composite_loss(df: DataFrame, name: str, weights: Mapping[str, float | None] | Sequence[float] | None = None, row: str | None = None) -> DataFrame:
+    """One row (loss): the weighted sum of the named terms of losses.TERMS.
+
+    df has rows (parcel, pred, target). Terms of similarity and alignment compare samples, so they need ``row``, the column that tells samples apart.
+    """
+    used = {t: w for t, w in losses.term_weights(name, weights).items() if w}
+    if set(used) <= set(LOSSES):
+        terms = [LOSSES[t](df).select((F.col("v") * w).alias("v")) for t, w in used.items()]
+        return reduce(DataFrame.union, terms).agg(F.sum("v").alias("loss"))
+    if row is None:
+        raise ValueError(f"{name!r} compares samples: name the column that tells them apart")
+    return losses.composite(losses.samples(df, row), name, weights).select("loss")
 
 
 def mean_parcel_map(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.functions.num import finite
 from gridwise.functions.session import checkpointed
 from gridwise.operators.ordered import TASK_ROWS, average_ranks, medians
 
@@ -204,5 +205,5 @@ def subject_representation(rows: DataFrame, metric, least: int = 2) -> DataFrame
     keyed = keyed.withColumn("group", F.concat_ws("|", F.col("group.batch_id").cast("string"), F.col("group.subject").cast("string")))
     n = keyed.groupBy("group", "subject").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     scored = metric(keyed.join(n.select("group"), "group", "left_semi").select("group", "i", "x", "y")).hint("merge").join(n, "group")
-    v = F.when(~F.isnan("value"), F.col("value"))
+    v = finite(F.col("value"))
     return scored.groupBy("subject").agg((F.sum(v * F.col("n")) / F.sum(F.when(v.isNotNull(), F.col("n")))).alias("value"))

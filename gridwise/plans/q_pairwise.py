@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.functions import registry
+from gridwise.operators import losses as T
 from gridwise.operators import pairwise as P
 from gridwise.plans.catalog import query, table
 
@@ -96,13 +98,13 @@ def a27(spark, d):
 
 
 def _batches(spark, d):
-    """Uneven batches of a subject; the last ones are too small to score."""
+    """Uneven batches of a subject: a batch of one row has no score, one of two rows a similarity of 0."""
     half = lambda a: F.transform(F.slice("embedding", a, 32), lambda x: x.cast("double"))
-    batch = F.when(F.col("vec_id") % 50 == 0, F.col("vec_id")).otherwise(F.pmod("vec_id", F.lit(3)))
+    batch = F.when(F.col("vec_id") % 50 < 12, F.floor(F.col("vec_id") / 12) + 3).otherwise(F.pmod("vec_id", F.lit(3)))
     return table(spark, d, "embeddings").select(batch.alias("batch_id"), F.col("label").alias("subject"), F.col("vec_id").alias("order_id"), half(1).alias("x"), half(33).alias("y"))
 
 
-_BATCH = "label * 1000000 + CASE WHEN vec_id % 50 = 0 THEN vec_id ELSE vec_id % 3 END"
+_BATCH = "label * 1000000 + CASE WHEN vec_id % 50 < 12 THEN vec_id // 12 + 3 ELSE vec_id % 3 END"
 _BY_BATCH = lambda sql: sql.replace("label AS g", f"{_BATCH} AS g").replace("PARTITION BY label ORDER", f"PARTITION BY {_BATCH} ORDER")
 _WEIGHTED = "SELECT s.\"group\" // 1000000 AS subject, round(sum({v} * n) / sum(n), 5) AS value FROM ({sql}) s JOIN (SELECT {b} AS g, count(*) AS n FROM embeddings GROUP BY 1) c ON c.g = s.\"group\" WHERE n >= {least} GROUP BY 1"
 
@@ -117,7 +119,36 @@ _RSA = _CORR.removeprefix("round(").removesuffix(", 5)")
 
 @query(
     "a28_subject_representation_rsa",
-    _WEIGHTED.format(v="rsa", sql=_BY_BATCH(_sql("correlation")) + f", m AS (SELECT *, avg(a) OVER (PARTITION BY g) AS ma, avg(b) OVER (PARTITION BY g) AS mb FROM p) SELECT g AS \"group\", {_RSA} AS rsa FROM m GROUP BY 1", b=_BATCH, least=3),
+    _WEIGHTED.format(v="rsa", sql=_BY_BATCH(_sql("correlation")) + f", m AS (SELECT *, avg(a) OVER (PARTITION BY g) AS ma, avg(b) OVER (PARTITION BY g) AS mb FROM p) SELECT g AS \"group\", {_RSA} AS rsa FROM m GROUP BY 1", b=_BATCH, least=2),
 )
 def a28_rsa(spark, d):
-    return P.subject_representation(_batches(spark, d), lambda m: P.rsa(m).select("group", F.col("rsa").alias("value")), least=3).withColumn("value", F.round("value", 5))
+    return P.subject_representation(_batches(spark, d), lambda m: P.rsa(m).select("group", F.col("rsa").alias("value"))).withColumn("value", F.round("value", 5))
+
+
+# Composites: one aggregation of the states of all terms; the SQL adds up what each term's own definition gives.
+_CELLS = f"{ROWS}, e AS (SELECT g, i, c, x[c] AS x, y[c] AS y FROM r, range(1, 33) t(c))"
+_MSE = "t_mse AS (SELECT g, avg((x - y) * (x - y)) AS mse FROM e GROUP BY 1)"
+_PEARSON = "t_pearson AS (SELECT g, avg(r) AS pearson FROM (SELECT g, c, corr(x, y) AS r FROM e GROUP BY 1, 2) GROUP BY 1)"
+_RSA_TERM = f"{_sql('correlation').removeprefix(f'WITH {ROWS}, ')}, pm AS (SELECT *, avg(a) OVER (PARTITION BY g) AS ma, avg(b) OVER (PARTITION BY g) AS mb FROM p), t_rsa AS (SELECT g, {_RSA} AS rsa FROM pm GROUP BY 1)"
+_CKA_TERM = f"t_cka AS (SELECT \"group\" AS g, cka FROM ({_CKA.replace('round(', '(').replace(', 6) AS cka', ') AS cka')}))"
+
+
+@query("a38_composite_mse_rsa_log", f"WITH {_CELLS}, {_MSE}, {_RSA_TERM} SELECT g AS \"group\", round(mse, 5) AS mse, round(ln(1 - rsa + 1e-8), 5) AS rsa_log, round(mse + ln(1 - rsa + 1e-8), 5) AS loss FROM t_mse JOIN t_rsa USING (g)")
+def a38_mse_rsa_log(spark, d):
+    out = T.composite(rows(spark, d), "mse_rsa_log")
+    return out.withColumns({c: F.round(c, 5) for c in ("mse", "rsa_log", "loss")})
+
+
+@query(
+    "a38_composite_pearson_rsa_cka_log",
+    f"WITH {_CELLS}, {_PEARSON}, {_RSA_TERM}, {_CKA_TERM} SELECT g AS \"group\", round(1 - pearson, 5) AS pearson, round(1 - rsa, 5) AS rsa, round(ln(1 - cka + 1e-8), 5) AS cka_log, round(0.03e0 * (1 - pearson) + 2 * (1 - rsa) + 0.5e0 * ln(1 - cka + 1e-8), 5) AS loss FROM t_pearson JOIN t_rsa USING (g) JOIN t_cka USING (g)",
+)
+def a38_pearson_rsa_cka_log(spark, d):
+    out = T.composite(rows(spark, d), "pearson_rsa_cka_log", {"pearson": 0.03, "rsa": 2, "cka": 0.5})
+    return out.withColumns({c: F.round(c, 5) for c in ("pearson", "rsa", "cka_log", "loss")})
+
+
+@query("d2_similarity_registry", f"WITH {_CELLS}, {_PEARSON}, {_RSA_TERM}, {_CKA_TERM} SELECT g AS \"group\", round(rsa, 5) AS rsa, round(cka, 5) AS cka, round(pearson, 5) AS pearson FROM t_pearson JOIN t_rsa USING (g) JOIN t_cka USING (g)")
+def d2_similarity(spark, d):
+    out = registry.score_samples(rows(spark, d), ["rsa", "cka", "pearson"])
+    return out.withColumns({c: F.round(c, 5) for c in ("rsa", "cka", "pearson")})

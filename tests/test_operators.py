@@ -11,6 +11,7 @@ from gridwise.operators import ensemble as E
 from gridwise.operators import grid as G
 from gridwise.operators import intervals as I
 from gridwise.operators import layers as L
+from gridwise.operators import losses as T
 from gridwise.operators import manifests as M
 from gridwise.operators import metrics as S
 from gridwise.operators import pairwise as P
@@ -38,11 +39,46 @@ def test_percentiles_and_verdict(spark):
     assert S.acceptance(S.run_report(df), None).first().verdict == "SKIPPED"
 
 
-def test_composite_names():
-    assert S.composite_names("mse_pearson") == ["mse", "pearson"]
-    for bad in ("mse_mse", "mse_other"):
+def test_composite_names_and_weights():
+    assert T.term_names("mse_pearson") == ["mse", "pearson"] and T.term_names("mse_rsa_log") == T.term_names("mse__log_rsa_") == ["mse", "rsa_log"]
+    assert T.term_names("rsa_log_cka") == ["rsa_log", "cka"] and T.term_names("log_cka_log_rsa") == ["cka_log", "rsa_log"]
+    for bad in ("mse_mse", "mse_other", "", "log", "rsa_log_rsa", "log_rsa_log", "mse_log"):
         with pytest.raises(ValueError):
-            S.composite_names(bad)
+            T.term_names(bad)
+    assert T.term_weights("mse_pearson") == {"mse": 1, "pearson": 0.03} and T.term_weights("pearson_mse") == {"pearson": 0.03, "mse": 1}
+    assert T.term_weights("mse_rsa_log", {"rsa": 2, "mse": None}) == {"mse": 1, "rsa_log": 2} and T.term_weights("mse_cka", [0, 3]) == {"mse": 0, "cka": 3}
+    for bad in ({"mse": -1}, {"mse": 0, "cka": 0}, {"rsa": 1}, [1], [1, 2, 3]):
+        with pytest.raises(ValueError):
+            T.term_weights("mse_cka", bad)
+
+
+def test_composites_equal_their_terms(spark, monkeypatch):
+    """Terms of samples against whole matrices in numpy, in small blocks; a term without weight is left out."""
+    monkeypatch.setattr(P._blocks, "__defaults__", (4,))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(11, 5))
+    y = x + rng.normal(size=(11, 5))
+    rows = spark.createDataFrame([(g, i, x[i].tolist(), y[i].tolist()) for g in ("a", None) for i in range(11)], "group string, i long, x array<double>, y array<double>").repartition(4)
+    upper = np.triu_indices(11, 1)
+    rsa = np.corrcoef((1 - np.corrcoef(x))[upper], (1 - np.corrcoef(y))[upper])[0, 1]
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    cka = (np.linalg.norm(xc.T @ yc) ** 2) / (np.linalg.norm(xc.T @ xc) * np.linalg.norm(yc.T @ yc))
+    pearson = np.mean([np.corrcoef(x[:, c], y[:, c])[0, 1] for c in range(5)])
+    want = {"mse": ((x - y) ** 2).mean(), "rsa_log": np.log(1 - rsa + 1e-8), "cka": 1 - cka, "pearson": 1 - pearson}
+    got = T.composite(rows.filter("group = 'a'"), "mse_log_rsa_cka_pearson", {"cka": 2, "mse": 0.5}).first().asDict()
+    assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
+    assert math.isclose(got["loss"], 0.5 * want["mse"] + want["rsa_log"] + 2 * want["cka"] + want["pearson"], abs_tol=1e-9)
+    less = T.composite(rows.filter("group = 'a'"), "mse_rsa", {"rsa": 0})
+    assert less.columns == ["group", "mse", "loss"]
+    long = spark.createDataFrame([(i, c, float(x[i, c]), float(y[i, c])) for i in range(11) for c in range(5)], "row int, parcel int, pred double, target double")
+    assert math.isclose(S.composite_loss(long, "mse_log_rsa", row="row").first().loss, want["mse"] + want["rsa_log"], abs_tol=1e-9)
+    with pytest.raises(ValueError, match="samples"):
+        S.composite_loss(long, "mse_cka")
+    two = T.evaluate(rows.filter("group = 'a' and i < 2"), ["rsa", "cka_unbiased"]).first()
+    assert two.rsa == 0.0 and two.cka_unbiased is None  # one pair has no spread; four rows are needed
+    assert registry.score_samples(rows.filter("group = 'a'"), ["ev"]).columns == ["group", "ev"] and T.evaluate(rows.limit(0), ["mse", "rsa"]).collect() == []
+    with pytest.raises(KeyError):
+        registry.score_samples(rows, ["none"])
 
 
 def test_softmax_weights(spark):
