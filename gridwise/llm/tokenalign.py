@@ -18,7 +18,7 @@ default files that is below half a million, which bounds the broadcast table.
 
 Defined results: null and empty texts, and those whose joined bytes of A or B
 differ from the blank and the text (a text with U+2581), have no tokens: zeros
-and an empty string. Texts of over four million characters are taken in
+and an empty string. Texts of over a million characters are taken in
 stretches between two words (a longer word stays whole). Repeated rows count as
 often as they stand there, null ids are ids like others, tied counts are all
 best, an empty table gives no rows; only the named columns are read, so extra
@@ -42,13 +42,13 @@ from gridwise.llm import _vector as vector
 from gridwise.llm._common import BROADCAST_ROWS, stored
 from gridwise.llm.bpe import byte_symbols
 
-CHUNK = 4_000_000  # characters that are aligned at once
-_WORDS = 300_000  # words whose ids a worker keeps
-_WINDOWS = 300_000  # windows whose alignment a worker keeps
-_JOINED = 64  # new words that the tokenizers get as one text
+CHUNK = 1_000_000  # characters that are aligned at once
+_WORDS = 400_000  # words whose ids a worker keeps
+_WINDOWS = 250_000  # windows whose alignment a worker keeps
+_JOINED = 256  # new words that the tokenizers get as one text
 _WS = "\\s\u0085\u180e\ufeff"
-_ODD = re.compile(f"(?:\\A|[{_WS}]) | (?:\\Z|[{_WS}])")
 _SPACES = frozenset([*filter(str.isspace, map(chr, range(0x3001))), "\u180e", "\ufeff"])
+_BETWEEN = b"\xff" * 4  # no id
 _CUT = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 
 
@@ -56,6 +56,8 @@ class Side:
     """A tokenizer with the bytes of its tokens; ``encode`` takes texts as they follow a blank."""
 
     def __init__(self, encode, tokens: list[bytes]):
+        if not all(tokens):
+            raise ValueError("a token without bytes")
         self.encode, self.tokens = encode, tokens
         self.size = np.array([len(t) for t in tokens], dtype=np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
@@ -63,11 +65,13 @@ class Side:
         self.spaced = np.array([t[:1] == b" " for t in tokens])
         self.flat, self.n = np.empty(0, np.int32), np.zeros(1, np.int64)  # ids of the words kept, and where each word's begin
 
-    def take(self, plain: list[str], others: list[str]) -> None:
-        """Keeps the ids of more words. Plain ones are encoded many at a time and parted where their bytes end."""
+    def take(self, words: list[str], joined: bool) -> None:
+        """Keeps the ids of more words; joined ones are encoded many at a time and parted where their bytes end."""
+        if not words:
+            return
         flat, sizes = [self.flat], []
-        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)] if joined else []
+        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]) if groups else (), strict=True):
             ids = np.array(ids, dtype=np.int32)
             ends = np.cumsum(self.size[ids])
             wanted = np.cumsum([len(w.encode()) + 1 for w in group])
@@ -77,7 +81,8 @@ class Side:
                 sizes.append(np.diff(at, prepend=-1))
             else:
                 self._one_by_one(group, flat, sizes)
-        self._one_by_one(others, flat, sizes)
+        if not joined:
+            self._one_by_one(words, flat, sizes)
         self.flat = np.concatenate(flat)
         self.n = np.concatenate([self.n, self.n[-1] + np.cumsum(np.concatenate(sizes))])
 
@@ -143,13 +148,6 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
     return ends_in(a, b, 0) + ends_in(b, a, 1)
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut at every single blank between visible characters."""
-    if not _ODD.search(text):
-        return text.split(" ")
-    return _CUT.split(text)
-
-
 def stretches(text: str, size: int):
     """The text in stretches of about ``size`` characters, cut at single blanks, which are left out."""
     at = 0
@@ -159,39 +157,59 @@ def stretches(text: str, size: int):
     yield text[at:]
 
 
+def _edged(word: str) -> bool:
+    return not word or word[0] in _SPACES or word[-1] in _SPACES
+
+
 class Aligner:
     """Tokens, windows and alignments of many texts at once; keeps words and windows."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.words: dict[str, int] = {}
-        self.windows: dict[tuple[bytes, bytes], tuple[str, tuple[int, ...], int]] = {}  # by both tuples of ids, packed
+        self.words: dict[str, int] = {}  # word between two single blanks -> its number
+        self.others: dict[str, int] = {}  # words of texts with other white space around blanks
+        self.windows: dict[bytes, tuple[str, bytes]] = {}  # both tuples of ids, packed -> groups as text, linked pairs, packed
         self.written = [f"{i}{sign}" for side, signs in ((a, ",|"), (b, ",;")) for sign in signs for i in range(len(side.tokens))]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > _WORDS:
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word of the texts in turn, words before each text): a text is cut at every single blank between visible characters."""
+        if len(self.words) + len(self.others) > _WORDS:
             self.words.clear()
+            self.others.clear()
             self.a.forget()
             self.b.forget()
-        found = list(map(self.words.get, words))
+        cut = [t.split(" ") for t in texts]
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+        found = self._look_up(list(chain.from_iterable(cut)), self.words, _edged)
+        if (odd := np.flatnonzero(found < 0)).size:  # some blanks stand beside white space: those texts once more
+            again = np.unique(np.searchsorted(ends, odd, side="right") - 1).tolist()
+            parts = [found[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+            for i in again:
+                parts[i] = self._look_up(_CUT.split(texts[i]), self.others, None)
+            found, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(c) for c in parts])])
+        return found, ends
+
+    def _look_up(self, words: list[str], known: dict[str, int], odd) -> np.ndarray:
+        """Numbers of the words; those that odd holds for have -1, those of texts with odd words are encoded one by one."""
+        found = list(map(known.get, words))
         if None in found:
-            new = dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None)
-            others = [w for w in new if not w or " " in w or w[0] in _SPACES or w[-1] in _SPACES]
-            apart = set(others)
-            plain = [w for w in new if w not in apart]
-            self.words.update(zip(plain + others, range(len(self.words), len(self.words) + len(new)), strict=True))
-            self.a.take(plain, others)
-            self.b.take(plain, others)
-            found = list(map(self.words.__getitem__, words))
+            new = list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None))
+            if odd is not None:
+                known.update((w, -1) for w in new if odd(w))
+                new = [w for w in new if not odd(w)]
+            known.update(zip(new, range(len(self.a.n) - 1, len(self.a.n) - 1 + len(new)), strict=True))
+            for side in (self.a, self.b):
+                side.take(new, joined=odd is not None)
+            found = list(map(known.__getitem__, words))
         return np.array(found, dtype=np.int64)
 
-    def align(self, a: np.ndarray, bounds_a: np.ndarray, b: np.ndarray, bounds_b: np.ndarray) -> list[tuple[str, tuple[int, ...], int]]:
-        """(groups as text, linked pairs as numbers, number of groups) of each window of a and b, of which both have equal bytes."""
+    def align(self, a: np.ndarray, bounds_a: np.ndarray, b: np.ndarray, bounds_b: np.ndarray) -> list[tuple[str, bytes]]:
+        """(groups as text, linked pairs as numbers, packed) of each window of a and b, of which both have equal bytes."""
         end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         near = np.searchsorted(end_a, end_b)
         last_b = np.flatnonzero(end_a[near] == end_b)  # the last tokens of the groups
         last_a = near[last_b]
-        pairs = (a[last_a].astype(np.int64) * len(self.b.tokens) + b[last_b]).tolist()
+        pairs = (a[last_a].astype(np.int64) * len(self.b.tokens) + b[last_b]).tobytes()
         # the ids as they are written: those of A of a group, then those of B, each with the sign that follows it
         after_a, after_b = np.zeros(len(a), np.int64), np.full(len(b), 2 * len(self.a.tokens), np.int64)
         after_a[last_a] = len(self.a.tokens)
@@ -201,14 +219,12 @@ class Aligner:
         written[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = a + after_a
         written[np.arange(len(b)) + last_a[group_b] + 1] = b + after_b
         signs = list(map(self.written.__getitem__, written.tolist()))
-        at, link = (bounds_a + bounds_b).tolist(), np.searchsorted(last_a, bounds_a).tolist()
-        return [("".join(signs[i:j])[:-1], tuple(pairs[k:m]), m - k) for i, j, k, m in zip(at, at[1:], link, link[1:], strict=False)]
+        at, link = (bounds_a + bounds_b).tolist(), (8 * np.searchsorted(last_a, bounds_a)).tolist()
+        return [("".join(signs[i:j])[:-1], pairs[k:m]) for i, j, k, m in zip(at, at[1:], link, link[1:], strict=False)]
 
     def run(self, texts: list[str]) -> list[tuple | None]:
-        """For each text (not empty): (tokens of A, tokens of B, groups as text, number of groups, linked pairs), or None where the bytes differ."""
-        cut = [words_of(t) for t in texts]
-        numbers = self.numbers(list(chain.from_iterable(cut)))
-        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+        """For each text (not empty): (tokens of A, tokens of B, groups as text, linked pairs: one a group), or None where the bytes differ."""
+        numbers, ends = self.numbers(texts)
         whole = [(" " + t).encode() for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(w) for w in whole])])
         data = np.frombuffer(b"".join(whole), dtype=np.uint8)
@@ -239,20 +255,20 @@ class Aligner:
             self.windows.clear()
         packed_a, packed_b = a.tobytes(), b.tobytes()
         cuts = zip((4 * bounds_a[own]).tolist(), (4 * bounds_a[own + 1]).tolist(), (4 * bounds_b[own]).tolist(), (4 * bounds_b[own + 1]).tolist(), strict=True)
-        keys = [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in cuts]
+        keys = [packed_a[i:j] + _BETWEEN + packed_b[k:m] for i, j, k, m in cuts]
         done = list(map(self.windows.get, keys))
         new = [i for i, d in enumerate(done) if d is None]
         if new:
             for i, found in zip(new, self.align(*_gather(a, bounds_a, own[new]), *_gather(b, bounds_b, own[new])), strict=True):
                 done[i] = self.windows[keys[i]] = found
-        named, sizes = [d[0] for d in done], np.array([d[2] for d in done])
-        pairs, pair_at = _gather(np.fromiter(chain.from_iterable(d[1] for d in done), dtype=np.int64), np.concatenate([[0], np.cumsum([len(d[1]) for d in done])]), which)
+        named, linked = zip(*done, strict=True)
+        pairs, pair_at = _gather(np.frombuffer(b"".join(linked), dtype=np.int64), np.cumsum([0, *map(len, linked)]) // 8, which)
         window = np.searchsorted(bounds_a, a_first)  # every text begins with a window
         listed = which.tolist()
         out = []
         for i in range(len(texts)):
             w, v = int(window[i]), int(window[i + 1])
-            out.append((int(a_first[i + 1] - a_first[i]), int(b_first[i + 1] - b_first[i]), ";".join(map(named.__getitem__, listed[w:v])), int(sizes[which[w:v]].sum()), pairs[pair_at[w] : pair_at[v]]))
+            out.append((int(a_first[i + 1] - a_first[i]), int(b_first[i + 1] - b_first[i]), ";".join(map(named.__getitem__, listed[w:v])), pairs[pair_at[w] : pair_at[v]]))
         return out
 
     @staticmethod
@@ -345,9 +361,9 @@ def _joined(parts: list[tuple | None]) -> tuple:
     """A text's row from its stretches."""
     if not parts or None in parts:
         return 0, 0, 0, 0, "", [], []
-    pairs, times = np.unique(np.concatenate([p[4] for p in parts]), return_counts=True)
-    total = lambda k: sum(p[k] for p in parts)
-    return total(0), total(1), total(3), sum(len(p[4]) for p in parts), ";".join(p[2] for p in parts), pairs, times
+    links = np.concatenate([p[3] for p in parts])  # as many as groups: no token is empty
+    pairs, times = np.unique(links, return_counts=True)
+    return sum(p[0] for p in parts), sum(p[1] for p in parts), len(links), len(links), ";".join(p[2] for p in parts), pairs, times
 
 
 def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:
