@@ -215,11 +215,27 @@ def s23(spark, d):
     return M.inference_index(table(spark, d, "embeddings").select(F.col("label").alias("stimulus_id"), F.pmod("vec_id", F.lit(3)).alias("subject"), F.col("embedding").alias("vec")))
 
 
-@query("a34_cache_inventory", "SELECT modality, count(label) > 0 AS present, count(DISTINCT label) AS n_keys, coalesce(sum(len(embedding)), 0)::BIGINT AS n_values FROM (VALUES ('audio', 0), ('text', 1), ('vision', 9)) v(modality, m) LEFT JOIN embeddings ON vec_id % 2 = m GROUP BY 1")
+@query("s13_delete_and_replace", f"WITH {FEATURES} SELECT item, layer, frame, ch, round(CASE WHEN item = 5 THEN 4 * v ELSE v END, 5) AS v FROM x WHERE item <> 3")
+def s13_delete(spark, d):
+    """An item is deleted and another one replaced; what the versions before held can still be read."""
+    s, f = store(spark, d), features(spark, d).withColumn("t_s", F.col("frame") / 2)
+    s.delete(f.filter("item = 3").select("item"))
+    s.write(f.filter("item = 5").withColumn("vec", F.transform("vec", lambda x: x * 4)), overwrite=True)
+    return flat(s.read(), "item", "layer", "frame")
+
+
+@query(
+    "a34_cache_inventory",
+    """SELECT modality, modality || '_store' AS name, count(label) > 0 AS present, count(DISTINCT label) AS n_keys, coalesce(sum(len(embedding)), 0)::BIGINT AS n_values, count(label) > 0 AS has_bytes
+FROM (VALUES ('audio', 0), ('text', 1), ('vision', 9)) v(modality, m) LEFT JOIN embeddings ON vec_id % 2 = m GROUP BY 1""",
+)
 def a34(spark, d):
-    expected = spark.createDataFrame([("audio",), ("text",), ("vision",)], "modality string")
-    held = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, "audio").otherwise("text").alias("modality"), F.col("label").alias("item"), F.col("embedding").alias("vec"))
-    return S.cache_inventory(expected, held)
+    root = folder(spark)
+    held = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("item"), F.lit(0).alias("layer"), F.col("vec_id").alias("frame"), F.lit(0.0).alias("t_s"), F.col("embedding").alias("vec"))
+    for name, rest in (("audio", 0), ("text", 1)):
+        S.FeatureStore(spark, f"{root}/{name}_store").write(held.filter(F.col("vec_id") % 2 == rest))
+    out = S.cache_inventory(spark, {m: f"{root}/{m}_store" for m in ("audio", "text", "vision")})
+    return out.select("modality", F.element_at(F.split("path", "/"), -1).alias("name"), "present", "n_keys", "n_values", (F.col("n_bytes") > 0).alias("has_bytes"))
 
 
 @query("d1_extractor_registry", f"WITH {TALK} SELECT item, ('0x' || md5(word)[1:8])::BIGINT % 8 AS k, count(*)::DOUBLE AS total FROM t GROUP BY 1, 2")

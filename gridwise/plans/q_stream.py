@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridwise.plans.catalog import query, table
 from gridwise.plans.q_metrics import EV, ROWS, SUMS, R
 from gridwise.plans.q_store import folder
 from gridwise.streaming import scores as S
+from gridwise.streaming import timed
 
 
 def source(spark, d, name):
@@ -18,24 +17,22 @@ def source(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{d}/{name}.parq[u]et")
 
 
-def _name():
-    return f"s{uuid.uuid4().hex}"
-
-
 def _scored(spark, d):
     return source(spark, d, "lineitem").select(F.col("l_suppkey").alias("parcel"), F.col("l_extendedprice").alias("pred"), F.col("l_quantity").alias("target"))
 
 
 @query("st1_stream_pearson_ev", f"WITH {ROWS}, s AS (SELECT parcel, {SUMS} FROM l GROUP BY 1) SELECT parcel, round({R}, 6) AS r, round({EV}, 3) AS ev FROM s")
 def st1(spark, d):
-    state = S.drain(S.stream_sums(_scored(spark, d), ["parcel"]), _name(), "complete")
+    root = folder(spark)
+    state = S.moment_table(_scored(spark, d), ["parcel"], f"{root}/sums", f"{root}/state").read()
     return S.finish_scores(state, ["parcel"]).select("parcel", F.round("r", 6).alias("r"), F.round("ev", 3).alias("ev"))
 
 
 @query("st2_stream_weighted_mean", "SELECT l_returnflag, round(coalesce(sum(l_extendedprice*l_discount) FILTER (l_discount > 0) / nullif(sum(l_discount) FILTER (l_discount > 0), 0), 0), 4) AS mean FROM lineitem GROUP BY 1")
 def st2(spark, d):
-    out = S.stream_weighted_mean(source(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_discount")
-    return S.drain(out, _name(), "complete").withColumn("mean", F.round("mean", 4))
+    root = folder(spark)
+    sums = S.weighted_mean_table(source(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_discount", f"{root}/sums", f"{root}/state")
+    return S.finish_mean(sums.read(), ["l_returnflag"]).withColumn("mean", F.round("mean", 4))
 
 
 _CLOSED = "b <= (SELECT epoch(max(ts)) - 3600 FROM events)"
@@ -64,22 +61,34 @@ def st3_sliding(spark, d):
     return _segments(spark, d, "2 hours", "1 hour")
 
 
+#: Words wait in steps of an hour; a step is answered when the watermark, an hour behind the newest row, has passed its end.
+_ANSWERED = "(epoch_us(ts) // 3600000000 + 1) * 3600 <= (SELECT epoch_us(max(ts)) // 1000 / 1e3 - 3600 FROM events)"
+
+
 @query(
     "st4_stream_causal_last_n",
-    """WITH e AS (SELECT user_id AS item, epoch_us(ts) / 1e6 AS t, event_type AS word, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type <> 'error'), c AS (SELECT user_id AS item, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'error'),
-k AS (SELECT c.item, c.t, coalesce(max(n), 0) AS n FROM c LEFT JOIN e ON e.item = c.item AND e.t <= c.t GROUP BY 1, 2) SELECT k.item, k.t, coalesce(string_agg(word, ' ' ORDER BY e.n), '') AS text FROM k LEFT JOIN e ON e.item = k.item AND e.n <= k.n AND e.n > k.n - 3 GROUP BY 1, 2""",
+    f"""WITH e AS (SELECT user_id AS item, ts, event_type AS word, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events WHERE event_type <> 'error'), c AS (SELECT event_id, user_id AS item, ts FROM events WHERE event_type = 'error' AND {_ANSWERED}),
+k AS (SELECT event_id, c.item, c.ts, coalesce(max(n), 0) AS n FROM c LEFT JOIN e ON e.item = c.item AND e.ts <= c.ts GROUP BY 1, 2, 3)
+SELECT k.item, epoch_us(k.ts) / 1e6 AS t, coalesce(string_agg(word, ' ' ORDER BY e.n), '') AS text FROM k LEFT JOIN e ON e.item = k.item AND e.n <= k.n AND e.n > k.n - 3 GROUP BY k.event_id, 1, 2""",
 )
 def st4(spark, d):
-    e = source(spark, d, "events").select(F.col("user_id").alias("item"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_type").alias("word"), (F.col("event_type") == "error").alias("is_cutoff"))
+    e = source(spark, d, "events").select(F.col("user_id").alias("item"), "ts", F.col("event_type").alias("word"), (F.col("event_type") == "error").alias("is_cutoff"))
     root = folder(spark)
-    return S.drain_to(S.stream_last_n(e, 3), f"{root}/out", f"{root}/state")
+    done = S.drain_to(timed.last_words(e, 3, step_ms=3_600_000, keep_ms=3650 * 86_400_000), f"{root}/out", f"{root}/state")
+    return done.select("item", (F.unix_micros("ts") / 1e6).alias("t"), "text")
 
 
-@query("st5_stream_dedup_items", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "st5_stream_dedup_items",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE {_ANSWERED}), g AS (SELECT user_id, event_type, min(ms) AS ms FROM e GROUP BY 1, 2
+UNION ALL SELECT g.user_id, g.event_type, (SELECT min(ms) FROM e WHERE e.user_id = g.user_id AND e.event_type = g.event_type AND e.ms > g.ms + 86400000) AS ms FROM g WHERE g.ms IS NOT NULL)
+SELECT user_id, event_type, ms FROM g WHERE ms IS NOT NULL""",
+)
 def st5(spark, d):
+    """A user's event of a kind is given out once a day at most: the state of a pair ends a day after its last row."""
     root = folder(spark)
-    out = S.stream_dedup(source(spark, d, "events"), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
-    return S.drain_to(out, f"{root}/out", f"{root}/state")
+    out = timed.first_seen(source(spark, d, "events"), ["user_id", "event_type"], step_ms=3_600_000, horizon_ms=86_400_000)
+    return S.drain_to(out, f"{root}/out", f"{root}/state").select("user_id", "event_type", F.unix_millis("ts").alias("ms"))
 
 
 @query(

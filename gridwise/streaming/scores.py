@@ -1,27 +1,42 @@
-"""Structured Streaming forms of the running scores, windows and word contexts."""
+"""Structured Streaming forms of the running scores and windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.functions.num import ratio
 from gridwise.operators import metrics as M
+from gridwise.streaming.results import SumTable
+from gridwise.streaming.timed import rocksdb
+
 
+#: Columns of metrics.sums, and of the sums that a weighted mean is read from.
+MOMENTS, WEIGHED = ("n", "sx", "sy", "sxx", "syy", "sxy", "se", "see"), ("sw", "swv")
 
-def stream_sums(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Running moment sums by key (output mode complete or update); scores are expressions over them when read."""
-    return M.sums(stream, keys)
+
+def moment_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> SumTable:
+    """A table of moment sums by key that holds every batch of the stream once."""
+    out = SumTable(stream.sparkSession, path, keys, MOMENTS)
+    out.follow(stream, lambda df: M.sums(df, keys), checkpoint)
+    return out
 
 
 def finish_scores(state: DataFrame, keys: list[str]) -> DataFrame:
     return state.select(*keys, M.pearson_of_sums().alias("r"), M.explained_variance_of_sums().alias("ev"))
 
 
-def stream_weighted_mean(stream: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    return M.weighted_mean(stream, keys, value, weight)
+def weighted_mean_table(stream: DataFrame, keys: list[str], value: str, weight: str, path: str, checkpoint: str) -> SumTable:
+    """A table of weights and weighted values by key that holds every batch of the stream once; weights that are not positive add nothing."""
+    w = F.when((F.col(weight) > 0) & F.col(value).isNotNull(), F.col(weight).cast("double"))
+    sums = lambda df: df.groupBy(*keys).agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("sw"), F.coalesce(F.sum(F.col(value) * w), F.lit(0.0)).alias("swv"))
+    out = SumTable(stream.sparkSession, path, keys, WEIGHED)
+    out.follow(stream, sums, checkpoint)
+    return out
+
+
+def finish_mean(state: DataFrame, keys: list[str]) -> DataFrame:
+    return state.select(*keys, F.coalesce(ratio(F.col("swv"), F.col("sw")), F.lit(0.0)).alias("mean"))
 
 
 def stream_segments(stream: DataFrame, ts: str, value: str, keys: list[str], duration: str, slide: str | None = None, start: str = "0 seconds", late: str = "1 hour") -> DataFrame:
@@ -32,41 +47,9 @@ def stream_segments(stream: DataFrame, ts: str, value: str, keys: list[str], dur
     return out.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "n", "total")
 
 
-def stream_last_n(stream: DataFrame, n: int, item: str = "item", order: str = "t", word: str = "word", cutoff: str = "is_cutoff") -> DataFrame:
-    """At each cutoff row, the last n words of its item so far; the state is a ring of n words an item.
-
-    Rows of one batch are ordered by t and words come before cutoffs at equal times; batches must come in time order by item.
-    """
-    kind = stream.schema[item].dataType.simpleString()
-
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        ring = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values([order, cutoff], kind="stable")
-        out = []
-        for t, w, c in zip(rows[order], rows[word], rows[cutoff], strict=True):
-            if c:
-                out.append((key[0], t, " ".join(ring)))
-            else:
-                ring = [*ring, w][-n:]
-        state.update((ring,))
-        yield pd.DataFrame(out, columns=[item, order, "text"])
-
-    return stream.groupBy(item).applyInPandasWithState(step, f"{item} {kind}, {order} double, text string", "ring array<string>", "append", "NoTimeout")
-
-
-def stream_dedup(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that its source has now and returns the result (a memory table, for checks and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def drain_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that its source has now into Parquet (append mode), and reads it back."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    with rocksdb(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
