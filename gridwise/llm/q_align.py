@@ -7,7 +7,7 @@ COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 
 
 def op11_token_alignment(spark, sf_dir):
-    return tokenalign.alignment(table(spark, sf_dir, "documents"), keep_groups=False).select(*COLUMNS)
+    return tokenalign.alignment(table(spark, sf_dir, "documents")).select(*COLUMNS)
 
 
 def queries():

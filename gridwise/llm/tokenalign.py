@@ -18,7 +18,7 @@ default files that is below half a million, which bounds the broadcast table.
 
 Defined results: null and empty texts, and those whose joined bytes of A or B
 differ from the blank and the text (a text with U+2581), have no tokens: zeros
-and an empty string. Texts of over a million characters are taken in
+and an empty string. Texts of over half a million characters are taken in
 stretches between two words (a longer word stays whole). Repeated rows count as
 often as they stand there, null ids are ids like others, tied counts are all
 best, an empty table gives no rows; only the named columns are read, so extra
@@ -42,9 +42,9 @@ from gridwise.llm import _vector as vector
 from gridwise.llm._common import BROADCAST_ROWS, stored
 from gridwise.llm.bpe import byte_symbols
 
-CHUNK = 1_000_000  # characters that are aligned at once
-_WORDS = 400_000  # words whose ids a worker keeps
-_WINDOWS = 250_000  # windows whose alignment a worker keeps
+CHUNK = 500_000  # characters that are aligned at once
+_WORDS = 300_000  # words whose ids a worker keeps
+_WINDOWS = 150_000  # windows whose alignment a worker keeps
 _JOINED = 256  # new words that the tokenizers get as one text
 _WS = "\\s\u0085\u180e\ufeff"
 _SPACES = frozenset([*filter(str.isspace, map(chr, range(0x3001))), "\u180e", "\ufeff"])
@@ -374,22 +374,19 @@ def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:
 
 
 def scored(rows: DataFrame, counts: DataFrame, bound: int) -> DataFrame:
-    """rows with n_best and count_sum in place of pairs and times; rows is a written table, bound the most rows counts can have."""
+    """rows, a written table, with n_best and count_sum in place of pairs and times; bound is the most rows that counts can have."""
     own = [c for c in rows.columns if c not in ("pairs", "times")]
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    links = keyed.select("__row", *own, F.inline_outer(F.arrays_zip("pairs", "times")))
+    links = rows.select(F.monotonically_increasing_id().alias("__row"), *own, "pairs", "times").select("__row", *own, F.inline_outer(F.arrays_zip("pairs", "times")))
     counts = counts.withColumnRenamed("pair", "pairs").hint("broadcast" if bound <= BROADCAST_ROWS else "merge")
     sums = {"n_best": F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)), "count_sum": F.sum(F.col("times") * F.col("n"))}
-    found = links.join(counts, "pairs", "left").groupBy("__row").agg(*[F.first(c).alias(c) for c in own], *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()])
-    return found.drop("__row")
+    return links.join(counts, "pairs", "left").groupBy("__row", *own).agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()]).drop("__row")
 
 
-def alignment(docs: DataFrame, paths: tuple[str, str] | None = None, keep_groups: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alignment(docs: DataFrame, paths: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: tokens, groups and links, how many links are their B token's most frequent, the sum of their counts, and the digest of the groups."""
     paths = paths or default_paths()
     known = aligner(*paths)
     a, b = known.a.tokens, known.b.tokens
     rows = aligned(docs, paths, id_col, text_col)
-    rows = rows.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(""))
-    rows = stored(rows if keep_groups else rows.drop("groups"))
+    rows = stored(rows.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups"))
     return scored(rows, stored(pair_counts(rows, len(b))), pair_bound(a, b))
