@@ -365,7 +365,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crossed = searched.filter("digests is not null").groupBy("fp", F.col("lo").alias("range")).applyInPandas(_merge, "fp long, sd long, lo long, hi long")
     spans = searched.filter("digests is null").select("fp", "sd", "lo", "hi").union(crossed)
     spans = stored(spans.groupBy("fp", "sd").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # at most one for each window of a slice
-    hits = found.hint("merge").join(spans, ["fp", "sd"]).select("did", "rk", F.expr("transform(spans, s -> struct(int(s.lo + at) as lo, int(s.hi + at) as hi))").alias("r"))
+    once = found.select("did", "rk", "at", "fp", "sd").distinct()  # repeated rows have their places once
+    hits = once.hint("merge").join(spans, ["fp", "sd"]).select("did", "rk", F.expr("transform(spans, s -> struct(int(s.lo + at) as lo, int(s.hi + at) as hi))").alias("r"))
     hits = hits.groupBy("did", "rk").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
     done = keyed.hint("merge").join(hits, ["did", "rk"], "left").select("id", "data", "r")
     return done.mapInArrow(_cut(length), f"`{id_col}` {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
