@@ -8,10 +8,11 @@ compared at their roots, and only the children of mismatching nodes are looked
 at on the way down, so an intact archive costs one comparison.
 
 Defined results: null urls and html are empty; records without a page number
-are archive -1; records with one page number are one leaf (hash of their sorted
-hashes, first offset, summed length); an empty replica makes all leaves of the
-other missing or extra; extra columns are ignored; records of any length are
-hashed whole.
+are an archive of their own, dealt over its leaves by their content; records of
+one leaf are hashed together (sums of the parts of their hashes, summed length,
+smallest number), in no order; negative numbers have archives below zero; an
+empty replica makes all leaves of the other missing or extra; extra columns are
+ignored; records of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from gridwise.llm._common import checkpointed
 
 FANOUT, LEVELS = 16, 3
+#: The archive of records without a page number; no page number leads to it.
+NO_ID = -(1 << 63)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -38,24 +41,32 @@ def records(pages: DataFrame) -> DataFrame:
 def leaves(archive: DataFrame) -> DataFrame:
     """(shard, slot, page_id, hash, offset, length) of (page_id, record)."""
     size = FANOUT**LEVELS
-    hashed = archive.select(
-        "page_id", F.coalesce(F.floor(F.col("page_id") / size), F.lit(-1)).alias("shard"), F.coalesce(F.pmod("page_id", F.lit(size)), F.lit(0)).alias("slot"),
-        F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("length"),
-    )
+    hashed = archive.select("page_id", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("length"))
+    nameless = F.col("page_id").isNull()
+    hashed = hashed.withColumns({
+        "shard": F.when(nameless, F.lit(NO_ID)).otherwise(F.shiftright("page_id", size.bit_length() - 1)),  # floor of a division by a power of two
+        "slot": F.pmod(F.when(nameless, F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")).otherwise(F.col("page_id")), F.lit(size)),
+    })
+    # a leaf of several records: sums of the parts of their hashes, which need no order and no list
+    parts = [F.sum(F.conv(F.substring("hash", 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
     slots = hashed.groupBy("shard", "slot").agg(
-        F.min("page_id").alias("page_id"), F.sum("length").alias("length"), F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "").cast("binary"), 256).alias("hash")
+        F.min("page_id").alias("page_id"), F.sum("length").alias("length"), F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *parts).cast("binary"), 256).alias("hash")
     )
     before = F.sum("length").over(W.partitionBy("shard").orderBy("slot")) - F.col("length")
     return slots.withColumn("offset", before)
 
 
 def nodes(leaf: DataFrame, level: int) -> DataFrame:
-    """(shard, node, hash, start, stop) at a level of the tree; level 0 are the leaves, LEVELS the root."""
+    """(shard, node, hash, start, stop) at a level of the tree; level 0 are the leaves, LEVELS the root.
+
+    A node's hash covers its children's places, the bytes of their ranges and their hashes, in the order of the ranges.
+    """
     out = leaf.select("shard", F.col("slot").cast("long").alias("node"), "hash", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"))
     for _ in range(level):
-        children = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["hash"]))
+        child = F.struct("node", (F.col("stop") - F.col("start")).alias("bytes"), "hash")
+        children = F.transform(F.sort_array(F.collect_list(child)), lambda x: F.concat_ws(":", x["node"].cast("string"), x["bytes"].cast("string"), x["hash"]))  # FANOUT at most
         out = out.groupBy("shard", F.floor(F.col("node") / FANOUT).alias("up")).agg(
-            F.sha2(F.array_join(children, "").cast("binary"), 256).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop")
+            F.sha2(F.array_join(children, ",").cast("binary"), 256).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop")
         ).withColumnRenamed("up", "node")
     return out
 
