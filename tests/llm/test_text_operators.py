@@ -170,6 +170,31 @@ def test_audit_locates_each_damage(spark):
     assert warc.audit(warc.leaves(warc.records(pages.limit(0))), warc.leaves(warc.records(pages.filter("page_id < 3")))).count() == 3
 
 
+def test_fixity_of_repeated_negative_huge_and_missing_numbers(spark):
+    schema = "page_id long, url string, html string, shard int, hash string"
+    rows = [(5_000_000_000, "u", "a"), (5_000_000_000, "u", "b"), (-1, "u", "c"), (-4096, None, "d"), (-4097, "u", None), ((1 << 62) + 3, "u", "e"), *[(None, "u", f"n{i}") for i in range(50)]]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], schema)
+    good = warc.leaves(warc.records(pages))
+    by = {(r.shard, r.slot): r for r in good.collect()}
+    assert len(by) > 20 and sum(k[0] == warc.NO_ID for k in by) > 20  # records without a number are spread over their own archive
+    assert {k for k in by if k[0] != warc.NO_ID} == {(5_000_000_000 // 4096, 5_000_000_000 % 4096), (-1, 4095), (-1, 0), (-2, 4095), (((1 << 62) + 3) // 4096, 3)}
+    assert warc.audit(good, warc.leaves(warc.records(pages.repartition(7)))).count() == 0
+    html = F.when(F.col("html").isin("b", "n7"), "other").otherwise(F.col("html"))
+    bad = warc.leaves(warc.records(pages.filter("html is null or html <> 'd'").withColumn("html", html)))
+    found = Counter((r.page_id, r.kind) for r in warc.audit(good, bad).collect())
+    assert found[5_000_000_000, "changed"] == 1 and found[-4096, "missing"] == 1 and sum(n for (p, _), n in found.items() if p is None) >= 1 and len([k for k in found if k[0] is not None]) == 2
+    assert warc.audit(good.limit(0), good.limit(0)).collect() == []
+
+
+def test_fixity_of_ranges(spark):
+    """Records that change places within an archive change its root, though each leaf's record is still somewhere."""
+    a = spark.createDataFrame([(1, b"xx"), (2, b"yyy")], "page_id long, record binary")
+    b = spark.createDataFrame([(1, b"yyy"), (2, b"xx")], "page_id long, record binary")
+    root = lambda df: warc.nodes(warc.leaves(df), warc.LEVELS).first()
+    assert root(a).hash != root(b).hash and (root(a).start, root(a).stop) == (0, 5)
+    assert {(r.page_id, r.kind) for r in warc.audit(warc.leaves(a), warc.leaves(b)).collect()} == {(1, "changed"), (2, "changed")}
+
+
 # --- 4 suffix arrays --------------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +222,18 @@ def test_repeats_equal_brute_force(spark, monkeypatch, classes):
     assert suffix.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_suffix_of_repeated_rows_null_ids_and_clashing_names(spark):
+    rng = random.Random(44)
+    text = sentence(rng, 120)
+    rows = [(None, text, "x", 1, b"k")] * 30 + [(7, text, "x", 1, b"k")] * 3 + [(8, sentence(rng, 90), "x", 1, b"k"), (None, None, "x", 1, b"k"), (9, "", "x", 1, b"k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, data string, fp int, kept binary")
+    got = suffix.remove_repeats(docs).collect()
+    size = len(text.encode())
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, len(r.kept)) == ((size, 0) if r.n_bytes == size else (r.n_bytes, r.n_bytes))
+
+
 # --- 5 line templates -------------------------------------------------------------------------------------------------------------
 
 
@@ -585,3 +622,17 @@ def test_components_of_hot_nodes(spark):
     near = [*range(300), 1000, 2000, *range(5000, 5300)]
     assert got == {**dict.fromkeys(near, 0), 9000: 9000, 9001: 9000}
     assert components(links.limit(0)).collect() == []
+
+
+def test_links_of_a_hot_node_are_spread(spark):
+    """No task of a star step gets more than a few of a hot node's links, however many it has."""
+    from gridwise.llm import components as C
+
+    links = spark.range(20_000).selectExpr("id + 1 as b", "cast(0 as long) as a").repartition(8)
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    met = C._with_least(links, least, 100)
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", held)
+    assert sum(sizes) == 20_000 and max(sizes) < 5_000
