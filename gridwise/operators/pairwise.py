@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.functions.num import finite
-from gridwise.functions.session import checkpointed
-from gridwise.operators.ordered import TASK_ROWS, average_ranks, medians
+from gridwise.functions.session import checkpointed, measured
+from gridwise.operators.ordered import average_ranks
 
 BLOCK = 512
 EPS = 1e-8
@@ -35,18 +35,26 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return 1 - (a / na[:, None]) @ (b / nb[:, None]).T
 
 
-def _blocks(rows: DataFrame, columns: list[str], task, schema: str, block: int = BLOCK) -> DataFrame:
-    """task(frame, low, high) for every pair of blocks of a group; the frame holds the rows of both, low and high the rows of each in order."""
+def _placed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows with their block __b and the last block __top of their group."""
     at = rows.withColumn("__b", F.floor(F.col("i") / block).cast("int"))
-    top = at.groupBy("group").agg(F.max("__b").alias("__top"))
-    spread = at.hint("merge").join(top, "group").select("group", "i", *columns, "__b", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("__o"))
-    spread = spread.withColumns({"__x": F.least("__b", "__o"), "__y": F.greatest("__b", "__o")})
+    return at.join(measured(at.groupBy("group").agg(F.max("__b").alias("__top"))), "group")
+
+
+def _spread(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Every row once for each pair of blocks (__x, __y) that its block __b is part of."""
+    at = rows if "__top" in rows.columns else _placed(rows, block)
+    spread = at.select("group", "i", *columns, "__b", F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("__o"))
+    return spread.withColumns({"__x": F.least("__b", "__o"), "__y": F.greatest("__b", "__o")})
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = (pdf[pdf["__b"] == pdf[c].iloc[0]].sort_values("i") for c in ("__x", "__y"))
-        return task(pdf, low, high)
 
-    return spread.groupBy("group", "__x", "__y").applyInPandas(one, schema)
+def _low_high(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    return [pdf[pdf["__b"] == pdf[c].iloc[0]].sort_values("i") for c in ("__x", "__y")]
+
+
+def _blocks(rows: DataFrame, columns: list[str], task, schema: str, block: int = BLOCK) -> DataFrame:
+    """task(frame, low, high) for every pair of blocks of a group; the frame holds the rows of both, low and high the rows of each in order."""
+    return _spread(rows, columns, block).groupBy("group", "__x", "__y").applyInPandas(lambda pdf: task(pdf, *_low_high(pdf)), schema)
 
 
 def _met(low: pd.DataFrame, high: pd.DataFrame, vectors: dict[str, str], diagonal: bool = False):
@@ -70,28 +78,142 @@ def pairs(rows: DataFrame, vectors: dict[str, str], diagonal: bool = False, bloc
     return _blocks(rows, list(vectors), task, f"group {kind}, i long, j long, " + ", ".join(f"`{c}` double" for c in vectors), block)
 
 
-def _few_pairs(rows: DataFrame) -> bool:
-    """Whether every group's pairs may be put in order in one task; pairs are counted from the rows, without making them."""
-    n = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return n * (n - 1) // 2 <= TASK_ROWS
+def _keyed(**columns) -> pd.DataFrame:
+    """A frame whose keys are plain objects: pandas' own strings can't be handed on where there are no rows."""
+    return pd.DataFrame({c: pd.Series(list(v), dtype=object) if c in ("group", "side") else v for c, v in columns.items()})
+
+
+#: Numbers of a range that are put in order in one task.
+RANGE = 1_000_000
+_BIN = 40  # bits of a number below its bin: 4,096 bins for each power of two
+
+
+def _bins(v: np.ndarray) -> np.ndarray:
+    """Bins of numbers, in the order of the numbers: the first bits of what they are stored as."""
+    bits = (v + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))) >> _BIN
+
+
+def _counted(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(v, return_counts=True)
+
+
+def _histogram(rows: DataFrame, vectors: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """(group, side, bin, n, upto, total): pairs by bin of their dissimilarity, of each vector column; bins alone leave the blocks."""
+    kind = rows.schema["group"].dataType.simpleString()
+
+    def task(pdf, low, high):
+        _, _, d = _met(low, high, vectors)
+        found = [(c, *_counted(_bins(v))) for c, v in d.items()]
+        side = [c for c, b, _ in found for _ in b]
+        return _keyed(group=[pdf["group"].iloc[0]] * len(side), side=side, bin=np.concatenate([b for _, b, _ in found]), n=np.concatenate([n for _, _, n in found]))
+
+    parts = _blocks(rows, list(vectors), task, f"group {kind}, side string, bin long, n long", block)
+    sums = parts.groupBy("group", "side", "bin").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("group", "side")
+    return sums.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "total": F.sum("n").over(by)})
+
+
+def median_distance(rows: DataFrame, x: str = "x", kind: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(group, sigma): exact median of the dissimilarities of a group's pairs, the mean of the two middle ones of an even number.
+
+    A histogram tells the bins of the middle ones; a second pass over the blocks gives out what falls into those.
+    """
+    name, rows = rows.schema["group"].dataType.simpleString(), _placed(rows, block)
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1  # places of the middle ones, from 1
+    holds = lambda place: (F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))
+    first = lambda place, v: F.max(F.when(holds(place), v))
+    bins = _histogram(rows, {x: kind}, block).groupBy("group").agg(
+        first(low, F.col("bin")).alias("low"), first(high, F.col("bin")).alias("high"),
+        first(low, low - F.col("upto") + F.col("n") - 1).alias("low_at"), first(high, high - F.col("upto") + F.col("n") - 1).alias("high_at"),
+    )
+    bins = measured(bins)
+
+    def task(pdf, lows, highs):
+        _, _, d = _met(lows, highs, {x: kind})
+        at = _bins(d[x])
+        kept = [_counted(d[x][at == b]) for b in {pdf["low"].iloc[0], pdf["high"].iloc[0]}]
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "v": [np.concatenate([v for v, _ in kept])], "n": [np.concatenate([n for _, n in kept])]})
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, n = np.concatenate([np.asarray(a, dtype=float) for a in pdf["v"]]), np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["n"]])
+        order = np.argsort(v, kind="stable")
+        v, n = v[order], n[order]
+        found = []
+        for b, at in (("low", "low_at"), ("high", "high_at")):
+            own = _bins(v) == pdf[b].iloc[0]
+            found.append(v[own][np.searchsorted(np.cumsum(n[own]), pdf[at].iloc[0], side="right")])
+        return pd.DataFrame({"group": pdf["group"].iloc[:1].tolist(), "sigma": [(found[0] + found[1]) / 2]})
+
+    parts = _blocks(rows.join(bins, "group"), [x, "low", "high"], task, f"group {name}, v array<double>, n array<long>", block)
+    return parts.join(bins, "group").groupBy("group").applyInPandas(middle, f"group {name}, sigma double")
+
+
+def _rank_moments(rows: DataFrame, x: str, y: str, dissimilarity: str, block: int = BLOCK) -> DataFrame:
+    """Moments of the 0-based ranks (ties averaged) of both dissimilarities of a group's pairs, by pair of blocks.
+
+    The histogram cuts the numbers into ranges; each block sends a range its distinct numbers with their counts and gets their ranks back.
+    """
+    kind, rows = rows.schema["group"].dataType.simpleString(), _placed(rows, block)
+    vectors = {x: dissimilarity, y: dissimilarity}
+    before = F.col("upto") - F.col("n")
+    ranges = _histogram(rows, vectors, block).withColumns({"range": F.floor(before / RANGE), "before": before})
+    ranges = ranges.groupBy("group", "side", "range").agg(F.min("bin").alias("bin"), F.min("before").alias("before"))
+    cuts = ranges.groupBy("group").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("bin", "range", "before")))).alias(f"cut_{k}") for k, c in (("a", x), ("b", y))])  # an entry for each RANGE of pairs
+    cuts = measured(cuts.select("group", *[F.col(f"cut_{k}")[f].alias(f"{k}_{f}") for k in "ab" for f in ("bin", "range", "before")]))
+    names = [f"{k}_{f}" for k in "ab" for f in ("bin", "range", "before")]
+
+    def give(pdf, low, high):
+        _, _, d = _met(low, high, vectors)
+        names = ("group", "side", "range", "before", "__x", "__y", "v", "n")
+        out = []
+        for k, c in (("a", x), ("b", y)):
+            v, n = _counted(d[c])
+            first, number, start = (np.asarray(pdf[f"{k}_{f}"].iloc[0]) for f in ("bin", "range", "before"))
+            at = np.searchsorted(first, _bins(v), side="right") - 1
+            out += [(pdf["group"].iloc[0], k, number[r], start[r], pdf["__x"].iloc[0], pdf["__y"].iloc[0], v[at == r], n[at == r]) for r in np.unique(at)]
+        return _keyed(**{c: [row[i] for row in out] for i, c in enumerate(names)})
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(v) for v in pdf["v"]]
+        v, at = np.unique(np.concatenate([np.asarray(a, dtype=float) for a in pdf["v"]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.asarray(a, dtype=float) for a in pdf["n"]]), len(v))
+        ranks = (pdf["before"].iloc[0] + np.cumsum(n) - n + (n - 1) / 2)[at]
+        own = {c: pdf[c].tolist() for c in ("group", "side", "__x", "__y", "v")}
+        return pd.DataFrame({**own, "r": np.split(ranks, np.cumsum(sizes)[:-1])})
+
+    def moments(pdf: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
+        _, _, d = _met(*_low_high(pdf), vectors)
+        if ranked.empty:  # a block of one row has no pairs
+            return _keyed(**{c: [] for c in ("group", "n", "ma", "mb", "ab", "aa", "bb")})
+        found = []
+        for k, c in (("a", x), ("b", y)):
+            own = ranked[ranked["side"] == k]
+            v, r = (np.concatenate([np.asarray(a, dtype=float) for a in own[f]]) for f in ("v", "r"))
+            order = np.argsort(v)
+            found.append(r[order][np.searchsorted(v[order], d[c])])
+        a, b = found
+        ma, mb = a.mean(), b.mean()
+        return pd.DataFrame({"group": pdf["group"].iloc[:1].tolist(), "n": len(a), "ma": ma, "mb": mb, "ab": (a - ma) @ (b - mb), "aa": (a - ma) @ (a - ma), "bb": (b - mb) @ (b - mb)})
+
+    sent = _blocks(rows.join(cuts, "group"), [x, y, *names], give, f"group {kind}, side string, range long, before long, __x int, __y int, v array<double>, n array<long>", block)
+    ranked = sent.groupBy("group", "side", "range").applyInPandas(rank, f"group {kind}, side string, __x int, __y int, v array<double>, r array<double>")
+    by = ("group", "__x", "__y")
+    return _spread(rows, [x, y], block).groupBy(*by).cogroup(ranked.groupBy(*by)).applyInPandas(moments, f"group {kind}, n long, ma double, mb double, ab double, aa double, bb double")
 
 
 def rsa(rows: DataFrame, x: str = "x", y: str = "y", dissimilarity: str = "correlation", similarity: str = "pearson") -> DataFrame:
     """(group, rsa, loss): agreement of the two dissimilarity matrices' upper triangles, and 1 - rsa."""
     kind = rows.schema["group"].dataType.simpleString()
-    if similarity == "spearman":  # ranks need the single pairs
-        d = pairs(rows, {x: dissimilarity, y: dissimilarity}).withColumnsRenamed({x: "a", y: "b"})
-        small = _few_pairs(rows)
-        d = d if small else checkpointed(d)  # ranks of large groups read it more than once
-        d = average_ranks(average_ranks(d, ["group"], "a", "ra", small), ["group"], "b", "rb", small)
-        part = d.select("group", F.lit(1).alias("n"), F.col("ra").alias("ma"), F.col("rb").alias("mb"), *[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+    if similarity == "spearman":
+        part = _rank_moments(rows, x, y, dissimilarity)
     elif similarity == "pearson":  # only the moments of a pair of blocks leave its task
 
         def task(pdf, low, high):
             _, _, d = _met(low, high, {x: dissimilarity, y: dissimilarity})
             a, b = d[x], d[y]
             if not len(a):
-                return pd.DataFrame({c: [] for c in ("group", "n", "ma", "mb", "ab", "aa", "bb")})
+                return _keyed(**{c: [] for c in ("group", "n", "ma", "mb", "ab", "aa", "bb")})
             ma, mb = a.mean(), b.mean()
             return pd.DataFrame({"group": pdf["group"].iloc[:1].tolist(), "n": len(a), "ma": ma, "mb": mb, "ab": (a - ma) @ (b - mb), "aa": (a - ma) @ (a - ma), "bb": (b - mb) @ (b - mb)})
 
@@ -99,8 +221,9 @@ def rsa(rows: DataFrame, x: str = "x", y: str = "y", dissimilarity: str = "corre
     else:
         raise ValueError(f"unknown similarity {similarity!r}")
     n = F.col("n")
+    part = checkpointed(part)  # a row for each pair of blocks
     means = part.groupBy("group").agg(*[(F.sum(n * F.col(f"m{c}")) / F.sum(n)).alias(f"t{c}") for c in "ab"])
-    c = part.hint("merge").join(means, "group").withColumns({"a": F.col("ma") - F.col("ta"), "b": F.col("mb") - F.col("tb")})
+    c = part.join(measured(means), "group").withColumns({"a": F.col("ma") - F.col("ta"), "b": F.col("mb") - F.col("tb")})
     s = c.groupBy("group").agg(*[F.sum(F.col(p + q) + n * F.col(p) * F.col(q)).alias(p + q) for p, q in ("ab", "aa", "bb")])
     r = F.col("ab") / F.greatest(F.sqrt("aa") * F.sqrt("bb"), F.lit(EPS))
     return s.select("group", r.alias("rsa"), (1 - r).alias("loss"))
@@ -170,9 +293,7 @@ def cka_unbiased(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def cka_rbf(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(group, cka): alignment of centred Gaussian kernels; sigma is the median pairwise distance of x, for both sides."""
     kind = rows.schema["group"].dataType.simpleString()
-    small = _few_pairs(rows)
-    apart = pairs(rows, {x: "euclidean"})
-    sigma = medians(apart if small else checkpointed(apart), ["group"], x, "sigma", small)  # the single distances of x leave the blocks for this alone
+    sigma = median_distance(rows, x)
     names = ("a", "b", "ab", "aa", "bb")
 
     def task(pdf, low, high):
@@ -183,7 +304,7 @@ def cka_rbf(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         out["i"] = np.concatenate([i, j[i != j]])
         return out.groupby("i", as_index=False).sum().assign(group=pdf["group"].iloc[0])[["group", "i", *names]]
 
-    part = _blocks(rows.hint("merge").join(sigma, "group"), [x, y, "sigma"], task, f"group {kind}, i long, " + ", ".join(f"{c} double" for c in names))
+    part = _blocks(rows.join(measured(sigma), "group"), [x, y, "sigma"], task, f"group {kind}, i long, " + ", ".join(f"{c} double" for c in names))
     r = part.groupBy("group", "i").agg(*[F.sum(c).alias(c) for c in names])
     s = r.groupBy("group").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("ta"), F.sum("b").alias("tb"),

@@ -84,18 +84,34 @@ def test_filters_and_contexts_cross_blocks(spark, monkeypatch):
 
 
 def test_kernels_and_ranks_of_pairs(spark, task_rows, monkeypatch):
-    monkeypatch.setattr(P, "TASK_ROWS", O.TASK_ROWS)
+    """Medians and ranks from histograms, over several blocks, ranges of few numbers, ties and groups of one and two rows."""
+    monkeypatch.setattr(P, "RANGE", 50)
     rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 3))
-    df = spark.createDataFrame([(0, i, x[i].tolist(), y[i].tolist()) for i in range(40)], "group int, i long, x array<double>, y array<double>")
+    x, y = rng.normal(size=(40, 3)), rng.integers(0, 3, size=(40, 3)).astype(float)  # y has ties
+    made = [("all", i, x[i].tolist(), y[i].tolist()) for i in range(40)] + [("two", i, x[i].tolist(), x[i].tolist()) for i in range(2)] + [("one", 0, x[0].tolist(), y[0].tolist())]
+    df = spark.createDataFrame(made, "group string, i long, x array<double>, y array<double>")
     far = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
     dx, dy, upper = far(x), far(y), np.triu_indices(40, 1)
-    places = lambda v: np.argsort(np.argsort(v))  # no ties
-    got = P.rsa(df, dissimilarity="euclidean", similarity="spearman").first().rsa
-    assert abs(got - np.corrcoef(places(dx[upper]), places(dy[upper]))[0, 1]) < 1e-9
+    sides = [np.concatenate([[(np.round(v, 9) < q).sum() + ((np.round(v, 9) == q).sum() - 1) / 2 for q in np.round(v, 9)]]) for v in (dx[upper], dy[upper])]
+    for block in (512, 16):
+        part = P._rank_moments(df, "x", "y", "euclidean", block).collect()
+        n = sum(r.n for r in part if r.group == "all")
+        mean = [sum(r.n * r[c] for r in part if r.group == "all") / n for c in ("ma", "mb")]
+        ab, aa, bb = (sum(r[p + q] + r.n * (r["m" + p] - mean[p == "b"]) * (r["m" + q] - mean[q == "b"]) for r in part if r.group == "all") for p, q in ("ab", "aa", "bb"))
+        assert n == 780 and {r.group for r in part} == {"all", "two"}
+        assert abs(ab / np.sqrt(aa * bb) - np.corrcoef(*sides)[0, 1]) < 1e-9
+        sigma = {r.group: r.sigma for r in P.median_distance(df, "x", block=block).collect()}
+        assert sigma.keys() == {"all", "two"} and abs(sigma["all"] - np.median(dx[upper])) < 1e-9 and abs(sigma["two"] - dx[0, 1]) < 1e-9
+        assert abs({r.group: r.sigma for r in P.median_distance(df, "y", block=block).collect()}["all"] - np.median(dy[upper])) < 1e-9
+    assert abs({r.group: r.rsa for r in P.rsa(df, dissimilarity="euclidean", similarity="spearman").collect()}["all"] - np.corrcoef(*sides)[0, 1]) < 1e-9
     sigma, centre = np.median(dx[upper]), np.eye(40) - 1 / 40
     k, l = (centre @ np.exp(-(d**2) / (2 * sigma**2)) @ centre for d in (dx, dy))  # noqa: E741
-    assert abs(P.cka_rbf(df).first().cka - (k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum())) < 1e-9
+    assert abs(P.cka_rbf(df.filter("group = 'all'")).first().cka - (k * l).sum() / np.sqrt((k * k).sum() * (l * l).sum())) < 1e-9
+
+
+def test_bins_keep_the_order_of_numbers():
+    v = np.array([-np.inf, -3.5, -1e-300, -0.0, 0.0, 5e-324, 1e-9, 0.1, 1.0, 1.5, 7e300, np.inf])
+    assert (np.diff(P._bins(v)) >= 0).all() and P._bins(v)[3] == P._bins(v)[4]
 
 
 def test_keys_that_contain_a_token(spark):
