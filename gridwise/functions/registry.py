@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gridwise.operators import losses, metrics
 
-EXTRACTORS: dict[str, Callable] = {}
+EXTRACTORS: dict[str, Callable[[Column, int], Column]] = {}
 
 
 def extractor(name: str):
-    """Registers a function of (dim) that gives a mapInPandas function over (item, word_idx, word)."""
+    """Registers a function of (word, dim) that gives the word's vector as a Column."""
 
     def put(f):
         EXTRACTORS[name] = f
@@ -24,28 +22,22 @@ def extractor(name: str):
     return put
 
 
-def get_extractor(name: str) -> Callable:
+def get_extractor(name: str) -> Callable[[Column, int], Column]:
     if name not in EXTRACTORS:
         raise KeyError(f"unknown extractor {name!r}; there are {sorted(EXTRACTORS)}")
     return EXTRACTORS[name]
 
 
 @extractor("hashing")
-def _hashing(dim: int):
-    def run(frames: Iterator[pd.DataFrame]):
-        for pdf in frames:
-            h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in pdf["word"]], dtype=np.int64)
-            vec = np.zeros((len(h), dim))
-            vec[np.arange(len(h)), h % dim] = 1.0
-            yield pd.DataFrame({"item": pdf["item"], "word_idx": pdf["word_idx"], "vec": list(vec)})
-
-    return run
+def _hashing(word: Column, dim: int) -> Column:
+    """One at the place that the first 32 bits of the word's MD5 tell, zero elsewhere."""
+    place = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % dim
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (i == place).cast("double"))
 
 
 def extract(words: DataFrame, name: str, dim: int = 8) -> DataFrame:
     """(item, word_idx, vec) of words by the named extractor; distinct words are not assumed."""
-    kind = {c: words.schema[c].dataType.simpleString() for c in ("item", "word_idx")}
-    return words.select("item", "word_idx", "word").mapInPandas(get_extractor(name)(dim), f"item {kind['item']}, word_idx {kind['word_idx']}, vec array<double>")
+    return words.select("item", "word_idx", get_extractor(name)(F.col("word"), dim).alias("vec"))
 
 
 #: Column expressions over metrics.sums by name.

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.functions import special
+
 
 def layer_indices(n: int, fractions: Sequence[float]) -> list[int]:
     """int(f (n - 1)) of each fraction, clipped, distinct, in order."""
@@ -53,8 +55,12 @@ class Pooling:
 
 
 def cast_saved(features: DataFrame, kind: str = "float") -> DataFrame:
-    """vec in the type it is stored with: source, float (also for fp16, which Spark has not) or double."""
-    return features if kind == "source" else features.withColumn("vec", F.transform("vec", lambda x: x.cast(kind)))
+    """vec as it is stored: source (as it is), float, double, or half: rounded to half precision and kept as float, which holds it."""
+    if kind == "source":
+        return features
+    if kind == "half":
+        return features.withColumn("vec", F.transform("vec", lambda x: special.half_precision(x).cast("float")))
+    return features.withColumn("vec", F.transform("vec", lambda x: x.cast(kind)))
 
 
 def _mean_of(features: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,15 +182,10 @@ def project(df: DataFrame, weight: np.ndarray, bias: np.ndarray, layer_norm: boo
         var = F.aggregate("pred", F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))) / n
         out = out.withColumn("__s", F.sqrt(var + 1e-5)).withColumn("pred", F.transform("pred", lambda x: (x - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
     if gelu:
-        out = out.withColumn("pred", F.transform("pred", _gelu))
+        out = out.withColumn("pred", F.transform("pred", special.gelu))
     return out
 
 
-def _gelu(x):
-    """x times the normal distribution function, by the usual tanh form (within 1e-3 of the exact one)."""
-    return 0.5 * x * (1 + F.tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))
-
-
 def fuse(df: DataFrame, columns: Sequence[str], how: str = "cat") -> DataFrame:
     """df with vec: the modality vectors concatenated, or their elementwise mean or sum; columns are taken in sorted order."""
     columns = sorted(columns)

@@ -6,13 +6,15 @@ Strings are never NULL in a manifest ('' means absent); numbers may be.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwise.functions.session import checkpointed
+from gridwise.functions.session import checkpointed, sized
+from gridwise.operators.digests import table_digest
 
 RUN_COLUMNS = (
     "dataset_name", "stimulus_namespace", "subject", "subject_idx", "task", "movie", "stimulus_id", "fmri_item_id", "chunk", "fmri_relpath", "fmri_h5_key",
@@ -52,7 +54,7 @@ def canonical(df: DataFrame, columns: Sequence[str], dataset: str, root: str, un
 def subject_index(df: DataFrame, subject: str = "subject") -> DataFrame:
     """df with subject_idx: 0-based place of the subject among the sorted distinct ones (ranked alone, then joined back)."""
     ranks = df.select(subject).distinct().withColumn("subject_idx", (F.row_number().over(W.orderBy(subject)) - 1).cast("long"))
-    return df.join(F.broadcast(ranks), subject)  # one row a subject
+    return df.join(sized(checkpointed(ranks)), subject)
 
 
 def item_key(subject: Column, stimulus: Column) -> Column:
@@ -157,10 +159,13 @@ def hash_split(df: DataFrame, ratio: float = 0.1, seed: int = 33, key: str = "ch
     return df.join(splits.select(key, F.when(val, "val").otherwise("train").alias("split")), key)
 
 
-def add_splits(df: DataFrame, strategy: str = "chunk", ratio: float = 0.1, seed: int = 33, season: int = 6, selectors: Sequence[str] = ()) -> DataFrame:
-    """split by strategy: chunk, friends_season_holdout or custom_holdout."""
+def add_splits(df: DataFrame, strategy: str = "chunk", ratio: float = 0.1, seed: int = 33, season: int = 6, selectors: Sequence[str] = (), order: str | None = None, compat: bool = False) -> DataFrame:
+    """split by strategy: chunk, friends_season_holdout or custom_holdout.
+
+    chunk: order is the column by which a key comes last, should none be val; compat scores keys with Python's generator.
+    """
     if strategy == "chunk":
-        return hash_split(df, ratio, seed)
+        return hash_split(df, ratio, seed, order=order, compat=compat)
     if strategy == "friends_season_holdout":
         return season_holdout(df, season)
     if strategy == "custom_holdout":
@@ -218,17 +223,9 @@ def require_labels(df: DataFrame, key: str = "fmri_h5_key") -> DataFrame:
     return df.withColumn(key, F.when(F.col(key) == "", bad).otherwise(F.col(key)))
 
 
-def row_text(df: DataFrame) -> Column:
-    """Canonical text of a row: columns by name, tab-separated."""
-    return F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
-
-
 def table_hash(df: DataFrame) -> DataFrame:
-    """One row (n, hash): order-free digest of a table of any size, the sums of four parts of the rows' SHA-256."""
-    h = F.sha2(row_text(df).cast("binary"), 256)
-    part = lambda i: F.sum(F.conv(F.substring(h, 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)"))
-    texts = [part(i).cast("string") for i in range(4)]
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(",", *texts).cast("binary"), 256).alias("hash"))
+    """One row (n, hash): digest of a table's columns and rows, whatever their order (digests.py)."""
+    return table_digest(df)
 
 
 def validate(df: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
@@ -269,20 +266,51 @@ def apply_split_map(df: DataFrame, splits: DataFrame, key: str = "chunk") -> Dat
 def match_unique_key(df: DataFrame, keys: DataFrame, token: str, key: str = "key", contains: bool = False) -> DataFrame:
     """df with key: the one key that holds the row's token, '' if none or several do.
 
-    A token is held between a key's separators, or with ``contains`` anywhere in it. Keys are cut into their tokens, or into their
-    substrings of the lengths that tokens have, so that the join is by equality.
+    A token is held between a key's separators, or with ``contains`` anywhere in it (empty tokens are held by none).
     """
     if contains:
-        lengths = df.select(F.length(token).alias("__l")).filter("__l > 0").distinct()  # a short list
-        cut = keys.select(key).distinct().crossJoin(F.broadcast(lengths)).filter(F.length(key) >= F.col("__l"))
-        starts = F.sequence(F.lit(1), F.length(key) - F.col("__l") + 1)
-        parts = cut.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(key, i, F.col("__l"))))).alias(token))
+        found = _contained(df.select(F.col(token).alias("__t")).filter("__t <> ''").distinct(), keys.select(F.col(key).alias("__key")).distinct())
+        parts = found.select(F.col("__t").alias(token), F.col("__key").alias(key))
     else:
         parts = keys.select(key, F.explode(F.array_distinct(F.split(key, "[-_/]"))).alias(token))
     one = parts.groupBy(token).agg(F.min(key).alias("__k"), F.count_distinct(key).alias("__n")).filter("__n = 1")
     return df.hint("merge").join(one.select(token, "__k"), token, "left").withColumn(key, F.coalesce("__k", F.lit(""))).drop("__k")
 
 
+#: Characters of tokens that one automaton holds.
+AUTOMATON_CHARS = 20_000_000
+
+
+def _contained(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """(__t, __key): tokens and the keys that they are part of, each pair once.
+
+    An automaton of the tokens runs over every key once. Tokens of more than AUTOMATON_CHARS characters are cut into shards by
+    their hash, each of which is built, sent and run by itself.
+    """
+    tokens, spark = checkpointed(tokens), tokens.sparkSession
+    size = tokens.agg(F.sum(F.length("__t"))).first()[0] or 0
+    shards = -(-size // AUTOMATON_CHARS)
+    found = []
+    for shard in range(shards):
+        held = spark.sparkContext.broadcast([r[0] for r in tokens.filter(F.pmod(F.xxhash64("__t"), F.lit(shards)) == shard).collect()])
+
+        def run(frames, held=held):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t in held.value:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for frame in frames:
+                hits = [(t, k) for k in frame["__key"] if k for t in {t for _, t in automaton.iter(k)}]
+                yield pd.DataFrame({"__t": pd.Series([t for t, _ in hits], dtype=object), "__key": pd.Series([k for _, k in hits], dtype=object)})
+
+        found.append(keys.mapInPandas(run, "__t string, __key string"))
+    if not found:
+        return spark.createDataFrame([], "__t string, __key string")
+    return reduce(DataFrame.union, found)
+
+
 def missing_features(df: DataFrame, features: DataFrame) -> DataFrame:
     return df.select("stimulus_id").distinct().join(features, "stimulus_id", "left_anti")
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.functions import registry
 from gridwise.functions.session import shared_folder
 from gridwise.operators import layers as L
+from gridwise.operators.ordered import running
 from gridwise.plans.catalog import query, table
 from gridwise.plans.q_interval import TALK, talk
 from gridwise.plans.q_layers import FEATURES, features, flat
@@ -167,21 +170,42 @@ def s16(spark, d):
     return M.load_bundle(spark, _bundle(spark, d), ["run_manifest"])["run_manifest"].select("stimulus_id", "chunk")
 
 
-@query("s17_write_split_artifacts", f"WITH {RUNS} SELECT stimulus_id, CASE WHEN task = 'friends' AND starts_with(chunk, 's06') THEN 'val' ELSE 'train' END AS split FROM r")
+_WINDOWED = "w AS (SELECT stimulus_id, task, chunk, k FROM r, range(2) t(k))"
+
+
+@query(
+    "s17_write_split_artifacts",
+    f"""WITH {RUNS}, {_WINDOWED}, s AS (SELECT *, CASE WHEN task = 'friends' AND starts_with(chunk, 's06') THEN 'val' ELSE 'train' END AS split FROM r), v AS (SELECT w.*, s.split FROM w JOIN s USING (stimulus_id))
+SELECT split || '_run_manifest' AS name, stimulus_id, -1 AS segment_idx FROM s UNION ALL SELECT split || '_segment_manifest', stimulus_id, k::INTEGER FROM v""",
+)
 def s17(spark, d):
     from gridwise.operators.manifests import season_holdout
 
-    path, r = folder(spark), season_holdout(runs(spark, d)).select("stimulus_id", "split")
-    for s in ("train", "val"):
-        M.write_tsv(r.filter(F.col("split") == s), f"{path}/{s}")
-    return M.read_manifest_tsv(spark, f"{path}/*", ["stimulus_id", "split"])
+    path, r = folder(spark), runs(spark, d)
+    segments = r.select("stimulus_id", "task", "chunk", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment_idx"))
+    M.write_split_artifacts(season_holdout(r), segments, path)
+    tables = M.read_split_artifacts(spark, path)
+    index = lambda df: F.col("segment_idx").cast("int") if "segment_idx" in df.columns else F.lit(-1)
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("name"), "stimulus_id", index(df).alias("segment_idx")) for name, df in tables.items()])
 
 
-@query("s18_write_val_rows", "SELECT l_orderkey::VARCHAR AS row_index, l_linenumber::VARCHAR AS subject_id FROM lineitem")
+@query(
+    "s18_write_val_rows",
+    """SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1)::VARCHAR AS row_index, l_linenumber::VARCHAR AS subject_id, 'sub-' || l_linenumber AS subject, 'o' || l_orderkey AS stimulus_id, '' AS fmri_item_id, l_returnflag AS task, '' AS movie,
+l_linestatus AS chunk, 'o' || l_orderkey || '_0' AS segment_id, '0' AS segment_idx, '1.5' AS segment_start_s, 149e0 AS segment_duration_s, l_suppkey::VARCHAR AS tr_idx, '' AS fmri_time_s FROM lineitem""",
+)
 def s18(spark, d):
+    """Two fields are missing, a column is no field, and the columns come in another order."""
     path = folder(spark)
-    M.write_tsv(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_index"), F.col("l_linenumber").alias("subject_id"), "l_tax"), path, ["row_index", "subject_id"])
-    return M.read_manifest_tsv(spark, path, ["row_index", "subject_id"])
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_tax")
+    numbered = running(line.withColumn("all", F.lit(0)), ["all"], ["l_orderkey", "l_linenumber"], {"row": F.lit(1).cast("long")})
+    order = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    rows = numbered.select(
+        F.col("l_tax"), F.col("l_suppkey").alias("tr_idx"), F.col("l_linestatus").alias("chunk"), F.concat(order, F.lit("_0")).alias("segment_id"), F.lit(0).alias("segment_idx"), F.lit(1.5).alias("segment_start_s"), F.lit(149.0).alias("segment_duration_s"),
+        (F.col("row") - 1).alias("row_index"), F.col("l_linenumber").alias("subject_id"), F.concat(F.lit("sub-"), F.col("l_linenumber").cast("string")).alias("subject"), order.alias("stimulus_id"), F.col("l_returnflag").alias("task"), F.lit("").alias("movie"),
+    )
+    M.write_val_rows(rows, path)
+    return M.read_manifest_tsv(spark, path, list(M.VAL_ROWS))
 
 
 _SUBMITTED = "SELECT o_orderpriority AS subject, o_orderstatus AS chunk_key, o_totalprice AS value FROM orders"

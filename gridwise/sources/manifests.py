@@ -64,11 +64,12 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
 
 
 def read_user_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or TSV by suffix; stimulus_id and video_path are required."""
-    df = spark.read.option("header", True).csv(path, sep="\t" if path.endswith(".tsv") else ",")
-    if missing := {"stimulus_id", "video_path"} - set(df.columns):
-        raise ValueError(f"columns missing: {sorted(missing)}")
-    return df
+    """Rows of a user's list of videos, tabs by the names .tsv and .tab, else commas: the two needed columns first, then what else it has.
+
+    A list without them fails when it is read, with the name that Spark can't find.
+    """
+    rows = spark.read.csv(path, header=True, sep="\t" if path.rsplit(".", 1)[-1].lower() in ("tsv", "tab") else ",")
+    return rows.select("stimulus_id", "video_path", *[c for c in rows.columns if c not in ("stimulus_id", "video_path")])
 
 
 def parse_transcript_per_tr(rows: DataFrame) -> DataFrame:
@@ -126,6 +127,28 @@ def load_bundle(spark: SparkSession, path: str, names: Sequence[str] = BUNDLE) -
 VAL_ROWS = ("row_index", "subject_id", "subject", "stimulus_id", "fmri_item_id", "task", "movie", "chunk", "segment_id", "segment_idx", "segment_start_s", "segment_duration_s", "tr_idx", "fmri_time_s")
 
 
+SPLIT_TABLES = ("train_run_manifest", "val_run_manifest", "train_segment_manifest", "val_segment_manifest")
+
+
+def write_split_artifacts(runs: DataFrame, segments: DataFrame, path: str, split: str = "split", key: str = "stimulus_id") -> None:
+    """The four tables of a training split as TSV: runs with a split, and the segments of each split's stimuli."""
+    for kind in ("train", "val"):
+        own = runs.filter(F.col(split) == kind)
+        write_tsv(own, f"{path}/{kind}_run_manifest")
+        write_tsv(segments.join(own.select(key).distinct(), key, "left_semi"), f"{path}/{kind}_segment_manifest")
+
+
+def read_split_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.csv(f"{path}/{name}", sep="\t", header=True) for name in SPLIT_TABLES}
+
+
+def write_val_rows(rows: DataFrame, path: str) -> None:
+    """The fourteen fields of validation rows as TSV, in their order; other columns are left out, fields that are missing are empty."""
+    have = set(rows.columns)
+    fields = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in VAL_ROWS]
+    rows.select(*fields).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
 def write_submission(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("subject").parquet(path)
 
