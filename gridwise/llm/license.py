@@ -1,21 +1,33 @@
-"""License scans: grams of whole license texts and of short notices, then banded alignment.
-
-The templates are few, so their inverted index (gram -> template and place)
-travels with the tasks. A document's ``GRAM``-word grams are looked up in it;
-diagonals with as many grams as the coverage needs are candidates. Templates
-under ``SHORT`` words need no gram: enough of their words in one band do. Each candidate is aligned word by
-word in a band of ``BAND`` words about its diagonal; a template of which
-``MIN_COVERAGE`` of the words match in order is reported with its character span.
-
-Defined results: null and empty texts match nothing; every non-overlapping
-occurrence is reported; repeated rows are scanned alike; an empty table gives no
-rows; long texts are scanned whole; extra columns are ignored.
+"""License scans: winnowed fingerprints pick candidates, hits are chained, and the gaps between them aligned in bands.
+
+Of every ``WINDOW`` grams in a row the one with the smallest hash is a
+fingerprint, so a run of WINDOW + GRAM - 1 equal words shares one for sure. A
+template of 16 words or more of which 0.8 stand in a text without others between
+them keeps a run of four, which is what GRAM 3 and WINDOW 2 need; shorter
+notices keep two words together and have all their pairs as fingerprints. The
+templates are few, so their inverted index (fingerprint -> template, place)
+travels with the tasks.
+
+The hits of a template are chained in order of both places, over several
+diagonals: words put in or left out cost a little by their number, so that two
+copies in a row stay two. A chain goes on over at most ``GAP`` words of the text.
+What lies between two hits, before the first and after the last is aligned word
+by word in a band of ``BAND`` words about the gap's own shift. A template of
+which ``MIN_COVERAGE`` of the words match in order is reported with its span.
+
+Defined results: null and empty texts match nothing; occurrences of a template
+don't overlap, the fuller one stands, of equals the first; different templates
+over the same words are all reported, by place and then by name, but of short
+notices only those with the fewest words missed or put in, ties all; repeated
+rows are scanned alike; an empty table gives no rows; long texts are scanned
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 from pathlib import Path
 
@@ -24,7 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, BAND, MIN_COVERAGE, SHORT = 3, 8, 0.8, 16
+from gridwise.llm import _vector as vector
+
+BAND, GAP, MIN_COVERAGE, SHORT = 8, 512, 0.8, 16
+#: (words in a gram, grams in a window) of long templates and of short ones.
+LONG_PRINTS, SHORT_PRINTS = (3, 2), (2, 1)
+_SHIFT_COST = 0.01  # a word put in or left out, in words that a chain gains
 _WORD = re.compile(r"\w+")
 
 #: Notices and permission texts of public licenses.
@@ -98,124 +115,192 @@ def tokens(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]  # word by word: lower case may lengthen a text, which must not move its words
 
 
+def winnow(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash, the last of equals, of every ``window`` hashes in a row (of all of them where there are fewer)."""
+    if len(h) <= 1 or window == 1:
+        return np.arange(len(h))
+    if len(h) < window:
+        return np.array([len(h) - 1 - int(h[::-1].argmin())])
+    rows = np.lib.stride_tricks.sliding_window_view(h, window)
+    return np.unique(np.arange(len(rows)) + window - 1 - rows[:, ::-1].argmin(axis=1))
+
+
+def fingerprints(codes: np.ndarray, base: int, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, places) of the winnowed fingerprints of a sequence of word codes."""
+    n = len(codes) - gram + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = codes[:n].copy()
+    for i in range(1, gram):
+        grams = grams * base + codes[i : n + i]
+    at = winnow(vector.mix(grams.astype(np.uint64) * vector.P1), window)
+    return grams[at], at
+
+
+class Prints:
+    """Inverted index of the fingerprints of some templates: sorted fingerprints, and the (template, place) entries of each."""
+
+    def __init__(self, codes: list[np.ndarray], which: list[int], base: int, kind: tuple[int, int]):
+        self.base, (self.gram, self.window) = base, kind
+        found = [(g, t, q) for t in which for g, q in zip(*map(np.ndarray.tolist, fingerprints(codes[t], base, *kind)), strict=True)]
+        found.sort()
+        self.key = np.array([g for g, _, _ in found], dtype=np.int64)
+        self.template = np.array([t for _, t, _ in found], dtype=np.int64)
+        self.place = np.array([q for _, _, q in found], dtype=np.int64)
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, place in the text, place in the template) of every shared fingerprint."""
+        grams, at = fingerprints(codes, self.base, self.gram, self.window)
+        low, high = np.searchsorted(self.key, grams), np.searchsorted(self.key, grams, side="right")
+        n = high - low
+        entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        return self.template[entry], np.repeat(at, n), self.place[entry]
+
+
 class Index:
-    """Inverted index of the templates' grams, over the templates' own vocabulary."""
+    """The templates in one vocabulary, with their inverted indexes."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [tokens(templates[n]) for n in self.names]
         self.code = {w: i + 1 for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.base = len(self.code) + 1
-        entries: dict[int, list[tuple[int, int]]] = {}
-        for t, ws in enumerate(self.words):
-            codes = [self.code[w] for w in ws]
-            for p in range(len(ws) - GRAM + 1 if len(ws) >= SHORT else 0):
-                entries.setdefault(self.gram(codes[p : p + GRAM]), []).append((t, p))
-        self.entries = entries
-        self.short = [(t, np.array(sorted({self.code[w] for w in ws})), math.ceil(MIN_COVERAGE * len(ws))) for t, ws in enumerate(self.words) if len(ws) < SHORT]
-        self.grams = np.array(sorted(entries), dtype=np.int64)
-
-    def gram(self, codes) -> int:
-        out = 0
-        for c in codes:
-            out = out * self.base + c
-        return out
+        self.codes = [np.array([self.code[w] for w in ws], dtype=np.int64) for ws in self.words]
+        base = len(self.code) + 1
+        short = [t for t, ws in enumerate(self.words) if len(ws) < SHORT]
+        self.prints = [Prints(self.codes, [t for t in range(len(self.words)) if t not in set(short)], base, LONG_PRINTS), Prints(self.codes, short, base, SHORT_PRINTS)]
+        self.need = [math.ceil(MIN_COVERAGE * len(ws)) for ws in self.words]
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(template, words matched, words, start, stop) of every occurrence in text."""
         words = tokens(text)
         get = self.code.get
         codes = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        found = sorted({*self._near_grams(codes), *self._near_words(codes)})
+        found = []
+        for prints in self.prints:
+            template, p, q = prints.hits(codes)
+            for t in np.unique(template).tolist():
+                own = template == t
+                found += self._occurrences(t, codes, p[own], q[own], prints)
         if not found:
             return []
-        out, spans = [], None
-        for t in {t for t, _ in found}:
-            past = -1  # last place of the occurrence before
-            for d in (d for u, d in found if u == t):
-                best = align(self.words[t], words, d, past + 1)
-                if best and best[0] >= MIN_COVERAGE * len(self.words[t]):
-                    if spans is None:
-                        spans = [m.span() for m in _WORD.finditer(text)]
-                    past = best[2]
-                    out.append((self.names[t], best[0], len(self.words[t]), spans[best[1]][0], spans[best[2]][1]))
-        return sorted(self._best(out, spans), key=lambda x: (x[3], x[0]))
-
-    def _near_grams(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of long templates with enough grams about the diagonal.
-
-        A word missed or changed breaks GRAM grams, one put in GRAM - 1 and moves the diagonal, which the band bounds.
-        """
-        n = len(codes) - GRAM + 1
-        if n < 1 or np.count_nonzero(codes) < GRAM:
-            return []
-        grams = codes[:n].copy()
-        for i in range(1, GRAM):
-            grams = grams * self.base + codes[i : n + i]
-        at = np.searchsorted(self.grams, grams)
-        hits = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == grams) if len(self.grams) else at[:0]
-        places: dict[int, list[int]] = {}
-        for p in hits.tolist():
-            for t, q in self.entries[int(grams[p])]:
-                places.setdefault(t, []).append(p - q)
-        out = []
-        for t, d in places.items():
-            d = np.sort(np.array(d))
-            m = len(self.words[t])
-            least = m - GRAM + 1 - GRAM * (m - math.ceil(MIN_COVERAGE * m)) - (GRAM - 1) * 2 * BAND
-            kinds = np.unique(d)
-            near = np.searchsorted(d, kinds + BAND * 2, "right") - np.searchsorted(d, kinds - BAND * 2)
-            out += [(t, x) for x in kinds[near >= max(1, least)].tolist()]
-        return out
-
-    def _near_words(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of short templates that have enough of their words in one band; no gram is asked for."""
-        seen, out = set(codes.tolist()), []
-        for t, own, need in self.short:
-            if sum(c in seen for c in own.tolist()) < need - (len(self.words[t]) - len(own)):
-                continue
-            m = len(self.words[t])
-            at = np.flatnonzero(np.isin(codes, own))
-            width = m + 2 * BAND
-            for i, p in enumerate(at.tolist()):
-                if np.searchsorted(at, p + width) - i >= need:
-                    first = [q for q in range(m) if self.code[self.words[t][q]] == codes[p]]
-                    out += [(t, p - q) for q in first if q <= m - need]
-        return out
-
-    def _best(self, out: list, spans: list | None) -> list:
-        """Of short notices over the same words, those with the fewest words missed or put in: CC BY-NC is no CC BY."""
-        if len(out) < 2:
-            return out
-        starts, short = {s[0]: i for i, s in enumerate(spans)}, lambda x: x[2] < SHORT
-        ends = {s[1]: i for i, s in enumerate(spans)}
-        errors = lambda x: (x[2] - x[1]) + (ends[x[4]] - starts[x[3]] + 1 - x[1])
-        beaten = lambda x: any(short(y) and y[3] < x[4] and x[3] < y[4] and errors(y) < errors(x) for y in out)
-        return [x for x in out if not short(x) or not beaten(x)]
-
-
-def align(template: list[str], words: list[str], diagonal: int, low: int = 0, band: int = BAND) -> tuple[int, int, int] | None:
-    """(matches, first, last place in words): most words of template matched in order within the band, from place low on."""
-    m, n = len(template), len(words)
-    if words[max(0, diagonal) : max(0, diagonal) + m] == template and diagonal >= low:
-        return m, diagonal, diagonal + m - 1
-    # cell j of row i: template word i against place diagonal + i - band + j; (matches, -first place, last)
-    width = 2 * band + 1
-    none = (0, -n, -1)
-    row = [none] * (width + 1)
-    for i in range(m):
-        new = [none] * (width + 1)
-        for j in range(width):
-            p = diagonal + i - band + j
-            # a place to the left is cell j-1 of this row, the word above is cell j+1 of the row before
-            best = max(row[j + 1], new[j - 1] if j else none)
-            if low <= p < n and words[p] == template[i]:
-                c, first, _ = row[j]
-                best = max(best, (c + 1, first if c else -p, p))
-            new[j] = best
+        spans = [m.span() for m in _WORD.finditer(text)]
+        kept = sorted(_fewest_errors(found, [len(ws) for ws in self.words]), key=lambda x: (x[2], self.names[x[0]]))
+        return [(self.names[t], n, len(self.words[t]), spans[first][0], spans[last][1]) for t, n, first, last in kept]
+
+    def _occurrences(self, t: int, codes: np.ndarray, p: np.ndarray, q: np.ndarray, prints: Prints) -> list[tuple[int, int, int, int]]:
+        """(template, words matched, first, last place) of the template's occurrences, none over another."""
+        own, need, gram = self.codes[t], self.need[t], prints.gram
+        m, longest = len(own), prints.gram + prints.window - 2  # words that can match in a row without a hit
+        own_counts = np.bincount(own, minlength=len(self.code) + 1)
+        out, kept = [], []
+        for chain in chains(p, q, gram):
+            at = np.array(chain)
+            p0, q0, p1, q1 = chain[0][0], chain[0][1], chain[-1][0] + gram, chain[-1][1] + gram
+            gaps = np.concatenate([[q0], np.maximum(np.diff(at[:, 1]) - gram, 0), [m - q1]])
+            most = m - gaps.sum() + np.minimum(gaps, gaps * longest // (longest + 1) + longest).sum()
+            if most < need or any(y[2] <= p0 and p1 - 1 <= y[3] for y in _beside(kept, (t, 0, p0, p1 - 1))):
+                continue  # too few hits, or an occurrence that is found already
+            low, high = max(0, p0 - q0 - BAND), min(len(codes), p1 + m - q1 + BAND)
+            if np.minimum(np.bincount(codes[low:high], minlength=len(own_counts)), own_counts)[1:].sum() < need:
+                continue  # not enough of the template's words are there
+            n, first, last = _aligned(own, codes, chain, gram, low, high)
+            if n >= need:
+                out.append((t, n, first, last))
+                if all(last < y[2] or y[3] < first for y in _beside(kept, out[-1])):
+                    insort(kept, out[-1], key=lambda y: y[2])
+        kept = []
+        for x in sorted(out, key=lambda x: (-x[1], x[3] - x[2], x[2])):
+            if all(x[3] < y[2] or y[3] < x[2] for y in _beside(kept, x)):
+                insort(kept, x, key=lambda y: y[2])
+        return kept
+
+
+def _beside(kept: list, x: tuple) -> list:
+    """Of occurrences sorted by place, none over another, those next to x's first place."""
+    i = bisect_left(kept, x[2], key=lambda y: y[2])
+    j = bisect_left(kept, x[3] + 1, key=lambda y: y[2])
+    return kept[max(0, i - 1) : j]
+
+
+def chains(p: np.ndarray, q: np.ndarray, gram: int) -> list[list[tuple[int, int]]]:
+    """Hits (place in the text, place in the template) in chains that grow in both, the best ones first; a hit is in one chain at most.
+
+    A chain's worth is the words that its hits cover, less a little for every word of shift between two hits.
+    """
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    worth, before = np.full(len(p), float(gram)), np.full(len(p), -1)
+    start = np.searchsorted(p, p - GAP - gram)
+    for i in range(1, len(p)):
+        j = slice(int(start[i]), i)
+        dp, dq = p[i] - p[j], q[i] - q[j]
+        gain = worth[j] + np.minimum(np.minimum(dp, dq), gram) - _SHIFT_COST * np.abs(dp - dq)
+        gain[(dp <= 0) | (dq <= 0)] = -1
+        if len(gain) and (best := int(len(gain) - 1 - gain[::-1].argmax())) >= 0 and gain[best] > gram:
+            worth[i], before[i] = gain[best], j.start + best
+    used = np.zeros(len(p), dtype=bool)
+    out = []
+    for i in np.argsort(-worth, kind="stable").tolist():
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append((int(p[i]), int(q[i])))
+            i = int(before[i])
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def _aligned(own: np.ndarray, codes: np.ndarray, chain: list[tuple[int, int]], gram: int, low: int, high: int) -> tuple[int, int, int]:
+    """(words matched, first, last place) of a template along a chain: the hits' words, and banded alignments before, between and after."""
+    p, q = chain[0]
+    n, first = align(own[:q][::-1], codes[low:p][::-1])
+    first = p - first
+    n += gram
+    p, q = p + gram, q + gram
+    for p1, q1 in chain[1:]:
+        if p1 >= p and q1 >= q:
+            n += align(own[q:q1], codes[p:p1])[0] + gram
+        else:  # grams that share words
+            n += min(p1 + gram - p, q1 + gram - q)
+        p, q = p1 + gram, q1 + gram
+    more, last = align(own[q:], codes[p:high])
+    return n + more, first, p + last - 1
+
+
+def align(a: np.ndarray, b: np.ndarray, band: int = BAND) -> tuple[int, int]:
+    """(most words of a matched in order in b, words of b up to the last match, the fewest of equals), in a band about the shift of their ends."""
+    if not len(a) or not len(b):
+        return 0, 0
+    low, high = min(0, len(b) - len(a)) - band, max(0, len(b) - len(a)) + band
+    a, b = a.tolist(), b.tolist()
+    row = {}  # place in b, from 1 -> (matches, minus the place of the last one), so far in a
+    none = (0, 0)
+    for i, x in enumerate(a):
+        new, left = {}, row.get(max(0, i + low), none)  # what the band leaves behind is carried along its edge
+        for j in range(max(0, i + low), min(len(b), i + high + 1)):
+            best = max(left, row.get(j + 1, none))
+            if x == b[j]:
+                best = max(best, (row.get(j, none)[0] + 1, -(j + 1)))
+            new[j + 1] = left = best
         row = new
-    best = max(row)
-    return (best[0], -best[1], best[2]) if best[0] else None
+    best = max(row.values(), default=none)
+    return best[0], -best[1]
+
+
+def _fewest_errors(found: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """Of short notices over the same words, those with the fewest words missed or put in: CC BY-NC is no CC BY."""
+    errors = lambda x: (sizes[x[0]] - x[1]) + (x[3] - x[2] + 1 - x[1])
+    short = sorted((x for x in found if sizes[x[0]] < SHORT), key=lambda x: x[2])
+    out, open_ = [x for x in found if sizes[x[0]] >= SHORT], []
+    beaten = set()
+    for i, x in enumerate(short):
+        open_ = [k for k in open_ if short[k][3] >= x[2]]  # a notice is a few words long, so few are open at once
+        for k in open_:
+            if errors(short[k]) != errors(x):
+                beaten.add(i if errors(short[k]) < errors(x) else k)
+        open_.append(i)
+    return out + [x for i, x in enumerate(short) if i not in beaten]
 
 
 @lru_cache(maxsize=4)

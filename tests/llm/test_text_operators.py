@@ -80,54 +80,111 @@ def test_short_notices_and_whole_licenses(spark):
     assert scans.TEMPLATES["mit"].endswith("DEALINGS IN THE SOFTWARE.")
 
 
+def words_of(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def in_order(a, b):
+    """Longest common subsequence of two word lists, without a band."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def edited(rng, words, share, put_in):
+    """Words with a share of them changed or left out, and others put in."""
+    out = list(words)
+    for at in rng.sample(range(len(words)), int(share * len(words))):
+        out[at] = rng.choice((None, "changed"))
+    out = [w for w in out if w is not None]
+    for _ in range(int(put_in * len(words))):
+        out.insert(rng.randrange(len(out) + 1), "extra")
+    return out
+
+
+def test_winnowing_hits_every_run():
+    rng = np.random.default_rng(5)
+    for k, w in ((3, 2), (2, 1), (4, 5)):
+        run = rng.integers(1, 90, w + k - 1)
+        a = np.concatenate([rng.integers(1, 90, 40), run, rng.integers(1, 90, 30)])
+        b = np.concatenate([rng.integers(1, 90, 13), run, rng.integers(1, 90, 7)])
+        (ga, pa_), (gb, pb) = (scans.fingerprints(x, 100, k, w) for x in (a, b))
+        assert {(g, p - 40) for g, p in zip(ga.tolist(), pa_.tolist())} & {(g, p - 13) for g, p in zip(gb.tolist(), pb.tolist())} & {(g, p) for g in ga.tolist() for p in range(w)}
+        assert len(ga) <= len(a) - k + 1 and (w == 1 or len(ga) < 0.9 * (len(a) - k + 1))
+
+
+def test_banded_alignment():
+    codes = lambda s: np.array([ord(c) for c in s], dtype=np.int64)
+    assert scans.align(codes("abcd"), codes("abcd")) == (4, 4) and scans.align(codes("abcd"), codes("axxbcdyy")) == (4, 6) and scans.align(codes("ab"), codes("")) == (0, 0)
+    assert scans.align(codes("abcdef"), codes("af")) == (2, 2) and scans.align(codes("ab"), codes("abab")) == (2, 2)
+    rng = random.Random(2)
+    for _ in range(200):  # a band wider than both is no band
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(9))) for _ in range(2))
+        assert scans.align(codes(a), codes(b), 20)[0] == in_order(a, b)
+
+
+def test_licenses_are_found_when_words_are_put_in_or_left_out():
+    index = scans.Index(scans.TEMPLATES)
+    rng = random.Random(1)
+    long = {n: words_of(t) for n, t in scans.TEMPLATES.items() if len(words_of(t)) >= 100}
+    for name, words in long.items():
+        half = len(words) // 2
+        put_in = " ".join([*words[:half], *("strange",) * 20, *words[half:]])
+        left_out = " ".join(edited(rng, words, 0.0, 0.0)[i] for i in range(len(words)) if i % 33)
+        for text in (put_in, left_out, put_in + " " + put_in):
+            got = [x for x in index.scan(text) if x[0] == name]
+            assert len(got) == (2 if text.count("strange") > 20 else 1), name
+            assert got[0][1] >= 0.96 * len(words)
+
+
+def test_recall_at_the_stated_coverage():
+    """Templates of which 0.8 and a little more stand in a text in order (by a full count): nine in ten at least are found, and none that lack it."""
+    rng = random.Random(8)
+    index = scans.Index(scans.TEMPLATES)
+    due = found = 0
+    names = [n for n, t in scans.TEMPLATES.items() if len(words_of(t)) <= 260]
+    for _ in range(3):
+        for name in names:
+            words = words_of(scans.TEMPLATES[name])
+            around = sentence(rng, 30).rstrip(".").lower().split()
+            text = [*around, *edited(rng, words, rng.uniform(0, 0.19), rng.choice((0, 0.05, 0.1))), *around]
+            matched = in_order(words, text)
+            got = [x for x in index.scan(" ".join(text)) if x[0] == name]
+            assert all(x[1] <= matched for x in got)
+            beaten = len(words) < 16 and any(len(words_of(scans.TEMPLATES[x[0]])) < 16 for x in index.scan(" ".join(text)))
+            if matched >= 0.8 * len(words) and (got or not beaten):
+                due += 1
+                found += bool(got)
+            elif matched < 0.8 * len(words):
+                assert not got
+    assert due > 50 and found >= 0.97 * due
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_license_lines_equal_brute_force_alignment():
-    index = scans._index(tuple(sorted(scans.TEMPLATES.items())))
+def test_license_lines_of_the_documents_equal_a_full_count():
+    index = scans.Index(scans.TEMPLATES)
     lines = {x for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall() for x in (r[0] or "").split("\n") if "icense" in x and len(x) < 200}
     assert lines
     for line in lines:
-        words, best = scans.tokens(line), set()
-        for t, ws in enumerate(index.words):
-            if len(ws) < scans.SHORT and any((b := scans.align(ws, words, d)) and b[0] >= scans.MIN_COVERAGE * len(ws) for d in range(-len(ws), len(words))):
-                best.add(index.names[t])
+        words = words_of(line)
+        full = {n for n, t in scans.TEMPLATES.items() if len(t) < 2000 and in_order(words_of(t), words) >= 0.8 * len(words_of(t))}
         got = {x[0] for x in index.scan(line)}
-        assert got <= best and bool(got) == bool(best)
-
-
-def test_scan_equals_full_alignment(spark):
-    """Every template is aligned at every place of every text; the scan finds what that finds, where it finds it."""
-    rng = random.Random(33)
-    templates = {f"t{i}": sentence(rng, n) for i, n in enumerate((6, 9, 14, 20, 30, 45))}
-    texts = ["aİb aİb İ " + templates["t0"]]
-    for name in templates:
-        for share in (0.0, 0.05, 0.12, 0.3, 0.6):
-            w = templates[name].split()
-            for at in rng.sample(range(len(w)), int(share * len(w))):
-                w[at] = rng.choice(("", "changed", w[at] + " more"))
-            texts.append(f"{sentence(rng, rng.randrange(30))} {' '.join(w)} {sentence(rng, rng.randrange(30))}")
-    docs = documents(spark, texts).withColumns({"license": F.lit(1), "start": F.lit("x")})
-    rows = scans.scan(docs, templates).collect()
-    assert {r.license for r in rows} == set(templates)
-    for i, text in enumerate(texts):
-        words = scans.tokens(text)
-        for name, template in templates.items():
-            ws = scans.tokens(template)
-            most = max((b for d in range(-len(ws), len(words)) if (b := scans.align(ws, words, d))), default=None)
-            got = [r for r in rows if r.doc_id == i and r.license == name]
-            assert bool(got) == bool(most and most[0] >= scans.MIN_COVERAGE * len(ws)), (i, name)
-            assert not got or got[0].n_matched == most[0]
-    one = next(r for r in rows if r.doc_id == 0)
-    assert texts[0][one.start : one.stop] == templates["t0"].rstrip(".")
-
-
-@pytest.mark.parametrize("text", ["of the license " * 3000, "licensed " * 20_000, "İ" * 5000 + " License"])
-def test_long_texts_of_license_words_are_scanned_in_time(text):
+        assert got <= full and bool(got) == bool(full), line
+
+
+def test_many_notices_and_ties(spark):
     import time
 
-    index = scans._index(tuple(sorted(scans.TEMPLATES.items())))
+    text = "Released under the MIT License. " * 2000
     began = time.time()
-    assert index.scan(text) == []
+    assert len(scans.Index(scans.TEMPLATES).scan(text)) == 2000
     assert time.time() - began < 20
+    rows = scans.scan(documents(spark, ["one two three four"]), {"b": "one two three four", "a": "one two three four"}).collect()
+    assert [r.license for r in rows] == ["a", "b"]  # equals are all reported
 
 
 # --- 2 BPE ------------------------------------------------------------------------------------------------------------------------
