@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.functions.num import finite
+from gridwise.functions.session import measured
 from gridwise.operators import metrics as M
 
 TEMPERATURE = 0.3
@@ -56,7 +57,7 @@ def missing_chunks(submissions: DataFrame, reference) -> DataFrame:
 
 def blend(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(row_id, subject, parcel, pred, target): predictions summed with the weights of (member, keys...)."""
-    both = rows.hint("merge").join(weights.select("member", *keys, "weight"), ["member", *keys])
+    both = rows.join(measured(weights.select("member", *keys, "weight")), ["member", *keys])
     return both.groupBy("row_id", "subject", "parcel").agg(F.sum(F.col("weight") * F.col("pred")).alias("pred"), F.min("target").alias("target"))
 
 

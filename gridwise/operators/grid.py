@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.functions.session import measured
 from gridwise.operators.ordered import blocks, medians
 
 TR, DELAY, WINDOW, STRIDE, HZ = 1.49, 4.47, 149.0, 149.0, 2.0
@@ -46,7 +47,7 @@ def align(features: DataFrame, times: DataFrame, hz: float, linear: bool = True,
     """
     keys = list(keys)
     last = features.groupBy(*keys).agg(F.max("frame").alias("__last"))
-    at = times.hint("merge").join(last, keys).withColumn("__x", F.col("t") * hz)
+    at = times.join(measured(last), keys).withColumn("__x", F.col("t") * hz)
     if not linear:
         near = at.withColumn("frame", F.least(F.greatest(F.rint("__x").cast("int"), F.lit(0)), F.col("__last")))
         return near.hint("merge").join(features, [*keys, "frame"]).select(*keys, "t", "value")

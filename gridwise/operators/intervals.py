@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.functions.session import checkpointed, measured
 from gridwise.operators.ordered import blocks, running
 
 
@@ -28,7 +29,7 @@ def interval_frames(onset: Column, duration: Column, n_frames: Column, hz: float
 def interval_to_frames(words: DataFrame, frames: DataFrame, hz: float) -> DataFrame:
     """words (a row for each overlapped frame); frames: (item, n_frames)."""
     spans = interval_frames(F.col("onset_s"), F.col("duration_s"), F.col("n_frames").cast("int"), hz)
-    return words.hint("merge").join(frames, "item").select("item", "word_idx", F.explode(spans).alias("frame"))
+    return words.join(measured(frames), "item").select("item", "word_idx", F.explode(spans).alias("frame"))
 
 
 def asof_prefix(words: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -59,14 +60,14 @@ def lookback_capped(frames: DataFrame, cutoffs: DataFrame, source_fps: float, sa
     low = F.greatest(F.lit(0.0), F.col("cutoff_s") - span_s)
     n = F.greatest(F.lit(1.0), F.ceil((F.col("cutoff_s") - low) * sample_fps)).cast("int")
     picks = cutoffs.withColumns({"__low": low, "__n": n}).select("item", "cutoff_s", "__low", F.explode(F.sequence(F.greatest(F.lit(0), F.col("__n") - keep), F.col("__n") - 1)).alias("pick"))
-    at = picks.hint("merge").join(last, "item").withColumn("frame", F.least(F.floor((F.col("__low") + F.col("pick") / sample_fps) * source_fps).cast("int"), F.col("__last").cast("int")))
+    at = picks.join(measured(last), "item").withColumn("frame", F.least(F.floor((F.col("__low") + F.col("pick") / sample_fps) * source_fps).cast("int"), F.col("__last").cast("int")))
     return at.hint("merge").join(frames, ["item", "frame"]).select("item", "cutoff_s", "pick", "frame", "value")
 
 
 def lookback_subtimes(steps: DataFrame, frames: DataFrame, fps: float, n: int = 8, span_s: float = 4.0) -> DataFrame:
     """(item, step, k, frame, value): n frames nearest to the times max(0, t - j span / n), oldest first, of each step's end t."""
     last = frames.groupBy("item").agg(F.max("frame").alias("__last"))
-    k = steps.hint("merge").join(last, "item").select("item", "step", "cutoff_s", "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    k = steps.join(measured(last), "item").select("item", "step", "cutoff_s", "__last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     t = F.greatest(F.lit(0.0), F.col("cutoff_s") - (n - 1 - F.col("k")) * (span_s / n))
     at = k.withColumn("frame", F.least(F.greatest(F.rint(t * fps).cast("int"), F.lit(0)), F.col("__last").cast("int")))
     return at.hint("merge").join(frames, ["item", "frame"]).select("item", "step", "k", "frame", "value")
@@ -155,7 +156,7 @@ def merge_streams_mean(streams: Sequence[DataFrame]) -> DataFrame:
     rows = streams[0].withColumn("stream", F.lit(0))
     for i, s in enumerate(streams[1:], 1):
         rows = rows.union(s.withColumn("stream", F.lit(i)))
-    n = rows.groupBy("item", "stream").agg((F.max("frame") + 1).alias("n"))
+    n = checkpointed(rows.groupBy("item", "stream").agg((F.max("frame") + 1).alias("n")))  # a few rows an item
     most = n.groupBy("item").agg(F.max("n").alias("m"))
     grid = n.hint("merge").join(most, "item").select("item", "stream", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("i"))
     grid = grid.withColumn("frame", F.floor(F.col("i") * F.col("n") / F.col("m")))
@@ -172,7 +173,7 @@ def patch_mean(tokens: DataFrame, n_steps: int) -> DataFrame:
     count = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("__n"))
     bad = F.raise_error(F.concat(F.lit("tokens not divisible by steps in "), F.col("item").cast("string"))).cast("long")
     spatial = F.when(F.col("__n") % n_steps == 0, F.floor(F.col("__n") / n_steps)).otherwise(bad)
-    return tokens.hint("merge").join(count, "item").groupBy("item", F.floor(F.col("token") / spatial).alias("step")).agg(F.avg("value").alias("value"))
+    return tokens.join(measured(count), "item").groupBy("item", F.floor(F.col("token") / spatial).alias("step")).agg(F.avg("value").alias("value"))
 
 
 def strategy_counts(rows: DataFrame, strategy: str) -> DataFrame:

@@ -20,18 +20,26 @@ from gridwise.functions.session import checkpointed
 TASK_ROWS = 1_000_000
 
 
+def settled(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """df written out, so that its lineage is read once, and whether every key of it has at most TASK_ROWS rows."""
+    rows = checkpointed(df)
+    return rows, fits(rows, keys)
+
+
 def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every key has at most TASK_ROWS rows, by counting them."""
+    """Whether every key has at most TASK_ROWS rows, by counting the rows, which should be written out."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0) <= TASK_ROWS
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], totals: dict[str, str] | None = None, small: bool | None = None) -> DataFrame:
     """df with the sums of columns over a key's rows so far, the row itself included; nulls add nothing, and null keys are a key.
 
-    totals (name of a sum -> name of a column) adds the sum over the whole key.
+    totals (name of a sum -> name of a column) adds the sum over the whole key. small: what fits(df, keys) gives, where that is known.
     """
     new = [*sums, *(totals or {}).values()]
-    if fits(df, keys):
+    if small is None:
+        df, small = settled(df, keys)
+    if small:
         whole, by = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         values = {n: F.coalesce(F.sum(c).over(by), F.lit(0)) for n, c in sums.items()}
         return df.withColumns({**values, **{out: F.coalesce(F.sum(sums[n]).over(whole), F.lit(0)) for n, out in (totals or {}).items()}})
@@ -53,11 +61,12 @@ def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int =
     Rows at the edges are also given to the next or the last block, so that a window over (keys, __block) by __n sees ``back`` rows
     before and ``ahead`` rows after each row of its own; keep the rows with __own afterwards.
     """
-    if fits(df, keys):
+    df, small = settled(df, keys)
+    if small:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1
         return df.withColumns({"__n": number, "__block": F.lit(0).cast("long"), "__own": F.lit(True)})
     size = max(size, back, ahead)
-    rows = running(df, keys, order, {"__n": F.lit(1).cast("long")}).withColumn("__n", F.col("__n") - 1)
+    rows = running(df, keys, order, {"__n": F.lit(1).cast("long")}, small=False).withColumn("__n", F.col("__n") - 1)
     at = F.col("__n") % size
     to = F.array_compact(F.array(F.lit(0), F.when(at >= size - back, F.lit(1)), F.when(at < ahead, F.lit(-1))))
     moved = rows.withColumn("__to", F.explode(to))
@@ -71,8 +80,10 @@ def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
-    """df with 0-based ranks, ties averaged; nulls come first and are ties. small: what fits(df, keys) gives, where that is known."""
-    if fits(df, keys) if small is None else small:
+    """df with 0-based ranks, ties averaged; nulls come first and are ties. small: as for running."""
+    if small is None:
+        df, small = settled(df, keys)
+    if small:
         by = W.partitionBy(*keys)
         return df.withColumn(out, F.rank().over(by.orderBy(value)) - 1 + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2.0)
     at = F.struct(*keys, value)
@@ -82,7 +93,9 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, smal
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
     """(keys..., out): median of each key's values that are not null, the mean of the two middle ones of an even number; NULL where all are null."""
-    if fits(df, keys) if small is None else small:
+    if small is None:
+        df, small = settled(df, keys)
+    if small:
         return df.groupBy(*keys).agg(F.median(value).alias(out))
     known = counted_values(df.filter(F.col(value).isNotNull()), keys, value)
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1  # places of the middle values, from 1

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from gridwise.functions import registry
 from gridwise.functions.session import shared_folder
 from gridwise.operators import layers as L
-from gridwise.operators.ordered import running
 from gridwise.plans.catalog import query, table
 from gridwise.plans.q_interval import TALK, talk
 from gridwise.plans.q_layers import FEATURES, features, flat
@@ -191,18 +190,17 @@ def s17(spark, d):
 
 @query(
     "s18_write_val_rows",
-    """SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1)::VARCHAR AS row_index, l_linenumber::VARCHAR AS subject_id, 'sub-' || l_linenumber AS subject, 'o' || l_orderkey AS stimulus_id, '' AS fmri_item_id, l_returnflag AS task, '' AS movie,
+    """SELECT l_orderkey::VARCHAR AS row_index, l_linenumber::VARCHAR AS subject_id, 'sub-' || l_linenumber AS subject, 'o' || l_orderkey AS stimulus_id, '' AS fmri_item_id, l_returnflag AS task, '' AS movie,
 l_linestatus AS chunk, 'o' || l_orderkey || '_0' AS segment_id, '0' AS segment_idx, '1.5' AS segment_start_s, 149e0 AS segment_duration_s, l_suppkey::VARCHAR AS tr_idx, '' AS fmri_time_s FROM lineitem""",
 )
 def s18(spark, d):
     """Two fields are missing, a column is no field, and the columns come in another order."""
     path = folder(spark)
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_tax")
-    numbered = running(line.withColumn("all", F.lit(0)), ["all"], ["l_orderkey", "l_linenumber"], {"row": F.lit(1).cast("long")})
     order = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
-    rows = numbered.select(
+    rows = line.select(
         F.col("l_tax"), F.col("l_suppkey").alias("tr_idx"), F.col("l_linestatus").alias("chunk"), F.concat(order, F.lit("_0")).alias("segment_id"), F.lit(0).alias("segment_idx"), F.lit(1.5).alias("segment_start_s"), F.lit(149.0).alias("segment_duration_s"),
-        (F.col("row") - 1).alias("row_index"), F.col("l_linenumber").alias("subject_id"), F.concat(F.lit("sub-"), F.col("l_linenumber").cast("string")).alias("subject"), order.alias("stimulus_id"), F.col("l_returnflag").alias("task"), F.lit("").alias("movie"),
+        F.col("l_orderkey").alias("row_index"), F.col("l_linenumber").alias("subject_id"), F.concat(F.lit("sub-"), F.col("l_linenumber").cast("string")).alias("subject"), order.alias("stimulus_id"), F.col("l_returnflag").alias("task"), F.lit("").alias("movie"),
     )
     M.write_val_rows(rows, path)
     return M.read_manifest_tsv(spark, path, list(M.VAL_ROWS))
