@@ -50,6 +50,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == sign:
             break
+        links.sparkSession._jvm.System.gc()  # shuffles and checkpoints of earlier rounds are let go, and their files removed
         sign, rows = new, new[0]
     found = now.groupBy("a").agg(F.min("b").alias("root"))
     roots = found.select(F.col("root").alias("a")).distinct().withColumn("root", F.col("a"))
