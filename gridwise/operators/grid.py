@@ -198,3 +198,8 @@ def trim_to_duration(rows: DataFrame, duration: Column, tr: str = "tr", step: fl
 def last_k(rows: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
     by = W.partitionBy(*keys).orderBy(F.col(order).desc())
     return rows.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= k).drop("__n")
+
+
+def examples(rows: DataFrame, known: DataFrame, key: str, shown: int = 5) -> DataFrame:
+    """The first few keys of rows, in order, that known has not (a bounded report)."""
+    return rows.join(known, key, "left_anti").select(key).orderBy(key).limit(shown)

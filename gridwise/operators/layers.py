@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.functions import special
+from gridwise.functions.session import measured
 
 
 def layer_indices(n: int, fractions: Sequence[float]) -> list[int]:
@@ -202,3 +203,8 @@ def fuse(df: DataFrame, columns: Sequence[str], how: str = "cat") -> DataFrame:
 def static_expand(df: DataFrame, n_frames: int) -> DataFrame:
     """Features without time, repeated for every frame."""
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("frame"))
+
+
+def with_subject_weights(rows: DataFrame, weights: DataFrame, subject: str = "subject") -> DataFrame:
+    """rows with the columns of weights, one row a subject; rows of subjects without weights are left out."""
+    return rows.join(measured(weights), subject)

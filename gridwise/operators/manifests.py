@@ -259,6 +259,11 @@ def key_difference(expected: DataFrame, got: DataFrame) -> DataFrame:
     return a.withColumn("side", F.lit("missing")).union(b.withColumn("side", F.lit("extra")))
 
 
+def unknown_subjects(asked: DataFrame, known: DataFrame, subject: str = "subject") -> DataFrame:
+    """Distinct subjects that are asked for and not known."""
+    return asked.select(subject).subtract(known.select(subject))
+
+
 def apply_split_map(df: DataFrame, splits: DataFrame, key: str = "chunk") -> DataFrame:
     return df.join(splits, key)
 

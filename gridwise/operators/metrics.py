@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.functions.num import clamp, finite, ratio
+from gridwise.functions.session import measured
 from gridwise.operators import losses
 
 EPS = 1e-8
@@ -169,3 +170,10 @@ def every_kth_parcel(df: DataFrame, most: int = 250, parcel: str = "parcel") ->
     """Every k-th parcel, k = max(1, parcels // most); parcels are numbered from 0."""
     count = df.agg(F.greatest(F.lit(1), F.floor((F.max(parcel) + 1) / most)).alias("__step"))
     return df.crossJoin(F.broadcast(count)).filter(F.pmod(F.col(parcel), F.col("__step")) == 0).drop("__step")  # one row
+
+
+def zscore(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """df with z: standard scores by key (sample deviation; 1 where it is undefined or under EPS), by aggregation and join."""
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    sd = F.when(F.col("__s").isNull() | (F.col("__s") < EPS), 1.0).otherwise(F.col("__s"))
+    return df.join(measured(stats), list(keys)).withColumn("z", (F.col(value) - F.col("__m")) / sd).drop("__m", "__s")

@@ -187,7 +187,7 @@ def t4(spark, d):
 
 @query("t5_examples", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 5")
 def t5(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id").orderBy("doc_id").limit(5)
+    return G.examples(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", 5)
 
 
 @query("t6_last_k_frames", f"WITH {SIGNAL} SELECT item, frame, value FROM s JOIN n USING (item) WHERE frame >= n - 8")
@@ -197,11 +197,4 @@ def t6(spark, d):
 
 @query("w1_zscore", f"WITH {SIGNAL}, z AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS sd FROM s WINDOW w AS (PARTITION BY item)) SELECT item, frame, round((value - m) / CASE WHEN sd IS NULL OR sd < 1e-8 THEN 1 ELSE sd END, 6) AS z FROM z")
 def w1(spark, d):
-    return zscore(signal(spark, d), ["item"]).select("item", "frame", F.round("z", 6).alias("z"))
-
-
-def zscore(df, keys, value="value"):
-    """df with z: standard scores by key (sample deviation; 1 where it is undefined or under 1e-8), by aggregation and join."""
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    sd = F.when(F.col("__s").isNull() | (F.col("__s") < M.EPS), 1.0).otherwise(F.col("__s"))
-    return df.join(stats, list(keys)).withColumn("z", (F.col(value) - F.col("__m")) / sd).drop("__m", "__s")
+    return M.zscore(signal(spark, d), ["item"]).select("item", "frame", F.round("z", 6).alias("z"))

@@ -154,7 +154,7 @@ def l7(spark, d):
 def j19(spark, d):
     f = features(spark, d).select("item", "frame", "layer")
     weights = f.select("item").distinct().withColumn("w", (F.pmod("item", F.lit(5)) - 2) / 4)
-    return f.hint("merge").join(weights, "item").withColumn("w", F.round("w", 6))
+    return L.with_subject_weights(f, weights, "item").withColumn("w", F.round("w", 6))
 
 
 @query("d4_prediction_modes", _HEAD.format(expr=f"sum(v * {_W.format(s=0)}) + o / 10e0").replace("SELECT item,", "SELECT 'group_only' AS mode, item,").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5") + " UNION ALL " + _HEAD.format(expr=f"sum(v * ({_W.format(s=0)} + {_W.format(s='item')})) + 2 * (o / 10e0)").removeprefix(f"WITH {FEATURES} ").replace("SELECT item,", "SELECT 'full' AS mode, item,").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5"))

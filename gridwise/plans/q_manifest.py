@@ -246,7 +246,7 @@ def u3(spark, d):
 
 @query("u4_unknown_subjects", f"WITH {RUNS} SELECT DISTINCT c_mktsegment AS subject FROM customer WHERE c_mktsegment NOT IN (SELECT subject FROM r)")
 def u4(spark, d):
-    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("subject")).subtract(runs(spark, d).select("subject"))
+    return M.unknown_subjects(table(spark, d, "customer").select(F.col("c_mktsegment").alias("subject")), runs(spark, d))
 
 
 _SCORE = "('0x' || substr(sha256('33' || chunk), 1, 13))::BIGINT / 4503599627370496e0"
