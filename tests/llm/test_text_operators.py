@@ -679,17 +679,3 @@ def test_components_of_hot_nodes(spark):
     near = [*range(300), 1000, 2000, *range(5000, 5300)]
     assert got == {**dict.fromkeys(near, 0), 9000: 9000, 9001: 9000}
     assert components(links.limit(0)).collect() == []
-
-
-def test_links_of_a_hot_node_are_spread(spark):
-    """No task of a star step gets more than a few of a hot node's links, however many it has."""
-    from gridwise.llm import components as C
-
-    links = spark.range(20_000).selectExpr("id + 1 as b", "cast(0 as long) as a").repartition(8)
-    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    held = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    met = C._with_least(links, least, 100)
-    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-    spark.conf.set("spark.sql.adaptive.enabled", held)
-    assert sum(sizes) == 20_000 and max(sizes) < 5_000
