@@ -122,7 +122,8 @@ def drop_recurring(docs: DataFrame, text_col: str = "text") -> DataFrame:
     joined = docs.withColumn("__rk", F.xxhash64(F.col(text_col))).hint("merge").join(gone, "__rk", "left")
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     has_word = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
+    rest = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+    kept = let(all_lines, lambda lines: F.array_join(F.transform(rest(lines), lambda i: lines[i]), "\n"))
     decided = joined.withColumn("__drops", F.col("__lines").isNotNull())
     return decided.select(
         *[F.when(F.col("__drops"), kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],

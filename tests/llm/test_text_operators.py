@@ -329,6 +329,17 @@ def test_a_field_is_generalised_and_unrelated_lines_stay_apart(spark):
     assert [rows[i].n_dropped for i in range(30)] == [1] * 4 + [0] * 26
 
 
+def test_many_lines_of_one_text_go_in_linear_time(spark):
+    rng = random.Random(21)
+    footer, n = "this footer stands in every text of the set", 50_000
+    own = [f"{rng.randrange(16**8):08x}x of {i:x}y and more words" for i in range(n)]
+    texts = ["\n".join(x for line in own for x in (line, footer)), *[f"{sentence(rng, 12)}\n{footer}" for _ in range(3)], footer, None]
+    rows = {r.doc_id: r for r in linetree.drop_recurring(documents(spark, texts)).collect()}
+    assert rows[0].n_lines == 2 * n and rows[0].text.split("\n") == own
+    assert [rows[i].text for i in (1, 2, 3)] == [texts[i].split("\n")[0] for i in (1, 2, 3)]
+    assert rows[4].text == "" and rows[4].n_dropped == 1 and rows[5].text is None
+
+
 # --- 6 quality --------------------------------------------------------------------------------------------------------------------
 
 
