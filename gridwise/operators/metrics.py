@@ -103,20 +103,29 @@ def report_arrays(df: DataFrame) -> DataFrame:
     return whole.union(by_both.select("subject", "parcel", strict_pearson_of_sums().alias("r")))
 
 
-def run_report(scores: DataFrame, keys: Sequence[str] = (), value: str = "r") -> DataFrame:
-    """Mean, median, linear 10 and 90 percentiles and count above zero of the finite scores, to four places."""
+#: Gap to a reference mean that is still accepted.
+TOLERANCE = 0.02
+
+
+def report_columns(value: str = "r") -> list[Column]:
+    """Mean, median, linear 10 and 90 percentiles and count above zero of the finite scores of a group, to four places."""
     v = finite(F.col(value))
-    four = lambda c: F.round(c, 4)
-    return scores.groupBy(*keys).agg(
-        four(F.avg(v)).alias("mean"), four(F.median(v)).alias("median"), four(F.percentile(v, F.lit(0.1))).alias("p10"), four(F.percentile(v, F.lit(0.9))).alias("p90"),
-        F.count_if(v > 0).alias("n_positive"),
-    )
+    four = lambda c, name: F.round(c, 4).alias(name)
+    places = [four(F.percentile(v, F.lit(p)), name) for p, name in ((0.1, "p10"), (0.9, "p90"))]
+    return [four(F.avg(v), "mean"), four(F.median(v), "median"), *places, F.count_if(v > 0).alias("n_positive")]
+
+
+def run_report(scores: DataFrame, keys: Sequence[str] = (), value: str = "r") -> DataFrame:
+    """(keys..., report_columns) of scores."""
+    return scores.groupBy(*keys).agg(*report_columns(value))
 
 
-def acceptance(report: DataFrame, reference: float | None, tolerance: float = 0.02, value: str = "mean") -> DataFrame:
-    """report with gap and verdict: PASS within the tolerance of the reference, else FAIL; SKIPPED without one."""
-    gap = F.abs(F.col(value) - F.lit(reference).cast("double"))
-    return report.withColumn("gap", gap).withColumn("verdict", F.when(gap.isNull(), "SKIPPED").when(gap <= tolerance, "PASS").otherwise("FAIL"))
+def acceptance(report: DataFrame, reference: float | Column | None, tolerance: float | Column = TOLERANCE, value: str = "mean") -> DataFrame:
+    """report with gap and verdict: PASS within the tolerance of the reference, FAIL beyond it or without a value; SKIPPED without a reference."""
+    target = reference if isinstance(reference, Column) else F.lit(reference).cast("double")
+    gap = F.abs(F.col(value) - target)
+    verdict = F.when(target.isNull(), "SKIPPED").when(gap <= tolerance, "PASS").otherwise("FAIL")
+    return report.withColumn("gap", gap).withColumn("verdict", verdict)
 
 
 def mse(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict = {}
 _SQL: dict = {}
-_MODULES = ("q_metrics", "q_ensemble", "q_manifest", "q_grid", "q_interval", "q_layers", "q_pairwise", "q_store", "q_stream")
+_MODULES = ("q_metrics", "q_ensemble", "q_manifest", "q_grid", "q_interval", "q_sentence", "q_layers", "q_pairwise", "q_store", "q_stream")
 
 
 def query(name: str, sql: str | None = None):

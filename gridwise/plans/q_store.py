@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from gridwise.functions import registry
 from gridwise.functions.session import shared_folder
 from gridwise.operators import layers as L
+from gridwise.operators import metrics as scores
 from gridwise.plans.catalog import query, table
 from gridwise.plans.q_interval import TALK, talk
 from gridwise.plans.q_layers import FEATURES, features, flat
 from gridwise.plans.q_manifest import RUNS, runs
-from gridwise.plans.q_metrics import EV, ROWS, SUMS, R
+from gridwise.plans.q_metrics import EV, ROWS, STRICT, SUMS, R
 from gridwise.plans.q_metrics import rows as scored_rows
 from gridwise.sources import features as S
 from gridwise.sources import manifests as M
+from gridwise.sources import runs as run_store
 
 
 def folder(spark) -> str:
@@ -279,3 +281,42 @@ def d3(spark, d):
 @query("d5_pooling_config", f"WITH {FEATURES} SELECT item, frame, layer * 8 + ch AS ch, round(v, 5) AS v FROM (SELECT *, CASE layer WHEN 3 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS layer2 FROM x WHERE layer IN (3, 5, 7)) z".replace("layer * 8 + ch", "layer2 * 8 + ch"))
 def d5(spark, d):
     return flat(L.Pooling(aggregation="cat").apply(features(spark, d), 8), "item", "frame")
+
+
+def run_tables(spark, d):
+    """Artefacts of three runs, the return flags: R has neither scores by output nor settings."""
+    rows = scored_rows(spark, d).withColumnRenamed("task", "run")
+    r = scores.strict_pearson_of_sums().alias("r")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run"))
+    logged = lines.agg(F.avg("l_discount").alias("val/pearson"), F.avg("l_tax").alias("loss"))
+    return {
+        "parcels": scores.sums(rows.filter("run <> 'R'"), ["run", "parcel"]).select("run", "parcel", r),
+        "subjects": scores.sums(rows, ["run", "subject"]).select("run", F.col("subject").cast("string").alias("subject"), r),
+        "metrics": logged.unpivot("run", ["val/pearson", "loss"], "name", "value"),
+        "settings": logged.filter("run <> 'R'").select("run", F.concat(F.lit("run "), "run").alias("run_name"), F.lit(0.0).alias("reference"), F.lit(0.5).alias("tolerance")),
+    }
+
+
+@query(
+    "a19_runs_report",
+    f"""WITH {ROWS}, p AS (SELECT task AS run, parcel, {SUMS} FROM l WHERE task <> 'R' GROUP BY 1, 2), pr AS (SELECT run, {STRICT} AS r FROM p),
+u AS (SELECT task AS run, subject, {SUMS} FROM l GROUP BY 1, 2), ur AS (SELECT run, {STRICT} AS r FROM u),
+s AS (SELECT run, count(r) AS n_subjects, round(avg(r), 4) AS subject_mean, round(max(r), 4) AS best FROM ur GROUP BY 1),
+o AS (SELECT run, avg(r) AS m, round(median(r), 4) AS median, round(quantile_cont(r, 0.1), 4) AS p10, round(quantile_cont(r, 0.9), 4) AS p90, count(*) FILTER (r > 0) AS n_positive FROM pr GROUP BY 1),
+g AS (SELECT l_returnflag AS run, avg(l_discount) AS d, round(avg(l_tax), 6) AS loss FROM lineitem GROUP BY 1),
+c AS (SELECT *, CASE run WHEN 'A' THEN 0e0 WHEN 'N' THEN 0.9e0 END AS reference, CASE run WHEN 'A' THEN 0.5e0 ELSE 0.02e0 END AS tolerance, round(coalesce(m, d), 4) AS mean FROM g LEFT JOIN o USING (run) LEFT JOIN s USING (run))
+SELECT run, CASE WHEN run <> 'R' THEN 'run ' || run END AS run_name, mean, median, p10, p90, coalesce(n_positive, -1) AS n_positive, n_subjects, subject_mean, best, loss, reference, tolerance, round(abs(mean - reference), 6) AS gap,
+CASE WHEN reference IS NULL THEN 'SKIPPED' WHEN abs(mean - reference) <= tolerance THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""",
+)
+def runs_report(spark, d):
+    """Run N's settings are written a second time, which leaves those of A."""
+    path, tables = folder(spark), run_tables(spark, d)
+    run_store.write_run_artefacts(tables, path)
+    again = tables["settings"].filter("run = 'N'").withColumns({"reference": F.lit(0.9), "tolerance": F.lit(None).cast("double")})
+    run_store.write_run_artefacts({"settings": again}, path)
+    report = run_store.runs_report(run_store.read_run_artefacts(spark, path))
+    by_subject = F.map_values("per_subject")
+    return report.select(
+        "run", "run_name", "mean", "median", "p10", "p90", F.col("n_positive").cast("long").alias("n_positive"), F.size(by_subject).cast("long").alias("n_subjects"), "subject_mean", F.array_max(by_subject).alias("best"),
+        F.round(F.col("metrics")["loss"], 6).alias("loss"), "reference", "tolerance", F.round("gap", 6).alias("gap"), "verdict",
+    )
