@@ -76,9 +76,10 @@ def per_subject(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFra
     return scored.groupBy("subject").agg(F.avg("r").alias("r"))
 
 
-def best_member(scores: DataFrame, score: str = "score") -> DataFrame:
-    """(member, mean): the member with the highest mean of finite scores; the smaller one of equals."""
-    means = scores.groupBy("member").agg(F.avg(finite(F.col(score))).alias("mean"))
+def best_member(scores: DataFrame, score: str = "score", digits: int | None = None) -> DataFrame:
+    """(member, mean): the member with the highest mean of finite scores; the smaller one of equals, which are compared after rounding to ``digits``."""
+    mean = F.avg(finite(F.col(score)))
+    means = scores.groupBy("member").agg((mean if digits is None else F.round(mean, digits)).alias("mean"))
     return means.orderBy(F.col("mean").desc_nulls_last(), "member").limit(1)
 
 
