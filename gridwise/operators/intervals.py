@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwise.functions.session import checkpointed, measured
-from gridwise.operators.ordered import blocks, running
+from gridwise.operators.ordered import blocks, running, settled
 
 
 def interval_frames(onset: Column, duration: Column, n_frames: Column, hz: float, out_start: float = 0.0, out_duration: Column | None = None) -> Column:
@@ -131,16 +131,19 @@ def last_n_words(words: DataFrame, cutoffs: DataFrame, n: int) -> DataFrame:
     return out.select("item", "cutoff_s", "n_words", F.greatest(F.col("n_words") - n, F.lit(0)).alias("window_start"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def sentence_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("item",)) -> DataFrame:
+def sentence_context(words: DataFrame, max_len: int, keys: Sequence[str] = ("item",), small: bool | None = None) -> DataFrame:
     """words (with sentence_idx, NULL for an unmatched word) with context: the words of the sentences so far, the last max_len + 1 of them.
 
-    An unmatched word has the context '' and starts the context anew.
+    An unmatched word has the context '' and starts the context anew. small: as for running.
     """
-    runs = running(words, keys, ["word_idx"], {"__run": F.col("sentence_idx").isNull().cast("long")})
+    if small is None:
+        words, small = settled(words, keys)
+    small = small or None  # a part of a large item may be small
+    runs = running(words, keys, ["word_idx"], {"__run": F.col("sentence_idx").isNull().cast("long")}, small=small)
     inner = W.partitionBy(*keys, "__run", "__block").orderBy("__n").rowsBetween(-max_len, 0)
     known = F.when(F.col("sentence_idx").isNotNull(), F.col("word"))
     context = F.when(F.col("sentence_idx").isNull(), "").otherwise(F.array_join(F.collect_list(known).over(inner), " "))
-    return blocks(runs, [*keys, "__run"], ["word_idx"], back=max_len).withColumn("context", context).filter("__own").select(*words.columns, "context")
+    return blocks(runs, [*keys, "__run"], ["word_idx"], back=max_len, small=small).withColumn("context", context).filter("__own").select(*words.columns, "context")
 
 
 def sum_to_frames(words: DataFrame, frames: DataFrame, hz: float, value: str = "value") -> DataFrame:

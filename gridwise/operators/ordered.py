@@ -26,9 +26,25 @@ def settled(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
     return rows, fits(rows, keys)
 
 
+def load(df: DataFrame, keys: Sequence[str], n: Column | None = None) -> tuple[int, int]:
+    """(rows of the largest key, all rows), by counting the rows, which should be written out or cheap to make; n: rows that a row stands for."""
+    c = df.groupBy(*keys).agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("__c")).agg(F.max("__c"), F.sum("__c")).first()
+    return c[0] or 0, c[1] or 0
+
+
 def fits(df: DataFrame, keys: Sequence[str]) -> bool:
     """Whether every key has at most TASK_ROWS rows, by counting the rows, which should be written out."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0) <= TASK_ROWS
+    return load(df, keys)[0] <= TASK_ROWS
+
+
+#: Rows of a task that takes many windows one after another.
+CHAIN_ROWS = 250_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """df by keys, so that windows over these and further columns need no other shuffle; rows: how many there are."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // CHAIN_ROWS))
+    return df.repartition(n, *keys)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], totals: dict[str, str] | None = None, small: bool | None = None) -> DataFrame:
@@ -55,13 +71,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict
     return both.withColumns({n: F.col(n) + F.col(o) for n, (_, _, o) in parts.items()}).select(*[c for c in df.columns if c not in new], *new)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0, size: int = 1 << 16) -> DataFrame:
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0, size: int = 1 << 16, small: bool | None = None) -> DataFrame:
     """df with __n (number of the row in its key, from 0), __block and __own: every block has ``size`` rows of its key.
 
     Rows at the edges are also given to the next or the last block, so that a window over (keys, __block) by __n sees ``back`` rows
-    before and ``ahead`` rows after each row of its own; keep the rows with __own afterwards.
+    before and ``ahead`` rows after each row of its own; keep the rows with __own afterwards. small: as for running.
     """
-    df, small = settled(df, keys)
+    if small is None:
+        df, small = settled(df, keys)
     if small:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1
         return df.withColumns({"__n": number, "__block": F.lit(0).cast("long"), "__own": F.lit(True)})

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridwise.operators import ordered
 from gridwise.operators import sentences as S
 from gridwise.operators.intervals import sentence_context
-from gridwise.plans.catalog import query
+from gridwise.operators.ordered import load
+from gridwise.plans.catalog import query, table
 from gridwise.plans.q_interval import TALK, talk
 
 _LONGEST = 12
@@ -17,8 +19,15 @@ ps AS (SELECT *, row_number() OVER (PARTITION BY item, run ORDER BY word_idx) -
 se AS (SELECT item, word_idx, word, (sum((pos % {_LONGEST} = 0)::INT) OVER (PARTITION BY item ORDER BY word_idx) - 1)::BIGINT AS sentence_idx FROM ps)"""
 
 
-def split(spark, d):
-    return S.split_sentences(talk(spark, d).select("item", "word_idx", "word"), longest=_LONGEST)
+def most(spark, d):
+    """Load of the words by item, from the texts: nothing is written out for it."""
+    n = F.size(F.split("text", " "))
+    return load(table(spark, d, "conversations").filter("text is not null"), ["conv_id", "turn"], n)
+
+
+def split(spark, d, largest=None):
+    small = (largest or most(spark, d)[0]) <= ordered.TASK_ROWS
+    return S.split_sentences(talk(spark, d).select("item", "word_idx", "word"), longest=_LONGEST, small=small or None)
 
 
 @query("w9_split_sentences", f"WITH {TALK}, {_SPLIT} SELECT item, word_idx, sentence_idx FROM se")
@@ -35,14 +44,15 @@ def texts_query(spark, d):
 
 
 def sides(spark, d):
-    """(words, text words with sentence_idx): each side lacks words that the other one has."""
-    said = split(spark, d)
+    """(words, text words with sentence_idx, load of both): each side lacks words that the other one has."""
+    largest, n = most(spark, d)
+    said = split(spark, d, largest)
     heard = said.filter("word_idx % 11 <> 5").select("item", F.col("word_idx").alias("at"), F.when(F.col("word_idx") % 17 == 4, "zz").otherwise(F.col("word")).alias("word"))
     words = heard.withColumn("word_idx", F.row_number().over(W.partitionBy("item").orderBy("at")) - 1).drop("at")
-    extra = said.filter("word_idx % 13 = 3").select("item", "word_idx", F.lit("[music]").alias("word"), "sentence_idx", F.lit(0).alias("k"))
-    both = said.select("item", "word_idx", "word", "sentence_idx", F.lit(1).alias("k")).union(extra)
+    music = F.when(F.col("word_idx") % 13 == 3, F.struct(F.lit(0).alias("k"), F.lit("[music]").alias("word")))
+    both = said.select("item", "word_idx", "sentence_idx", F.inline(F.array_compact(F.array(music, F.struct(F.lit(1).alias("k"), "word")))))
     text = both.withColumn("text_idx", F.row_number().over(W.partitionBy("item").orderBy("word_idx", "k")) - 1).select("item", "text_idx", "word", "sentence_idx")
-    return words, text
+    return words, text, (3 * largest, 3 * n)  # no more than the words on one side, and twice as many on the other
 
 
 _SIDES = """a0 AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY word_idx) - 1 AS word_idx, CASE WHEN word_idx % 17 = 4 THEN 'zz' ELSE word END AS word FROM t WHERE word_idx % 11 <> 5),
@@ -71,7 +81,8 @@ mt AS (SELECT item, word_idx, text_idx FROM fw WHERE good UNION ALL SELECT bw.it
 
 @query("w9_match_words", f"WITH {TALK}, {_SPLIT}, {_SIDES}, {_MATCH} SELECT item, word_idx, text_idx FROM mt")
 def match_query(spark, d):
-    return S.match_words(*sides(spark, d))
+    words, text, both = sides(spark, d)
+    return S.match_words(words, text, most=both)
 
 
 _KNOWN = """kn AS (SELECT a0.item, a0.word_idx, a0.word, b0.sentence_idx AS s FROM a0 LEFT JOIN mt ON mt.item = a0.item AND mt.word_idx = a0.word_idx LEFT JOIN b0 ON b0.item = mt.item AND b0.text_idx = mt.text_idx),
@@ -81,7 +92,8 @@ ws AS (SELECT item, word_idx, word, coalesce(s, CASE WHEN s0 = s1 THEN s0 END) A
 
 @query("w9_word_sentences", f"WITH {TALK}, {_SPLIT}, {_SIDES}, {_MATCH}, {_KNOWN} SELECT item, word_idx, word, sentence_idx FROM ws")
 def sentences_query(spark, d):
-    return S.word_sentences(*sides(spark, d)).select("item", "word_idx", "word", "sentence_idx")
+    words, text, both = sides(spark, d)
+    return S.word_sentences(words, text, most=both).select("item", "word_idx", "word", "sentence_idx")
 
 
 @query(
@@ -89,4 +101,6 @@ def sentences_query(spark, d):
     f"WITH {TALK}, {_SPLIT}, {_SIDES}, {_MATCH}, {_KNOWN}, x AS (SELECT *, sum((sentence_idx IS NULL)::INT) OVER (PARTITION BY item ORDER BY word_idx) AS run FROM ws) SELECT item, word_idx, CASE WHEN sentence_idx IS NULL THEN '' ELSE coalesce(string_agg(CASE WHEN sentence_idx IS NOT NULL THEN word END, ' ') OVER (PARTITION BY item, run ORDER BY word_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), '') END AS context FROM x",
 )
 def context_query(spark, d):
-    return sentence_context(S.word_sentences(*sides(spark, d)), 5).select("item", "word_idx", "context")
+    words, text, both = sides(spark, d)
+    small = both[0] <= ordered.TASK_ROWS or None
+    return sentence_context(S.word_sentences(words, text, most=both), 5, small=small).select("item", "word_idx", "context")
