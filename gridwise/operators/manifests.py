@@ -179,8 +179,8 @@ def chunk_key(stimulus: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    out = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    return F.when(out == "", "stimulus").otherwise(out)
+    out = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9._-]++", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(out, F.lit("")), F.when(text.isNotNull(), F.lit("stimulus")))  # nullif works out its argument once
 
 
 def task_code(task: Column) -> Column:
