@@ -7,12 +7,13 @@ sample numbers, or one union ordered by time, before anything is joined.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwise.functions.session import checkpointed, measured
+from gridwise.functions.session import checkpointed, measured, sized
 from gridwise.operators.ordered import blocks, running, settled
 
 
@@ -107,6 +108,48 @@ def joint_step_plan(words: DataFrame, grids: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("item", "cutoff_s").agg(F.count_if(F.col("kind") == "text").alias("n_words"), *flags)
 
 
+#: Grid cutoffs of an item that are made in one row, and of a task.
+CELL, TASK_CUTOFFS = 1024, 2_000_000
+
+
+def regular_step_plan(words: DataFrame, frames: DataFrame, steps: dict[str, float]) -> DataFrame:
+    """joint_step_plan of regular grids: name -> step in seconds (whole microseconds), its first n_frames multiples being the cutoffs of an item.
+
+    frames: (item, n_frames), a row an item. Whether a cutoff lies on a grid is worked out from its number, so that grids are
+    made last, cell by cell, without the cutoffs of words, and are neither shuffled nor grouped.
+    """
+    micros = {name: round(step * 1e6) for name, step in steps.items()}
+    if not micros or any(m <= 0 or abs(m - steps[name] * 1e6) > 1e-6 for name, m in micros.items()):
+        raise ValueError(f"steps must be whole microseconds above zero: {steps}")
+    width = CELL * min(micros.values())
+    frames = checkpointed(frames.select("item", F.col("n_frames").cast("long").alias("n_frames")).filter("n_frames > 0"))
+    total = frames.agg(F.sum(F.col("n_frames").cast("double"))).first()[0] or 0
+    on = lambda m: F.coalesce((F.col("at") > 0) & (F.col("at") % m == 0) & (F.col("at") <= F.col("n_frames") * m), F.lit(False))
+    flags = [on(m).alias(f"has_{name}") for name, m in micros.items()]
+    columns = ["item", "cutoff_s", "n_words", *[f"has_{name}" for name in micros]]
+
+    text = words.groupBy("item", F.round(F.col("onset_s") + F.col("duration_s"), 6).alias("cutoff_s")).agg(F.count(F.lit(1)).alias("n_words"))
+    at = F.when(F.abs("cutoff_s") < 9e9, F.rint(F.col("cutoff_s") * 1e6).cast("long")).alias("at")  # beyond, doubles have no microseconds
+    known = sized(frames.select(F.col("item").alias("__item"), "n_frames"))
+    text = checkpointed(text.join(known, F.col("item").eqNullSafe(F.col("__item")), "left").select("item", "cutoff_s", "n_words", at, "n_frames").select(*columns[:3], "at", *flags))
+
+    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
+    cells = frames.select("item", F.explode(F.sequence(F.lit(0).cast("long"), cell(F.col("n_frames") * max(micros.values())))).alias("cell"), "n_frames", F.lit(None).cast("long").alias("at"))
+    taken = text.filter(" or ".join(columns[3:])).select("item", cell(F.col("at")).alias("cell"), F.lit(None).cast("long").alias("n_frames"), "at")
+    tasks = max(1, min(10_000, int(total * len(micros) / TASK_CUTOFFS)))  # the few bytes of a cell say nothing about its cutoffs
+    met = cells.union(taken).repartition(tasks, "item", "cell").groupBy("item", "cell").agg(F.max("n_frames").alias("n_frames"), F.collect_list("at").alias("taken"))
+
+    def multiples(m: int) -> Column:
+        low = F.greatest(F.ceil(F.col("cell") * width / F.lit(m)).cast("long"), F.lit(1))
+        high = F.least(F.floor(((F.col("cell") + 1) * width - 1) / F.lit(m)).cast("long"), F.col("n_frames"))
+        return F.when(low <= high, F.sequence(low * m, high * m, F.lit(m).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    made = reduce(F.array_union, [multiples(m) for m in micros.values()])
+    grid = met.filter("n_frames is not null").select("item", "n_frames", F.explode(F.array_except(made, F.col("taken"))).alias("at"))
+    grid = grid.select("item", (F.col("at") / 1e6).alias("cutoff_s"), F.lit(0).cast("long").alias("n_words"), *flags)
+    return text.select(*columns).union(grid)
+
+
 def transcript_duration(words: DataFrame, rows: DataFrame | None = None, tr: float = 1.49) -> DataFrame:
     """(item, duration_s): latest word end (negative durations count as zero), and n_rows tr where rows (item, n_rows) are given."""
     ends = words.groupBy("item").agg(F.max(F.col("onset_s") + F.greatest("duration_s", F.lit(0.0))).alias("__e"))
