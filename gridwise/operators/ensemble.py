@@ -1,6 +1,7 @@
 """Ensembling: scores of members, softmax weights by parcel, blended predictions and their evaluation.
 
-Member rows are (member, row_id, subject, parcel, pred, target).
+Member rows are (member, row_id, subject, parcel, pred, target), or packed: (row_id, subject, parcel, preds, target),
+a row for all members, preds being an array of (member, pred).
 """
 
 from __future__ import annotations
@@ -55,16 +56,33 @@ def missing_chunks(submissions: DataFrame, reference) -> DataFrame:
     return want.hint("merge").join(count, ["member", "subject", "chunk"], "left").filter("not (n_rows <=> n_expected)").select("member", "subject", "chunk", "n_rows", "n_expected")
 
 
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Packed rows as a row a member; others as they are."""
+    if "preds" not in rows.columns:
+        return rows
+    each = rows.select("row_id", "subject", "parcel", "target", F.explode("preds").alias("p"))
+    return each.select("p.member", "row_id", "subject", "parcel", "p.pred", "target")
+
+
 def blend(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """(row_id, subject, parcel, pred, target): predictions summed with the weights of (member, keys...)."""
-    both = rows.join(measured(weights.select("member", *keys, "weight")), ["member", *keys])
-    return both.groupBy("row_id", "subject", "parcel").agg(F.sum(F.col("weight") * F.col("pred")).alias("pred"), F.min("target").alias("target"))
+    """(row_id, subject, parcel, pred, target): predictions summed with the weights of (member, keys...).
+
+    Packed rows only meet their keys' weights: nothing is expanded, sent once more or grouped.
+    """
+    if "preds" not in rows.columns:
+        both = rows.join(measured(weights.select("member", *keys, "weight")), ["member", *keys])
+        return both.groupBy("row_id", "subject", "parcel").agg(F.sum(F.col("weight") * F.col("pred")).alias("pred"), F.min("target").alias("target"))
+    held = weights.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("member", "weight"))).alias("weights"))  # a few members
+    both = rows.join(measured(held), keys).filter(F.exists("preds", lambda p: F.map_contains_key("weights", p["member"])))
+    terms = F.filter(F.transform("preds", lambda p: F.try_element_at("weights", p["member"]) * p["pred"]), lambda t: t.isNotNull())
+    pred = F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0.0), lambda total, t: total + t))
+    return both.select("row_id", "subject", "parcel", pred.alias("pred"), "target")
 
 
 def evaluate(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """One row: ensemble mean r, best single member, its mean and the difference."""
     strict = lambda df, by: M.sums(df, by).withColumn("r", M.strict_pearson_of_sums())
-    single = strict(rows, ["member", "parcel"]).groupBy("member").agg(F.avg("r").alias("r"))
+    single = strict(unpacked(rows), ["member", "parcel"]).groupBy("member").agg(F.avg("r").alias("r"))
     best = single.agg(F.max_by("member", "r").alias("best_member"), F.max("r").alias("best_r"))
     whole = strict(blend(rows, weights, keys), ["parcel"]).agg(F.avg("r").alias("ensemble_r"))
     return whole.crossJoin(F.broadcast(best)).withColumn("delta", F.col("ensemble_r") - F.col("best_r"))  # one row each
